@@ -28,6 +28,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(archive(table(spark, sf_dir, "pages")), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quiresmith.llm.tokenfile import token_file_round_trip
+
+    return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, with_ids=False)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiresmith.llm.decontam import find_contamination, judged
 
@@ -52,6 +60,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_warc": op4_warc,
+    "op6_token_files": op6_token_files,
     "op7_decontaminate": op7_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
