@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from quiresmith.session import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiresmith.llm.quality import fit_quality, score_quality
+    from quiresmith.llm.sampling import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiresmith.llm.chat import format_conversations, loss_text, parse_formatted, text_parts
 
@@ -28,6 +38,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(archive(table(spark, sf_dir, "pages")), with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiresmith.llm.langid import fit_language, identify
+    from quiresmith.llm.sampling import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = fit_language(docs.where(~held_out))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,8 +78,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
     "op4_warc": op4_warc,
+    "op5_language": op5_language,
     "op6_token_files": op6_token_files,
     "op7_decontaminate": op7_decontaminate,
     "op9_byte_bpe": op9_byte_bpe,
