@@ -32,6 +32,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiresmith.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiresmith.llm.warc import archive, read_warc
 
@@ -80,6 +86,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_warc": op4_warc,
     "op5_language": op5_language,
     "op6_token_files": op6_token_files,
