@@ -69,6 +69,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiresmith.llm.htmltree import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_token_files": op6_token_files,
     "op7_decontaminate": op7_decontaminate,
+    "op8_main_text": op8_main_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
 }
