@@ -10,8 +10,7 @@ are walked to sampled positions, and the word spans of each document merged.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,6 @@ WINDOW = 13
 SAMPLE_STEP = 16
 SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 8 << 20
-SCAN = "spans array<struct<start:long,length:long>>, items array<string>, n_words long"
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +266,7 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Itera
     yield ids, texts
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = ()) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
     Lower-cases A-Z; words are runs of ASCII digits and letters and of non-ASCII
@@ -278,17 +276,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     word, number of words) and the sorted ids of the items found. Null and empty
     texts have no words and no hits; items that are null, empty or repeated add
     nothing; an empty benchmark finds nothing; rows that repeat are judged each.
-    Other columns are ignored.
+    Columns named in ``keep`` are carried along, but for those named like a result; others are ignored.
 
     The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of
     text, each a pass over the documents in the same stage. No shuffle.
     """
-    found = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.array().cast("array<struct<start:long,length:long>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
+    keep = [c for c in keep if c not in (key, "n_words", "n_hit", "spans", "items")]
+    own = [f"c{i}" for i in range(len(keep))]
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *(F.col(c).alias(o) for c, o in zip(keep, own, strict=True)), F.array().cast("array<struct<start:long,length:long>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
     sc = docs.sparkSession.sparkContext
     for ids, texts in _item_blocks(benchmark, item, item_text, block_bytes):
-        found = found.mapInArrow(_scan(sc.broadcast((ids, texts)), width), f"_k {docs.schema[key].dataType.simpleString()}, _t string, {SCAN}")
+        found = found.mapInArrow(_scan(sc.broadcast((ids, texts)), width), schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["length"])
-    return found.select(F.col("_k").alias(key), "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return found.select(F.col("k").alias(key), *(F.col(o).alias(c) for c, o in zip(keep, own, strict=True)), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def _scan(block, width: int):
@@ -297,11 +298,11 @@ def _scan(block, width: int):
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         for batch in batches:
             spans, items, counts = _scan_batch(windows, batch.column(1))
-            old_spans, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
             spans = [merged(a + [(x["start"], x["length"]) for x in b]) for a, b in zip(spans, old_spans, strict=True)]
             items = [sorted(a.union(b)) for a, b in zip(items, old_items, strict=True)]
             spans_out = pa.array([[{"start": a, "length": b} for a, b in x] for x in spans], span_type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans_out, pa.array(items, pa.list_(pa.string())), pa.array(counts)], ["_k", "_t", "spans", "items", "n_words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], spans_out, pa.array(items, pa.list_(pa.string())), pa.array(counts)], batch.schema.names)
 
     return run
 
@@ -320,7 +321,3 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(raw[at : starts[first]].tobytes())
         at = ends[first + length - 1]
     return (b"".join(out) + raw[at:].tobytes()).decode("utf-8")
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode("utf-8")).hexdigest()

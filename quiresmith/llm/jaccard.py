@@ -412,3 +412,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     names = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(names, "root").select("node", "component_id")
     return members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each near-duplicate component: that of smallest key.
+
+    Of rows that repeat that key one stays. All columns stay as they are.
+    """
+    found = written(near_duplicates(docs, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").count(), "kept")
+    kept = docs.join(_small(found, found.count()), docs[key].eqNullSafe(found["doc_id"]), "left_semi")
+    return kept if found.where("count > 1").isEmpty() else kept.dropDuplicates([key])
