@@ -2,13 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quiresmith.session import table, work_path
+from quiresmith.llm.bytebpe import encode_decode
+from quiresmith.llm.decontam import find_contamination, judged
+from quiresmith.llm.jaccard import one_of_each
+from quiresmith.llm.langid import UNKNOWN, fit_language, identify
+from quiresmith.llm.quality import fit_quality, score_quality
+from quiresmith.llm.sampling import remainder
+from quiresmith.session import ship, table, work_path
 
-STAGES: list = []
+#: A document whose best language has a smaller pooled probability is in no one language.
+LEAST_LANGUAGE_SCORE = 0.4
 
-#: No stage of a trained model can be written in SQL.
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on labelled ones that are not held out, predicts as 1."""
+    model = fit_quality(docs, table(ship(spark), sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0))
+    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language, by a tagger fitted on documents that are not held out."""
+    ship(spark)
+    model = fit_language(docs.where(remainder(F.col("doc_id"), 4) != 2))
+    found = identify(docs, model)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of smallest doc_id."""
+    ship(spark)
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than a twentieth of benchmark passages."""
+    found = judged(find_contamination(docs, table(ship(spark), sf_dir, "benchmark"), keep=docs.columns))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded bytes."""
+    ship(spark)
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_payload=False)
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("tokenize", tokenize)]
+
+#: The trained models can't be written in SQL.
 ORACLE_SQL = None
 
 
