@@ -105,7 +105,9 @@ def train(texts: list[str | None], labels: list[int], prior: float, epochs: int
     model.prior = prior
     if len(set(labels)) < 2:
         return model
-    counts, firsts = passages(pa.array(texts, pa.string()))
+    parts = [passages(pa.array(texts[i : i + batch], pa.string())) for i in range(0, len(texts), batch)]
+    counts = np.concatenate([c for c, _ in parts])
+    firsts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
     y = np.asarray(labels, np.float32)
     share = y.mean()
     model.prior += float(np.log((1 - share) / share))
