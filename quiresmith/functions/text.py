@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,17 +13,26 @@ from pyspark.sql import functions as F
 WINDOWS_LATIN_EXTRA = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 
+def _match_parts(text: Column, needle: str) -> Column:
+    """The text cut before every match; all parts but perhaps the first begin with one."""
+    if not needle:
+        raise ValueError("ARGUMENT: empty needle")
+    return F.split(text, "(?=" + re.sub(r"([^\w\s])", r"\\\1", needle) + ")", -1)
+
+
 def match_offsets(text: Column, needle: str) -> Column:
     """Code point offsets, from 0, of all matches of ``needle``, overlapping ones too; exact and case-sensitive.
 
-    An empty needle is an error. Null text gives null. Linear in the text: characters are split once.
+    An empty needle is an error. Null text gives null.
     """
-    if not needle:
-        raise ValueError("ARGUMENT: empty needle")
-    n = len(needle)
-    chars = F.split(text, "")
-    found = F.filter(F.sequence(F.lit(0), F.length(text) - n), lambda i: (F.get(chars, i) == needle[0]) & (F.array_join(F.slice(chars, i + 1, F.lit(n)), "") == needle))
-    return F.when(text.isNotNull(), F.when(F.contains(text, F.lit(needle)), found).otherwise(F.array().cast("array<int>")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(p.startswith(needle), F.concat(s["found"], F.array(s["at"]))).otherwise(s["found"]).alias("found"))
+    return F.aggregate(_match_parts(text, needle), start, step, lambda s: s["found"])
+
+
+def match_count(text: Column, needle: str) -> Column:
+    """Number of matches, overlapping ones too."""
+    return F.size(F.filter(_match_parts(text, needle), lambda p: p.startswith(needle)))
 
 
 def windows_latin(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions.scan import with_islands, with_ordinal
-from quiresmith.functions.text import match_offsets
+from quiresmith.functions.text import match_count, match_offsets
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,10 +27,8 @@ def search_lines(docs: DataFrame, needle: str, key: str = "doc_id", text: str =
 
 
 def search_counts(docs: DataFrame, needle: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_matches`` of every row; null texts have none. Matches lie inside lines."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    counts = F.aggregate(F.transform(lines, lambda t: F.size(match_offsets(t, needle))), F.lit(0), lambda s, n: s + n)
-    return docs.select(key, F.when(F.contains(F.coalesce(F.col(text), F.lit("")), F.lit(needle)), counts).otherwise(0).cast("long").alias("n_matches"))
+    """``key, n_matches`` of every row; null texts have none. A needle without line feeds matches inside lines only."""
+    return docs.select(key, F.coalesce(match_count(F.col(text), needle), F.lit(0)).cast("long").alias("n_matches"))
 
 
 def break_islands(rows: DataFrame, key: str, order: list[str], value: str, gap: float, name: str = "line") -> DataFrame:
