@@ -24,6 +24,7 @@ EXTRA = 3
 HIDDEN = 24
 SAMPLE_PER_CLASS = 2000
 SAMPLE_TEXT_BYTES = 32 << 10
+LEAST_STEPS = 200
 _PAIR_BUCKET = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)).astype(np.int64)
 
 
@@ -114,7 +115,9 @@ def train(texts: list[str | None], labels: list[int], prior: float, epochs: int
     rng = np.random.default_rng(seed)
     first = [np.zeros_like(getattr(model, n)) for n in model.NAMES]
     second = [np.zeros_like(x) for x in first]
-    step, total = 0, epochs * -(-len(y) // batch)
+    batches = -(-len(y) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
+    step, total = 0, epochs * batches
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
