@@ -397,7 +397,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     members = written(docs.mapInArrow(_members, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, hist binary"), "members")
     real = members.where("n > 0")
-    nodes = written(real.groupBy("node").agg(F.min(F.struct("doc_id", "n", "hist")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.hist").alias("hist")), "nodes")
+    nodes = written(real.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "hist")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.hist").alias("hist")), "nodes")
     keys = Keys(int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     frequent = spark.sparkContext.broadcast(frequent_keys(docs, keys))
     found = written(candidates(docs, keys, frequent), "candidates")
