@@ -4,8 +4,9 @@ import zlib
 
 import pytest
 
-from quiresmith.operators import pdf
+from quiresmith.operators import pdf, pdf_edit
 from quiresmith.sources.pdf import parse_files
+from quiresmith.sources.pdf_write import serialize
 
 
 def build(objects, trailer=b"/Root 1 0 R"):
@@ -112,3 +113,40 @@ def test_forms_and_audit(corpus):
     assert got == {("a", "Tx", "top"), ("a.b", "Tx", "top"), ("a.c", "Ch", "own")}
     findings = {r.doc_id: r.findings for r in pdf.audit(corpus).collect()}
     assert findings == {"plain": 4 + 64, "packed": 4 + 64, "script": 1 + 2, "cycle": 0}
+
+
+def again(spark, tables):
+    return parse_files(serialize(*tables).withColumnRenamed("doc_id", "path"))
+
+
+def test_round_trip(spark, corpus):
+    back = again(spark, (corpus.nodes, corpus.edges))
+    want = {(r.doc_id, r.page_index, r.width, r.height) for r in pdf.visible_geometry(pdf.pages(corpus)).collect()}
+    assert {(r.doc_id, r.page_index, r.width, r.height) for r in pdf.visible_geometry(pdf.pages(back)).collect()} == want
+    assert {r.doc_id: r.Title for r in pdf.metadata(back).collect()}["plain"] == "Phase 5 Café"
+    assert serialize(back.nodes, back.edges).where("doc_id = 'plain'").first().content == serialize(corpus.nodes, corpus.edges).where("doc_id = 'plain'").first().content
+
+
+def test_crop_and_trim(spark, corpus):
+    pages = pdf.pages(corpus)
+    boxes = spark.createDataFrame([("plain", 1, (10.0, 20.0, 60.0, 80.0)), ("packed", 0, (0.0, 0.0, 900.0, 10.0))], "doc_id string, page_index int, rect struct<x0:double,y0:double,x1:double,y1:double>")
+    got = {(r.doc_id, r.page_index): r for r in pdf.pages(again(spark, pdf_edit.crop_pages(corpus, pages, boxes))).collect()}
+    assert tuple(got["plain", 1].crop) == (5.0, 10.0, 30.0, 40.0) and tuple(got["plain", 1].media) == (0, 0, 100, 50)
+    assert tuple(got["packed", 0].crop) == (10, 10, 150, 90)
+    got = {(r.doc_id, r.page_index): r for r in pdf.pages(again(spark, pdf_edit.trim_pages(corpus, pages, boxes))).collect()}
+    assert tuple(got["plain", 1].media) == (5.0, 10.0, 30.0, 40.0)
+
+
+def test_export_and_merge(spark, corpus):
+    pages = pdf.pages(corpus)
+    got = pdf.pages(again(spark, pdf_edit.export_pages(corpus, pages, [2, 0, 0]))).orderBy("doc_id", "page_index").collect()
+    assert [(r.doc_id, tuple(r.media), r.rotate) for r in got if r.doc_id == "plain"] == [("plain", (0, 0, 200, 120), 0), ("plain", (0, 0, 200, 120), 90), ("plain", (0, 0, 200, 120), 90)]
+    assert {r.doc_id for r in got} == {"plain", "packed"}
+    plan = spark.createDataFrame([("m", i, d, p) for i, (d, p) in enumerate([("plain", 1), ("cycle", 0), ("packed", 0)])] + [("bad", 0, "plain", 9)], "out_id string, out_page int, doc_id string, page_index int")
+    merged = again(spark, pdf_edit.assemble(corpus, pages, plan))
+    assert [(r.doc_id, r.media.x1) for r in pdf.pages(merged).orderBy("page_index").collect()] == [("m", 100.0), ("m", 1.0), ("m", 200.0)]
+
+
+def test_sanitize(spark, corpus):
+    left = {r.doc_id: r.findings for r in pdf.audit(again(spark, pdf_edit.sanitize(corpus, ["javascript", "launch", "external", "form"]))).collect()}
+    assert set(left.values()) == {0} and "script" in left
