@@ -335,8 +335,8 @@ class Corpus:
         self.edges = parsed.select("doc_id", F.explode("edges").alias("e")).select("doc_id", "e.*")
 
 
-def parse_files(files: DataFrame, doc_id: str = "path", content: str = "content") -> Corpus:
-    """Parse rows of (id, bytes) once, into a written table. A null or empty content is FORMAT; an empty table gives empty tables."""
+def parsed_rows(files: DataFrame, doc_id: str = "path", content: str = "content") -> DataFrame:
+    """Rows of SCHEMA for rows of (id, bytes), a stream or a table. A null or empty content is FORMAT."""
     node = pa.struct([("node", pa.int32()), ("kind", pa.string()), ("indirect", pa.bool_()), ("number", pa.float64()), ("data", pa.binary()), ("stream", pa.binary())])
     edge = pa.struct([("src", pa.int32()), ("ordinal", pa.int32()), ("key", pa.string()), ("dst", pa.int32())])
     schema = pa.schema([("doc_id", pa.string()), ("status", pa.string()), ("version", pa.string()), ("nodes", pa.list_(node)), ("edges", pa.list_(edge))])
@@ -346,7 +346,12 @@ def parse_files(files: DataFrame, doc_id: str = "path", content: str = "content"
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield pa.RecordBatch.from_pylist([{"doc_id": key} | parse(data.as_py())], schema=schema)
 
-    return Corpus(written(files.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content)).mapInArrow(run, SCHEMA), "pdf"))
+    return files.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(content)).mapInArrow(run, SCHEMA)
+
+
+def parse_files(files: DataFrame, doc_id: str = "path", content: str = "content") -> Corpus:
+    """Parse rows of (id, bytes) once, into a written table; an empty table gives empty tables."""
+    return Corpus(written(parsed_rows(files, doc_id, content), "pdf"))
 
 
 def read_pdf(spark: SparkSession, path: str) -> Corpus:
