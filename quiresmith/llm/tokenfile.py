@@ -14,6 +14,7 @@ symbol); document ids (i64) and whether they are null (u8); ids per document
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.llm.files import Input, Output
+from quiresmith.llm.textvec import LOWER, byte_class, packed, slices, word_hashes
 from quiresmith.session import work_path, written
 
 MAGIC = b"QSHUFF01"
@@ -31,31 +33,116 @@ HEADER = struct.Struct("<IIqqqqq")
 BLOCK_IDS = 512
 SHARD_IDS = 2_000_000
 LIMIT = 16
+SLICE_BYTES = 4 << 20
 MEMO_ENTRIES = 500_000
 INDEX = "part int, seq int, file string, n_docs long, n_tokens long"
 
 
-class WordEncoder(dict):
-    """Word bytes -> ids as packed integers, for tokenizers that drop white space and never join across it."""
+#: Lower-casing of A-Z but for I, which behaves otherwise before combining dots.
+_LOWER = np.where(np.arange(256) == 0x49, 0x49, LOWER).astype(np.uint8)
+_LETTER = byte_class([(0x49, 0x49), (0x61, 0x7A)])
+#: ASCII punctuation but for the apostrophe.
+_MARK = byte_class([(0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)])
+
+
+_SPACE = byte_class([(0x20, 0x20), (0x09, 0x0D)])
+
+
+#: Words of Latin-1 letters: a tokenizer's normalizing is plain lower-casing there, and one word is one piece.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The characters by which byte-level models know bytes: printed ones themselves, others from 256 on.
+_BYTE_CHAR = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _byte_chars(word: str) -> str:
+    return word if word.isascii() else "".join(map(_BYTE_CHAR.__getitem__, word.encode("utf-8")))
+
+
+class WordEncoder:
+    """Encodes texts with a lower-casing tokenizer that drops white space and never joins across it.
+
+    Texts are cut at ASCII white space and between ASCII letters and punctuation, where the tokenizer cuts too.
+    The ids of every piece are kept in a pool, so the library encodes each new piece only, many at once, and
+    texts are put together from the pool by array operations. Pieces are found by hash and compared by content.
+    Plain words go straight to the library's merge model, all else through the whole tokenizer.
+    """
 
     def __init__(self, path: str, dtype: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.special = [_LOWER[np.frombuffer(t.content.encode("utf-8"), np.uint8)].tobytes() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = dtype
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(word) <= 256:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text: those of its ASCII-space-separated words, one after another."""
-        return b"".join(map(self.__getitem__, text.encode("utf-8").split()))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.pieces: list[bytes] = []
+        self.pool = np.zeros(1 << 16, self.dtype)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.used = 0
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Append pieces and their ids."""
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            words = [w.decode("utf-8") for w in part]
+            plain = [_PLAIN(w) is not None for w in words]
+            rest = iter(self.tokenizer.encode_batch([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+            ids = [[t.id for t in self.merge(_byte_chars(w.lower()))] if p else next(rest).ids for w, p in zip(words, plain, strict=True)]
+            sizes = np.asarray([len(x) for x in ids], np.int64)
+            n, total = len(self.pieces), self.used + int(sizes.sum())
+            while len(self.pool) < total:
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while len(self.starts) < n + len(part) + 1:
+                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.pool[self.used : total] = [i for x in ids for i in x]
+            self.starts[n + 1 : n + 1 + len(part)] = self.used + np.cumsum(sizes)
+            self.used = total
+            self.pieces += part
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of texts; null is empty."""
+        data, offsets = packed(texts)
+        data = _LOWER[data]
+        inside = np.zeros(len(data) + 1, bool)
+        inside[:-1] = ~_SPACE[data]
+        before = np.zeros(len(data) + 1, bool)
+        before[1:] = inside[:-1]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        mark, letter = _MARK[data], _LETTER[data]
+        edge[1:-1] |= (mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])
+        starts = np.flatnonzero(inside & (~before | edge))
+        ends = np.flatnonzero(before & (~inside | edge))
+        distinct, where, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.pieces) >= MEMO_ENTRIES:
+            self._forget()
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        new: list[bytes] = []
+        codes = np.empty(len(distinct), np.int64)
+        for i, (h, piece) in enumerate(zip(distinct.tolist(), pieces, strict=True)):
+            code = self.place.get(h)
+            if code is None or self.pieces[code] != piece:
+                code = len(self.pieces) + len(new)
+                self.place[h] = code
+                new.append(piece)
+            codes[i] = code
+        self._learn(new)
+        code = codes[which]
+        sizes = self.starts[code + 1] - self.starts[code]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.arange(upto[-1]) + np.repeat(self.starts[code] - upto[:-1], sizes)]
+        bounds = upto[np.searchsorted(starts, offsets)].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        if any(x in raw for x in self.special):  # a text that holds the string of a special token is left to the library
+            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                if any(x in raw[a:b] for x in self.special):
+                    out[i] = np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype).tobytes()
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
@@ -77,7 +164,8 @@ def tokenized(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text
         encoder = _ENCODERS[path, dtype]
         end = np.asarray([end_id], dtype).tobytes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encoder.encode(t.as_py() or "") + end for t in batch.column(1)], pa.binary())], ["doc_id", "ids"])
+            for part in slices(batch, 1, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ids + end for ids in encoder.encode(part.column(1))], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids binary"), dtype
 
