@@ -46,3 +46,28 @@ def code128b_checksum(text: Column) -> Column:
     """(104 + sum of value times place) modulo 103."""
     products = F.transform(code128b_values(text), lambda v, i: (v * (i + 1)).cast("long"))
     return F.aggregate(products, F.lit(104).cast("long"), lambda s, x: s + x) % 103
+
+
+# Code 39 characters in rows of ten, the wide bars of each column, the wide spaces of each row, and signs whose spaces alone are wide.
+CODE39_GRID = "1234567890ABCDEFGHIJKLMNOPQRSTUVWXYZ-. *"
+CODE39_BARS = "10001 01001 11000 00101 10100 01100 00011 10010 01010 00110".split()
+CODE39_SPACES = "0100 0010 0001 1000".split()
+CODE39_SIGNS = {"$": "1110", "/": "1101", "+": "1011", "%": "0111"}
+WIDE = 3
+QUIET = 10
+
+
+def _code39_symbols() -> dict[str, str]:
+    """Character -> its modules, 1 for bars."""
+    parts = {c: (CODE39_BARS[i % 10], CODE39_SPACES[i // 10]) for i, c in enumerate(CODE39_GRID)} | {c: ("00000", s) for c, s in CODE39_SIGNS.items()}
+    run = lambda module, wide: module * (WIDE if wide == "1" else 1)
+    return {c: run("1", bars[0]) + "".join(run("0", s) + run("1", b) for s, b in zip(spaces, bars[1:], strict=True)) for c, (bars, spaces) in parts.items()}
+
+
+def code39_modules(text: Column) -> Column:
+    """Modules of a Code 39 with quiet zones, start and stop, without a checksum; null if a character is outside or there is none."""
+    symbols = _code39_symbols()
+    known = F.create_map(*[F.lit(x) for pair in symbols.items() for x in pair])
+    body = F.array_join(F.transform(F.split(text, ""), lambda c: known[c]), "0")
+    quiet, star = "0" * QUIET, symbols["*"]
+    return F.when(text.rlike(r"^[0-9A-Z\-. $/+%]+$"), F.concat(F.lit(f"{quiet}{star}0"), body, F.lit(f"0{star}{quiet}")))

@@ -60,3 +60,13 @@ def affine_product(first: Column, then: Column) -> Column:
         (p["c"] * q["a"] + p["d"] * q["c"]).alias("c"), (p["c"] * q["b"] + p["d"] * q["d"]).alias("d"),
         (p["e"] * q["a"] + p["f"] * q["c"] + q["e"]).alias("e"), (p["e"] * q["b"] + p["f"] * q["d"] + q["f"]).alias("f"),
     )
+
+
+def image_fit(width: Column, height: Column, box: Column, mode: str) -> Column:
+    """Where an image is drawn in a box: ``stretch`` fills it; ``contain`` and ``cover`` keep the proportions, in its middle."""
+    box_width, box_height = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    w, h = box_width, box_height
+    if mode != "stretch":
+        ratio = {"contain": F.least, "cover": F.greatest}[mode](box_width / width, box_height / height)
+        w, h = width * ratio, height * ratio
+    return F.struct((box["x0"] + (box_width - w) / 2).alias("x"), (box["y0"] + (box_height - h) / 2).alias("y"), w.alias("width"), h.alias("height"))

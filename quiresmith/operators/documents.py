@@ -99,3 +99,16 @@ def conflicts(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The row of largest ``order`` of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+
+
+def path_status(commands: DataFrame, path: str, order: list[str], kind: str, point: str) -> DataFrame:
+    """``path, status``: OK if a path begins with a move, draws a line and has finite points only, else FORMAT.
+
+    Kinds are ``move``, ``line`` and ``close``, which needs no point; others and null points are FORMAT. Aggregates
+    are pre-combined, so a long path needs no task of its own.
+    """
+    finite = F.coalesce(~F.isnan(point) & (F.abs(point) < float("inf")), F.lit(False))
+    bad = ~F.coalesce(F.col(kind).isin("move", "line", "close"), F.lit(False)) | ((F.col(kind) != "close") & ~finite)
+    facts = commands.groupBy(path).agg(F.min_by(kind, F.struct(*order)).alias("first"), F.max((F.col(kind) == "line").cast("int")).alias("drawn"), F.max(bad.cast("int")).alias("bad"))
+    fine = (F.col("first") == "move") & (F.col("drawn") == 1) & (F.col("bad") == 0)
+    return facts.select(path, F.when(fine, "OK").otherwise("FORMAT").alias("status"))

@@ -150,11 +150,45 @@ def annotations(corpus: Corpus, page_table: DataFrame) -> DataFrame:
     return page_annotations(corpus, page_table).where(~F.col("subtype").isin(list(NOT_ANNOTATIONS))).drop("A", "Dest")
 
 
+def named_destinations(corpus: Corpus) -> DataFrame:
+    """``doc_id, name, dest``: destination arrays by name, from the catalog's dictionary, else from its name tree.
+
+    Of names given twice in the tree the first in its order holds. A branch that returns to one of its own ancestors
+    or is deeper than MAX_DEPTH has no names.
+    """
+    root = members(corpus, ["Root"]).where("node = 0").select("doc_id", F.col("Root").alias("node"))
+    catalog = written(root.join(members(corpus, ["Dests", "Names"]), ["doc_id", "node"]), "catalog")
+    no_path = F.array().cast("array<int>")
+    found = corpus.edges.where("key IS NOT NULL").withColumnRenamed("src", "Dests").join(catalog.select("doc_id", "Dests"), ["doc_id", "Dests"])
+    found = found.select("doc_id", F.col("key").alias("name"), F.col("dst").alias("value"), F.lit(0).alias("rank"), no_path.alias("path"))
+    attrs = written(members(corpus, ["Kids", "Names"]), "name-attrs")
+    items = corpus.edges.where("key IS NULL").select("doc_id", "src", "ordinal", "dst")
+    texts = corpus.nodes.where("kind = 'string'").select("doc_id", F.col("node").alias("text"), F.decode("data", "ISO-8859-1").alias("name"))
+    tree = catalog.select("doc_id", F.col("Names").alias("node")).join(members(corpus, ["Dests"]), ["doc_id", "node"]).select("doc_id", F.col("Dests").alias("node"))
+    level = tree.withColumns({"path": no_path, "above": F.array("node")})
+    for _ in range(MAX_DEPTH):
+        level = written(level.join(attrs, ["doc_id", "node"]), "name-level")
+        if level.isEmpty():
+            break
+        listed = level.where("Names IS NOT NULL").join(items.withColumnRenamed("src", "Names"), ["doc_id", "Names"]).withColumn("pair", F.floor(F.col("ordinal") / 2).cast("int"))
+        pairs = listed.groupBy("doc_id", "path", "node", "pair").agg(*[F.max(F.when(F.col("ordinal") % 2 == i, F.col("dst"))).alias(c) for i, c in enumerate(("text", "value"))])
+        pairs = pairs.join(texts, ["doc_id", "text"]).where("value IS NOT NULL")
+        found = found.unionByName(pairs.select("doc_id", "name", "value", F.lit(1).alias("rank"), F.concat("path", F.array("pair")).alias("path")))
+        down = level.join(items.withColumnRenamed("src", "Kids"), ["doc_id", "Kids"]).where(~F.array_contains("above", F.col("dst")))
+        level = down.select("doc_id", F.col("dst").alias("node"), F.concat("path", F.array("ordinal")).alias("path"), F.concat("above", F.array("dst")).alias("above"))
+    inner = members(corpus, ["D"]).withColumnRenamed("node", "value")
+    found = found.join(inner, ["doc_id", "value"], "left").withColumn("dest", F.coalesce("D", "value"))
+    return found.groupBy("doc_id", "name").agg(F.min_by("dest", F.struct("rank", "path")).alias("dest"))
+
+
 def links(corpus: Corpus, page_table: DataFrame) -> DataFrame:
-    """``doc_id, page_index, ordinal, hotspot, uri, target_page, target``: hotspot as shown; targets only of explicit destinations, points only of XYZ."""
+    """``doc_id, page_index, ordinal, hotspot, uri, target_page, target``: hotspot as shown; named destinations are looked up, points only of XYZ."""
     found = page_annotations(corpus, page_table).where("subtype = 'Link'")
     actions = members(corpus, ["S", "URI", "D"]).withColumnRenamed("node", "A").join(values(corpus, "URI"), ["doc_id", "URI"], "left").select("doc_id", "A", decode_text(F.col("URI_data")).alias("uri"), "D")
     found = found.join(actions, ["doc_id", "A"], "left").withColumn("dest", F.coalesce("Dest", "D"))
+    named = corpus.nodes.where("kind IN ('name', 'string')").select("doc_id", F.col("node").alias("dest"), F.decode("data", "ISO-8859-1").alias("_name"))
+    known = named_destinations(corpus).select("doc_id", F.col("name").alias("_name"), F.col("dest").alias("_named"))
+    found = found.join(named, ["doc_id", "dest"], "left").join(known, ["doc_id", "_name"], "left").withColumn("dest", F.coalesce("_named", "dest")).drop("_name", "_named")
     first = corpus.edges.where("key IS NULL AND ordinal = 0").select("doc_id", F.col("src").alias("dest"), F.col("dst").alias("_page"))
     kind = corpus.edges.where("key IS NULL AND ordinal = 1").select("doc_id", F.col("src").alias("dest"), F.col("dst").alias("_kind")).join(names_of(corpus, "_kind"), ["doc_id", "_kind"])
     there = page_table.select("doc_id", F.col("node").alias("_page"), F.col("page_index").alias("target_page"), F.col("crop").alias("_box"), F.col("rotate").alias("_turn"), F.col("unit").alias("_unit"))

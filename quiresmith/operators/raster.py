@@ -37,3 +37,13 @@ def winding(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
         inside = (y >= float(min(y0, y1))) & (y < float(max(y0, y1))) & (cross > x)
         total = total + F.when(inside, 1 if up else -1).otherwise(0)
     return total
+
+
+def rotated(pixels: Column, width: int, height: int, rotation: Column) -> Column:
+    """Row-major pixels turned clockwise by 0, 90, 180 or 270 degrees."""
+
+    def source(i: Column) -> Column:
+        across, down = i % height, F.floor(i / height)  # of the turned grid, where its sides are exchanged
+        return F.when(rotation == 90, (height - 1 - across) * width + down).when(rotation == 180, width * height - 1 - i).when(rotation == 270, across * width + width - 1 - down).otherwise(i).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.get(pixels, source(i)))

@@ -324,3 +324,38 @@ def first_failure(spark, sf_dir):
 @_query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def dangling_refs(spark, sf_dir):
     return graph.dangling(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), "o_orderkey")
+
+
+@_query("SELECT p_partkey, mode, 10 + (80 - w) / 2 AS x, 20 + (60 - h) / 2 AS y, w AS width, h AS height FROM (SELECT p_partkey, mode, CASE mode WHEN 'stretch' THEN 80.0::DOUBLE WHEN 'contain' THEN iw * least(80 / iw, 60 / ih) ELSE iw * greatest(80 / iw, 60 / ih) END AS w, CASE mode WHEN 'stretch' THEN 60.0::DOUBLE WHEN 'contain' THEN ih * least(80 / iw, 60 / ih) ELSE ih * greatest(80 / iw, 60 / ih) END AS h FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS iw, CAST(p_size % 7 + 1 AS DOUBLE) AS ih FROM part), (VALUES ('stretch'), ('contain'), ('cover')) AS m(mode))")
+def image_fit(spark, sf_dir):
+    box, size = geometry.rect(10.0, 20.0, 90.0, 80.0), F.col("p_size")
+    fits = F.array(*[F.struct(F.lit(m).alias("mode"), geometry.image_fit(size.cast("double"), (size % 7 + 1).cast("double"), box, m).alias("r")) for m in ("stretch", "contain", "cover")])
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(fits)).select("p_partkey", "mode", "r.*")
+
+
+@_query("""SELECT vec_id, CAST(i AS INTEGER) AS cell, CAST(e[1 + CASE vec_id % 4 WHEN 1 THEN (3 - i % 4) * 16 + i // 4 WHEN 2 THEN 63 - i WHEN 3 THEN i % 4 * 16 + 15 - i // 4 ELSE i END] AS DOUBLE) AS value
+    FROM (SELECT vec_id, embedding AS e FROM embeddings), LATERAL unnest(range(0, 64)) AS t(i)""")
+def rotate_bitmap(spark, sf_dir):
+    turned = raster.rotated(F.col("embedding"), 16, 4, F.col("vec_id") % 4 * 90)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(turned).alias("cell", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+_KIND = "CASE WHEN event_type IN ('view', 'signup', 'error') THEN 'move' WHEN event_type = 'click' THEN 'line' ELSE 'close' END"
+
+
+@_query(f"""SELECT user_id, CASE WHEN first(kind ORDER BY ts, event_id) = 'move' AND bool_or(kind = 'line') AND bool_and(kind = 'close' OR coalesce(isfinite(value), false)) THEN 'OK' ELSE 'FORMAT' END AS status
+    FROM (SELECT *, {_KIND} AS kind FROM events) GROUP BY user_id""")
+def path_validity(spark, sf_dir):
+    return documents.path_status(table(spark, sf_dir, "events").withColumn("kind", F.expr(_KIND)), "user_id", ["ts", "event_id"], "kind", "value")
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, 'P-' || p_partkey || '$/+%. ' || p_size AS body FROM part),
+    c AS (SELECT p_partkey, body, i, substring('*' || body || '*', i, 1) AS x FROM t, LATERAL unnest(range(1, length(body) + 3)) AS u(i)),
+    g AS (SELECT *, instr('{barcode.CODE39_GRID}', x) - 1 AS place, instr('$/+%', x) - 1 AS sign FROM c),
+    w AS (SELECT *, CASE WHEN sign >= 0 THEN '00000' ELSE substring('{"".join(barcode.CODE39_BARS)}', place % 10 * 5 + 1, 5) END AS bars,
+        CASE WHEN sign >= 0 THEN substring('{"".join(barcode.CODE39_SIGNS.values())}', sign * 4 + 1, 4) ELSE substring('{"".join(barcode.CODE39_SPACES)}', place // 10 * 4 + 1, 4) END AS spaces FROM g),
+    m AS (SELECT *, array_to_string(list_transform(range(0, 9), lambda k: repeat(CASE WHEN k % 2 = 0 THEN '1' ELSE '0' END, CASE WHEN substring(CASE WHEN k % 2 = 0 THEN bars ELSE spaces END, k // 2 + 1, 1) = '1' THEN 3 ELSE 1 END)), '') AS modules FROM w)
+    SELECT p_partkey, body, repeat('0', 10) || string_agg(modules, '0' ORDER BY i) || repeat('0', 10) AS modules FROM m GROUP BY p_partkey, body""")
+def code39_modules(spark, sf_dir):
+    body = F.concat(F.lit("P-"), "p_partkey", F.lit("$/+%. "), "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", body.alias("body"), barcode.code39_modules(body).alias("modules"))

@@ -150,3 +150,17 @@ def test_export_and_merge(spark, corpus):
 def test_sanitize(spark, corpus):
     left = {r.doc_id: r.findings for r in pdf.audit(again(spark, pdf_edit.sanitize(corpus, ["javascript", "launch", "external", "form"]))).collect()}
     assert set(left.values()) == {0} and "script" in left
+
+
+def test_named_destinations(spark):
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R /Dests << /old [3 0 R /XYZ 1 2 0] /both [3 0 R /Fit] >> /Names << /Dests 5 0 R >> >>",
+        b"<< /Type /Pages /Kids [3 0 R 4 0 R] /MediaBox [0 0 100 50] >>",
+        b"<< /Type /Page /Annots [<< /Subtype /Link /Rect [0 0 1 1] /Dest /old >> << /Subtype /Link /Rect [0 0 1 1] /A << /S /GoTo /D (new) >> >> << /Subtype /Link /Rect [0 0 1 1] /Dest (both) >> << /Subtype /Link /Rect [0 0 1 1] /Dest (gone) >>] >>",
+        b"<< /Type /Page >>",
+        b"<< /Kids [6 0 R 5 0 R] >>",
+        b"<< /Names [(both) [4 0 R /Fit] (new) << /D [4 0 R /XYZ 10 20 0] >>] >>",
+    ]
+    corpus = parse_files(spark.createDataFrame([("n", bytearray(build(objects)))], "path string, content binary"))
+    got = pdf.links(corpus, pdf.pages(corpus)).orderBy("ordinal").collect()
+    assert [(r.target_page, r.target and tuple(r.target)) for r in got] == [(0, (1.0, 48.0)), (1, (10.0, 30.0)), (0, (0.0, 0.0)), (None, None)]
