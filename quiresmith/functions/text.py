@@ -14,7 +14,10 @@ WINDOWS_LATIN_EXTRA = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜
 
 
 def _match_parts(text: Column, needle: str) -> Column:
-    """The text cut before every match; all parts but perhaps the first begin with one."""
+    """The text cut before every match, so that each part but the first begins one; the first does if the text begins with it.
+
+    A match may reach over several parts, as matches overlap.
+    """
     if not needle:
         raise ValueError("ARGUMENT: empty needle")
     return F.split(text, "(?=" + re.sub(r"([^\w\s])", r"\\\1", needle) + ")", -1)
@@ -25,14 +28,15 @@ def match_offsets(text: Column, needle: str) -> Column:
 
     An empty needle is an error. Null text gives null.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(p.startswith(needle), F.concat(s["found"], F.array(s["at"]))).otherwise(s["found"]).alias("found"))
-    return F.aggregate(_match_parts(text, needle), start, step, lambda s: s["found"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+    starts = F.aggregate(_match_parts(text, needle), start, step, lambda s: s["starts"])
+    return F.when(text.startswith(needle), starts).otherwise(F.slice(starts, 2, F.size(starts)))
 
 
 def match_count(text: Column, needle: str) -> Column:
     """Number of matches, overlapping ones too."""
-    return F.size(F.filter(_match_parts(text, needle), lambda p: p.startswith(needle)))
+    return F.size(_match_parts(text, needle)) - F.when(text.startswith(needle), 0).otherwise(1)
 
 
 def windows_latin(text: Column) -> Column:
