@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 from zlib import crc32
 
@@ -165,21 +166,23 @@ class Page:
 
 
 def parse_pages(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """``page_id, url, host, uid, blocks, layouts``: the content blocks of each page and the layouts of its containers."""
+    """``page_id, url, host, uid, shape, blocks, layouts``: the content blocks of each page, the layouts of its containers and a hash of both."""
     host = F.coalesce(F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.xxhash64(F.col(page_id), F.col(url), F.col(html)).alias("uid"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    schema = f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, host string, uid long, blocks {BLOCK}, layouts array<struct<path:int,style:long>>"
+    schema = f"page_id {pages.schema[page_id].dataType.simpleString()}, url string, host string, uid long, shape long, blocks {BLOCK}, layouts array<struct<path:int,style:long>>"
     block_type = pa.list_(pa.struct([("text", pa.string()), ("path", pa.int32()), ("parent", pa.int32()), ("feature", pa.int64()), ("weight", pa.float64()), ("inside", pa.bool_())]))
     layout_type = pa.list_(pa.struct([("path", pa.int32()), ("style", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, layouts = [], []
+            blocks, layouts, shapes = [], [], []
             for source in batch.column(4):
                 page = Page(source.as_py())
                 blocks.append(page.weighted())
                 layouts.append([{"path": p, "style": crc32(repr(s).encode())} for p, s in page.layouts.items()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blocks, block_type), pa.array(layouts, layout_type)], ["page_id", "url", "host", "uid", "blocks", "layouts"])
+                seen = repr(([(b["path"], b["feature"]) for b in blocks[-1]], page.layouts)).encode()
+                shapes.append(int.from_bytes(blake2b(seen, digest_size=8).digest(), "big", signed=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shapes, pa.int64()), pa.array(blocks, block_type), pa.array(layouts, layout_type)], ["page_id", "url", "host", "uid", "shape", "blocks", "layouts"])
 
     return rows.mapInArrow(run, schema)
 
@@ -187,12 +190,15 @@ def parse_pages(pages: DataFrame, page_id: str, url: str, html: str) -> DataFram
 def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``host, path, feature, content``: importance below 1 of block texts; ``host, path, presentation``: of containers).
 
-    Pages of a host that are the same in blocks and layouts count once each; all counts are pre-aggregated.
+    Pages of a host that are the same in blocks and layouts count once, however often they are published; a text
+    that stands on fewer than two different pages is not spread. All counts are pre-aggregated.
     """
-    blocks = parsed.select("host", F.explode(F.filter("blocks", lambda b: ~b["inside"])).alias("b")).select("host", "b.path", "b.feature")
-    per_text = blocks.groupBy("host", "path", "feature").agg(F.count(F.lit(1)).alias("k"))
+    outside = F.transform(F.filter("blocks", lambda b: ~b["inside"]), lambda b: F.struct(b["path"].alias("path"), b["feature"].alias("feature")))
+    parsed = parsed.select("host", "shape", outside.alias("blocks"), "layouts").dropDuplicates(["host", "shape"])
+    blocks = parsed.select("host", "shape", F.explode("blocks").alias("b")).select("host", "shape", "b.path", "b.feature")
+    per_text = blocks.groupBy("host", "path", "feature").agg(F.count(F.lit(1)).alias("k"), (F.min("shape") != F.max("shape")).alias("spread"))
     per_path = per_text.groupBy("host", "path").agg(F.sum("k").alias("m"))
-    repeated = per_text.where("k > 1").join(per_path, ["host", "path"])
+    repeated = per_text.where("spread").join(per_path, ["host", "path"])
     content = repeated.select("host", "path", "feature", (1 - F.log("k") / F.log("m")).alias("content"))
     layouts = parsed.select("host", F.explode("layouts").alias("l")).groupBy("host", "l.path", "l.style").agg(F.count(F.lit(1)).alias("c"))
     sums = layouts.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))

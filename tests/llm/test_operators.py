@@ -205,6 +205,15 @@ def test_main_text(spark):
     assert htmltree.extract_main_text(pages.limit(0)).collect() == []
 
 
+def test_main_text_copies(spark):
+    page = lambda x: f"<p>Same foot</p><div><p>Story {x}</p></div>"
+    rows = [(i, f"http://h/{i}", page(min(i, 200))) for i in range(300)]  # a third are copies of one page
+    rows += [(1000 + i, "http://two/", "<title>t</title><p>only</p><p>twice</p><p>twice</p>") for i in range(2)]
+    text = {r.page_id: r.text for r in htmltree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [text[i] for i in range(300)] == [f"Story {min(i, 200)}" for i in range(300)]
+    assert text[1000] == text[1001] == "only\n\ntwice\n\ntwice"
+
+
 def test_bpe(spark):
     got = bytebpe.encode_decode(documents(spark, ODD), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
     for r, (i, t) in zip(got, ODD, strict=True):
