@@ -6,10 +6,11 @@ page to page (entropy over the host's pages); a content block matters as far as
 its text is not spread over the pages that have a block at this path. A branch
 is removed if its importance, weighted by what its tags and classes say about
 its role, is low. An article or main element, where there is one, is the
-content: branches outside it weigh little, its own content blocks are never
-removed by their importance, so articles that a host publishes twice stay.
-Menus, notices and the like are part of the tree too; their role alone keeps
-their weighted importance below the threshold.
+content: its own content blocks are never removed by their importance, so
+articles that a host publishes twice stay. Blocks outside it stay only if the
+tree speaks for them: their path occurs on other pages of the host, with other
+texts, and they aren't links alone. Menus, notices and the like are part of the
+tree too; their role alone removes them, whatever their importance.
 """
 
 from __future__ import annotations
@@ -60,8 +61,10 @@ def is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    words = re.split(r"[^a-z0-9]+", f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower())
-    return tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(words)
+    if tag in ("html", "body") or tag in LANDMARKS or attrs.get("role") in LANDMARKS:
+        return False
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower().split()
+    return any(NOISE_WORDS.issuperset(filter(None, parts)) and any(parts) for parts in (re.split(r"[^a-z0-9]+", n) for n in names))
 
 
 class Page:
@@ -74,6 +77,8 @@ class Page:
         #: Tag, style path, role (0 content, 1 noise, 2 noise inside a block, not read), inside a landmark.
         self.stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
         self.open_text: list[str] = []
+        #: Whether the open text has been in links alone.
+        self.linked = True
         at = 0
         skip_to = 0
         for m in TOKEN.finditer(html):
@@ -102,6 +107,8 @@ class Page:
     def _text(self, raw: str) -> None:
         if raw and self.stack[-1][2] < 2:
             self.open_text.append(raw)
+            if self.linked and not self.stack[-1][3] and raw.strip():
+                self.linked = any(e[0] == "a" for e in self.stack)
 
     def _flush(self) -> None:
         text = SPACE.sub(" ", unescape("".join(self.open_text))).strip()
@@ -109,7 +116,8 @@ class Page:
         if text:
             block = next((e for e in reversed(self.stack) if e[0] not in INLINE), self.stack[0])
             above = self.stack[max(0, self.stack.index(block) - 1)]
-            self.blocks.append({"text": text, "path": block[1], "parent": above[1], "inside": block[3], "noise": block[2] > 0})
+            self.blocks.append({"text": text, "path": block[1], "parent": above[1], "inside": block[3], "noise": block[2] > 0, "linked": self.linked})
+        self.linked = True
 
     def _open(self, tag: str, rest: str) -> None:
         if tag in INLINE:
@@ -155,13 +163,13 @@ class Page:
             del self.stack[at:]
 
     def weighted(self) -> list[dict]:
-        """Blocks with the hash of their text and the weight of their role; texts of noise are not kept."""
+        """Blocks with the hash of their text and the weight of their role; texts of noise and of links outside a landmark are not kept."""
         out = []
         for b in self.blocks:
-            noise = b.pop("noise")
+            noise, linked = b.pop("noise"), b.pop("linked")
             weight = NOISE if noise else 1.0 if b["inside"] or not self.has_landmark else OUTSIDE
             raw = b["text"].encode("utf-8", "surrogatepass")
-            out.append(b | {"text": None if weight < LOW_IMPORTANCE else b["text"], "feature": crc32(raw) << 31 | crc32(raw[::-1]) >> 1, "weight": weight, "inside": b["inside"] and not noise})
+            out.append(b | {"text": None if noise or (linked and weight == OUTSIDE) else b["text"], "feature": crc32(raw) << 31 | crc32(raw[::-1]) >> 1, "weight": weight, "inside": b["inside"] and not noise})
         return out
 
 
@@ -187,8 +195,8 @@ def parse_pages(pages: DataFrame, page_id: str, url: str, html: str) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
-def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``host, path, feature, content``: importance below 1 of block texts; ``host, path, presentation``: of containers).
+def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``host, path, feature, content``: importance below 1 of block texts; ``host, path, presentation``: of containers; ``host, path, seen``: paths of blocks on several pages).
 
     Pages of a host that are the same in blocks and layouts count once, however often they are published; a text
     that stands on fewer than two different pages is not spread. All counts are pre-aggregated.
@@ -196,14 +204,14 @@ def style_tree(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     outside = F.transform(F.filter("blocks", lambda b: ~b["inside"]), lambda b: F.struct(b["path"].alias("path"), b["feature"].alias("feature")))
     parsed = parsed.select("host", "shape", outside.alias("blocks"), "layouts").dropDuplicates(["host", "shape"])
     blocks = parsed.select("host", "shape", F.explode("blocks").alias("b")).select("host", "shape", "b.path", "b.feature")
-    per_text = blocks.groupBy("host", "path", "feature").agg(F.count(F.lit(1)).alias("k"), (F.min("shape") != F.max("shape")).alias("spread"))
-    per_path = per_text.groupBy("host", "path").agg(F.sum("k").alias("m"))
-    repeated = per_text.where("spread").join(per_path, ["host", "path"])
+    per_text = blocks.groupBy("host", "path", "feature").agg(F.count(F.lit(1)).alias("k"), F.min("shape").alias("lo"), F.max("shape").alias("hi"))
+    per_path = per_text.groupBy("host", "path").agg(F.sum("k").alias("m"), (F.min("lo") != F.max("hi")).alias("seen"))
+    repeated = per_text.where("lo <> hi").join(per_path, ["host", "path"])
     content = repeated.select("host", "path", "feature", (1 - F.log("k") / F.log("m")).alias("content"))
     layouts = parsed.select("host", F.explode("layouts").alias("l")).groupBy("host", "l.path", "l.style").agg(F.count(F.lit(1)).alias("c"))
     sums = layouts.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     presentation = sums.select("host", "path", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias("presentation"))
-    return content, presentation
+    return content, presentation, per_path.where("seen").select("host", "path", "seen")
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", low: float = LOW_IMPORTANCE) -> DataFrame:
@@ -214,18 +222,20 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     far as it goes, an unfinished tag at the end is left out; repeated rows give repeated results; an empty table
     gives an empty result; other columns are ignored. Whole pages are read, of any length.
 
-    Only pages with blocks whose weight leaves the decision to their importance are joined with the style tree.
+    Only pages with blocks whose role leaves the decision to their importance are joined with the style tree. A
+    weight below ``low`` makes importance count as a power of 1 / weight, where there are other pages to tell it.
     """
     parsed = written(parse_pages(pages, page_id, url, html), "pages")
-    open_block = lambda b: ~b["inside"] & (b["weight"] >= low)
+    open_block = lambda b: ~b["inside"] & b["text"].isNotNull()
     undecided = F.exists("blocks", open_block)
-    content, presentation = style_tree(parsed)
-    asked = parsed.where(undecided).select("uid", "host", F.posexplode("blocks").alias("at", "b")).where(~F.col("b.inside") & (F.col("b.weight") >= low))
+    content, presentation, seen = style_tree(parsed)
+    asked = parsed.where(undecided).select("uid", "host", F.posexplode("blocks").alias("at", "b")).where(open_block(F.col("b")))
     asked = asked.select("uid", "at", "host", F.col("b.path").alias("path"), F.col("b.parent").alias("parent"), F.col("b.feature").alias("feature"), F.col("b.weight").alias("weight"))
-    judged = asked.join(content, ["host", "path", "feature"]).join(presentation.withColumnRenamed("path", "parent"), ["host", "parent"], "left")
-    value = F.col("weight") * (PRESENTATION * F.coalesce("presentation", F.lit(1.0)) + (1 - PRESENTATION) * F.col("content"))
+    judged = asked.join(content, ["host", "path", "feature"], "left").join(seen, ["host", "path"], "left").join(presentation.withColumnRenamed("path", "parent"), ["host", "parent"], "left")
+    importance = PRESENTATION * F.coalesce("presentation", F.lit(1.0)) + (1 - PRESENTATION) * F.coalesce("content", F.lit(1.0))
+    value = F.when(F.col("weight") >= low, F.col("weight") * importance).when(F.col("seen"), F.pow(importance, 1 / F.col("weight"))).otherwise(0.0)
     removed = judged.where(value < low).groupBy("uid").agg(F.collect_set("at").alias("removed"))
-    kept = lambda skip: F.array_join(F.transform(F.filter("blocks", lambda b, i: (b["weight"] >= low) & ~skip(i)), lambda b: b["text"]), "\n\n")
+    kept = lambda skip: F.array_join(F.transform(F.filter("blocks", lambda b, i: b["text"].isNotNull() & ~skip(i)), lambda b: b["text"]), "\n\n")
     plain = parsed.where(~undecided).select("page_id", "url", kept(lambda i: F.lit(False)).alias("text"))
     pruned = parsed.where(undecided).join(removed, "uid", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     pruned = pruned.select("page_id", "url", kept(lambda i: F.array_contains("removed", i)).alias("text"))

@@ -214,6 +214,14 @@ def test_main_text_copies(spark):
     assert text[1000] == text[1001] == "only\n\ntwice\n\ntwice"
 
 
+def test_main_text_outside_landmarks(spark):
+    page = lambda x: f"<ul><li><a href='/{x}'>Link {x}</a></li></ul><div class='content no-sidebar'><p>Story {x}, <a href='/'>a link</a></p></div><article class='card related'><header class='article-header'>Card {x}</header></article><div class='cookie-banner'>Cookie {x}</div><p>Same foot</p>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(20)] + [(50, "http://alone/", page(50))]
+    text = {r.page_id: r.text for r in htmltree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [text[i] for i in range(20)] == [f"Story {i}, a link\n\nCard {i}" for i in range(20)]
+    assert text[50] == "Card 50"  # no other page tells the story from a notice
+
+
 def test_bpe(spark):
     got = bytebpe.encode_decode(documents(spark, ODD), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
     for r, (i, t) in zip(got, ODD, strict=True):
