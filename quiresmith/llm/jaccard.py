@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quiresmith.llm.components import connected_components
 from quiresmith.llm.textvec import LOWER, byte_class, mix, packed, sequence_hashes, slices, word_hashes, word_spans
@@ -379,14 +380,8 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return dealt.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: components of documents whose shingle sets have Jaccard similarity of 0.8 or more.
-
-    A-Z are lower-cased; words are runs of what is not ASCII white space; the set of a document holds its
-    distinct five-word shingles, or its whole word sequence if that is shorter. Documents without words or with
-    a null text have an empty set and are linked with nothing. The component id is the smallest key reachable.
-    Whole texts are used; rows with equal sets are one node; repeated keys are rows of their own; null keys never
-    name a component unless all its keys are null; an empty table gives an empty result; other columns are ignored.
+def _placed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, n, node, hist`` of every row; ``node, rep, root`` of every set that isn't empty).
 
     1. Sets are made from the texts; equal sets are one node. 2. All tokens are counted; the most frequent, a
     bounded number, form the frequent class. 3. Signatures are grouped: small buckets give all pairs, large ones
@@ -408,17 +403,53 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rows = large.join(nodes.select("node", "n", "hist"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         more = written(verified(_cross_pairs(rows), nodes, docs), "links")
         roots = connected_components(links.union(more))
-    placed = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return members, nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: components of documents whose shingle sets have Jaccard similarity of 0.8 or more.
+
+    A-Z are lower-cased; words are runs of what is not ASCII white space; the set of a document holds its
+    distinct five-word shingles, or its whole word sequence if that is shorter. Documents without words or with
+    a null text have an empty set and are linked with nothing. The component id is the smallest key reachable.
+    Whole texts are used; rows with equal sets are one node; repeated keys are rows of their own; null keys never
+    name a component unless all its keys are null; an empty table gives an empty result; other columns are ignored.
+    """
+    members, placed = _placed(docs, key, text)
     names = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(names, "root").select("node", "component_id")
     return members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, tokens, firsts in _text_slices(batches):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(firsts)), _signed(set_digests(tokens, firsts)), part.column(2)], ["doc_id", "n", "node", "row"])
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: that of smallest key.
+    """``docs`` with one row of each near-duplicate component: that of smallest key, a null key being the last, and then of smallest set digest.
+
+    Of rows equal in both one stays. Rows with an empty set are components of their own, so all stay. Rows of
+    other components stay even if they repeat a key or have a null one. All columns stay as they are.
 
-    Of rows that repeat that key one stays. All columns stay as they are.
+    Rows are found by their keys; only those whose key stands on several rows have their sets made once more.
     """
-    found = written(near_duplicates(docs, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").count(), "kept")
-    kept = docs.join(_small(found, found.count()), docs[key].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept if found.where("count > 1").isEmpty() else kept.dropDuplicates([key])
+    members, placed = _placed(docs, key, text)
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("r")).select(F.col("r.node").alias("node"), F.col("r.rep").alias("rep"))
+    first = written(first, "first")
+    marked = members.select("doc_id", "n", "node").join(first.withColumn("chosen", F.lit(True)), "node", "left")
+    stays = (F.col("n") == 0) | (F.coalesce("chosen", F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    found = marked.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("rows")).where("stays")
+    found = written(found.select("doc_id", "rows"), "kept")
+
+    def of(ids: DataFrame) -> DataFrame:
+        return docs.join(_small(ids, ids.count()), docs[key].eqNullSafe(ids["doc_id"]), "left_semi")
+
+    repeated = found.where("rows > 1")
+    if repeated.isEmpty():
+        return of(found)
+    schema = StructType().add("doc_id", docs.schema[key].dataType).add("n", "long").add("node", "long").add("row", docs.schema)
+    made = of(repeated).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct("*").alias("row")).mapInArrow(_digested, schema)
+    made = written(made, "repeated")
+    chosen = made.where("n > 0").join(first, (made["node"] == first["node"]) & made["doc_id"].eqNullSafe(first["rep"]), "left_semi").dropDuplicates(["doc_id", "node"])
+    return of(found.where("rows = 1")).unionByName(chosen.unionByName(made.where("n = 0")).select("row.*"))

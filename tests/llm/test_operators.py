@@ -128,6 +128,14 @@ def test_one_of_each(spark):
     assert jaccard.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_one_of_each_repeated_keys(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " z"), (None, ""), (None, ""), (1, a + " z"), (2, c), (2, d), (2, c), (3, c), (3, d + " z"), (3, "own")]
+    got = sorted(((r.doc_id, r.text, r.k) for r in jaccard.one_of_each(documents(spark, rows).repartition(3)).collect()), key=repr)
+    either = next(t for _, t, _ in got if t in (b, b + " z"))
+    assert got == sorted([(i, t, "x") for i, t in [(None, either), (None, ""), (None, ""), (1, a + " z"), (2, c), (2, d), (3, "own")]], key=repr)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 99), (99, 100), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
