@@ -49,6 +49,14 @@ def _fonts(corpus: Corpus, pages: DataFrame) -> DataFrame:
     return full.groupBy("doc_id", "page_index").agg(F.collect_list(font).alias("fonts"))
 
 
+def _forms(corpus: Corpus, pages: DataFrame) -> DataFrame:
+    """``doc_id, page_index, forms``: names of the form XObjects among each page's resources."""
+    held = members(corpus, ["XObject"]).withColumnRenamed("node", "resources")
+    rows = _members_of(corpus, pages.select("doc_id", "page_index", "resources").join(held, ["doc_id", "resources"]), "XObject").select("doc_id", "page_index", F.col("key").alias("name"), F.col("dst").alias("node"))
+    kinds = members(corpus, ["Subtype"]).join(names_of(corpus, "Subtype"), ["doc_id", "Subtype"]).where("Subtype_name = 'Form'")
+    return rows.join(kinds, ["doc_id", "node"]).groupBy("doc_id", "page_index").agg(F.collect_list("name").alias("forms"))
+
+
 def _contents(corpus: Corpus, pages: DataFrame) -> DataFrame:
     """``doc_id, page_index, parts``: the content streams of each page, in order."""
     held = members(corpus, ["Contents"]).join(pages.select("doc_id", "node", "page_index"), ["doc_id", "node"]).select("doc_id", "page_index", "Contents")
@@ -59,17 +67,20 @@ def _contents(corpus: Corpus, pages: DataFrame) -> DataFrame:
 
 
 def page_glyphs(corpus: Corpus, pages: DataFrame) -> DataFrame:
-    """``doc_id, page_index, text_status, glyphs`` of every page, a written table; a page that fails has no glyphs."""
-    rows = pages.select("doc_id", "page_index").join(_contents(corpus, pages), ["doc_id", "page_index"], "left").join(_fonts(corpus, pages), ["doc_id", "page_index"], "left")
+    """``doc_id, page_index, text_status, glyphs`` of every page, a written table; a page that fails has no glyphs.
+
+    Form XObjects aren't read: a page that draws one is UNSUPPORTED.
+    """
+    rows = pages.select("doc_id", "page_index").join(_contents(corpus, pages), ["doc_id", "page_index"], "left").join(_fonts(corpus, pages), ["doc_id", "page_index"], "left").join(_forms(corpus, pages), ["doc_id", "page_index"], "left")
     glyph_type = pa.list_(pa.struct([(n, t) for n, t in zip(("text", "x0", "y0", "x1", "y1", "height", "size", "argb"), (pa.string(), *[pa.float64()] * 6, pa.int64()), strict=True)]))
 
     def plain(stream: bytes, filters: list[str]) -> bytes:
         return decoded(Stream({b"Filter": [f.encode("latin-1") for f in filters]}, stream), lambda v: v)
 
-    def page(parts: list[dict] | None, fonts: list[dict] | None) -> tuple[str, list[tuple]]:
+    def page(parts: list[dict] | None, fonts: list[dict] | None, forms: list[str] | None) -> tuple[str, list[tuple]]:
         try:
             known = {f["name"]: Font(bool(f["wide"]), f["first"], f["widths"], plain(f["cmap"], f["filters"]) if f["cmap"] is not None else None) for f in fonts or []}
-            return "OK", glyphs(b"\n".join(plain(p["stream"], p["filters"]) for p in parts or []), known)
+            return "OK", glyphs(b"\n".join(plain(p["stream"], p["filters"]) for p in parts or []), known, frozenset(forms or []))
         except Broken as e:
             return str(e), []
         except (ValueError, IndexError, TypeError, AttributeError):
@@ -77,7 +88,7 @@ def page_glyphs(corpus: Corpus, pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page(p, f) for p, f in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [page(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in found]), pa.array([[dict(zip(("text", "x0", "y0", "x1", "y1", "height", "size", "argb"), x, strict=True)) for x in g] for _, g in found], glyph_type)], ["doc_id", "page_index", "text_status", "glyphs"])
 
     return written(rows.mapInArrow(run, f"doc_id string, page_index int, text_status string, glyphs array<{GLYPH}>"), "glyphs")

@@ -10,7 +10,7 @@ Matrix = tuple[float, float, float, float, float, float]
 IDENTITY: Matrix = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 DEFAULT_WIDTH = 500.0
 # Operators that show nothing and leave the text state alone, and the colour operators by number of components.
-NEUTRAL = frozenset(b"w J j M d ri i gs m l c v y h re S s f F f* B B* b b* n W W* BMC BDC EMC MP DP sh Do d0 d1 BX EX CS cs SC SCN sc scn G RG K".split())
+NEUTRAL = frozenset(b"w J j M d ri i gs m l c v y h re S s f F f* B B* b b* n W W* BMC BDC EMC MP DP sh d0 d1 BX EX CS cs SC SCN sc scn G RG K".split())
 FILL_COLORS = {b"g": 1, b"rg": 3, b"k": 4}
 WINDOWS_LATIN_80 = "€�‚ƒ„…†‡ˆ‰Š‹Œ�Ž��‘’“”•–—˜™š›œ�žŸ"
 
@@ -74,10 +74,10 @@ def _argb(v: list[float]) -> int:
     return 0xFF000000 | _channel(v[0]) << 16 | _channel(v[1]) << 8 | _channel(v[2])
 
 
-def glyphs(content: bytes, fonts: dict[str, Font]) -> list[tuple]:
+def glyphs(content: bytes, fonts: dict[str, Font], forms: frozenset[str] = frozenset()) -> list[tuple]:
     """(text, x0, y0, x1, y1, height, size, argb) of every glyph shown, in order: base line in page space, ``height`` the scaled font size.
 
-    Unknown operators raise UNSUPPORTED, broken syntax and unbalanced states FORMAT.
+    Unknown operators and the drawing of one of ``forms`` raise UNSUPPORTED, broken syntax and unbalanced states FORMAT.
     """
     r, out, stack, operands = Reader(content), [], [], []
     ctm, state = IDENTITY, {"font": None, "size": 0.0, "c": 0.0, "w": 0.0, "z": 1.0, "l": 0.0, "rise": 0.0, "argb": 0xFF000000}
@@ -123,6 +123,11 @@ def glyphs(content: bytes, fonts: dict[str, Font]) -> list[tuple]:
             ctm, state = stack.pop()
         elif op == b"BI":
             raise Broken("UNSUPPORTED")
+        elif op == b"Do":
+            if len(args) != 1 or not isinstance(args[0], Name):
+                raise Broken("FORMAT")
+            if args[0].decode("latin-1") in forms:
+                raise Broken("UNSUPPORTED")
         elif op == b"cm":
             ctm = product(tuple(map(number, args[:6])), ctm)
         elif op == b"BT":
