@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +51,34 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
     return out, np.searchsorted(text, np.arange(len(n) + 1))
 
 
-def set_digests(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+def set_digests(tokens: np.ndarray, firsts: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
     """A 64-bit digest of each set; 0 for the empty set."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)))])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ np.uint64(salt)))])
     sizes = np.diff(firsts).astype(np.uint64)
     out = mix((sums[firsts[1:]] - sums[firsts[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + sizes)
     return np.where(sizes > 0, out, np.uint64(0))
 
 
+class Identity:
+    """Numbers of sets: a digest, or a second one where different sets were seen to share the first.
+
+    Sets are told apart by both digests, 128 bits. ``shared`` lists the few first digests that stand for several
+    sets; ``bits`` shortens the first digest, for tests.
+    """
+
+    def __init__(self, bits: int = 64, shared: tuple[int, ...] = ()):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.shared = np.asarray(shared, np.int64)
+
+    def both(self, tokens: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = (set_digests(tokens, firsts) & self.mask).view(np.int64)
+        return first, set_digests(tokens, firsts, 0x2545F4914F6CDD1D).view(np.int64)
+
+    def of(self, tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        first, second = self.both(tokens, firsts)
+        return np.where(np.isin(first, self.shared), second, first)
+
+
 def needed(n: np.ndarray) -> np.ndarray:
     """Mismatches that rule a partner out, plus one: n - ceil(n * NUM / DEN) + 1."""
     return n - -(-n * NUM // DEN) + 1
@@ -70,15 +92,32 @@ def level(n: int) -> int:
     return out
 
 
-def signatures(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of all texts; ``frequent`` marks tokens of the frequent class.
+def _band_starts() -> list[int]:
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, out[-1] * 21 // 20))
+    return out
+
+
+#: Smallest sizes of bands of set sizes: each band ends a twentieth above its start.
+BANDS = _band_starts()
+
+
+def signatures(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, whether of frequent tokens) of all texts; ``frequent`` marks tokens of the frequent class.
 
     Tokens are in one global order: rare before frequent, then by hash. Rare
     tokens are signatures themselves. Frequent ones fall into classes by hash,
     of each of which pairs are indexed; a prefix goes on until every token
-    counts one, but the first of each class none, and the sum reaches needed().
-    Two sets that agree in enough tokens share a signature: else each class
-    would hide at most one common token of the shorter prefix.
+    counts one, but the first of each class none, and the sum reaches the
+    mismatches that rule a partner out, plus one. Two sets that agree in enough
+    tokens share a signature: else each class would hide at most one common
+    token of the shorter prefix.
+
+    Signatures of frequent tokens belong to a band of sizes, that of the smaller
+    set of a pair. A set gives them for its own band and for all below that may
+    hold partners; the mismatches follow from the least size met there. So a
+    set with an eighth of rare tokens has no such signature among sets of its size.
     """
     n = np.diff(firsts)
     need = needed(n)
@@ -91,14 +130,16 @@ def signatures(tokens: np.ndarray, firsts: np.ndarray, frequent: np.ndarray) ->
     rare = np.bincount(text[~frequent], minlength=len(n))
     for i in np.flatnonzero(rare < need):
         rest = tokens[firsts[i] + rare[i] : firsts[i + 1]]
-        lack = int(need[i] - rare[i])
-        for depth in {level(int(n[i])), level(int(-(-n[i] * NUM // DEN)))}:
-            if depth < 0:
-                out.append(rest[:lack])
-            else:
-                out.append(_class_pairs(rest, lack, BASE_CLASSES * 4**depth))
-            of.append(np.full(len(out[-1]), i))
-    return np.concatenate(out), np.concatenate(of)
+        size, smallest = int(n[i]), -(-int(n[i]) * NUM // DEN)
+        for band in range(bisect_right(BANDS, smallest) - 1, bisect_right(BANDS, size)):
+            lack = size - int(_least_overlap(size, max(smallest, BANDS[band]))) + 1 - int(rare[i])
+            if lack > 0:
+                depth = level(BANDS[band])
+                made = rest[:lack] if depth < 0 else _class_pairs(rest, lack, BASE_CLASSES * 4**depth)
+                out.append(mix(made ^ mix(np.full(1, band, np.uint64))))
+                of.append(np.full(len(made), i))
+    from_frequent = np.repeat([False, True], [len(out[0]), sum(map(len, out[1:]))])
+    return np.concatenate(out), np.concatenate(of), from_frequent
 
 
 def _class_pairs(tokens: np.ndarray, lack: int, classes: int) -> np.ndarray:
@@ -116,11 +157,23 @@ def _class_pairs(tokens: np.ndarray, lack: int, classes: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+class Tuning(NamedTuple):
+    """Sizes that decide how work is dealt out, not what is found."""
+
+    #: Buckets of at most so many nodes give all their pairs.
+    small_bucket: int = 32
+    #: A bucket of frequent tokens is split once for so many nodes of the whole table.
+    salt_rows: int = 4_000_000
+    #: Rows and tokens of a block of a region.
+    block_rows: int = 2048
+    block_tokens: int = 2_000_000
+    #: Bits of the first digest of a set.
+    digest_bits: int = 64
+
+
 HIST_BINS = 128
 FREQUENT = 32
 FREQUENT_KEYS = 1_000_000
-SMALL_BUCKET = 32
-BLOCK_ROWS = 2048
 KEY_BITS_LIMIT = 1 << 30
 BROADCAST_ROWS = 2_000_000
 
@@ -148,9 +201,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, tokens, firsts in _text_slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(firsts)), _signed(set_digests(tokens, firsts)), pa.array(overlap_bounds(tokens, firsts), pa.binary())], ["doc_id", "n", "node", "hist"])
+def _members_of(identity: Identity):
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, tokens, firsts in _text_slices(batches):
+            first, second = identity.both(tokens, firsts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(firsts)), pa.array(first), pa.array(second), pa.array(overlap_bounds(tokens, firsts), pa.binary())], ["doc_id", "n", "node", "second", "hist"])
+
+    return members
 
 
 class Keys:
@@ -205,18 +262,31 @@ def frequent_keys(docs: DataFrame, keys: Keys, frequent: int = FREQUENT, most: i
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, tokens, _ in _text_slices(batches):
-            tokens = np.sort(tokens)
-            values = keys.of(tokens)
-            rows = [(p, keys.pack(p, values[a:b])) for p, a, b in _by_part(keys.part(tokens))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["p", "packed"])
+            values, first, n = np.unique(keys.of(np.sort(tokens)), return_index=True, return_counts=True)
+            part = keys.part(np.sort(tokens)[first])
+            rows = []
+            for p, a, b in _by_part(part):
+                more = np.flatnonzero(n[a:b] > 1)  # counted here: a hot token is one entry a slice
+                rows.append((p, keys.pack(p, values[a:b]), more.astype(np.uint32).tobytes(), n[a:b][more].astype(np.uint32).tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["p", "packed", "at", "n"])
 
     def count(group: pa.Table) -> pa.Table:
         part = group.column("p")[0].as_py()
-        values, n = np.unique(np.concatenate([keys.unpack(part, x.as_py()) for x in group.column("packed")]), return_counts=True)
+        held, counts = [], []
+        for packed_keys, at, n in zip(*(group.column(c) for c in ("packed", "at", "n")), strict=True):
+            held.append(keys.unpack(part, packed_keys.as_py()))
+            counts.append(np.ones(len(held[-1]), np.int64))
+            counts[-1][np.frombuffer(at.as_py(), np.uint32)] = np.frombuffer(n.as_py(), np.uint32)
+        values, counts = np.concatenate(held), np.concatenate(counts)
+        order = np.argsort(values)
+        values, counts = values[order], counts[order]
+        heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        n = np.add.reduceat(counts, heads) if len(counts) else counts
         hit = n >= frequent
-        return pa.table({"key": _signed(values[hit]), "n": pa.array(n[hit])})
+        return pa.table({"key": _signed(values[heads][hit]), "n": pa.array(n[hit])})
 
-    found = written(docs.mapInArrow(emit, "p long, packed binary").groupBy("p").applyInArrow(count, "key long, n long"), "frequent")
+    found = written(docs.mapInArrow(emit, "p long, packed binary, at binary, n binary").groupBy("p").applyInArrow(count, "key long, n long"), "frequent")
     least = frequent
     while found.where(F.col("n") >= least).count() > most:
         least *= 2
@@ -245,9 +315,13 @@ class FrequentTokens:
         return out
 
 
-def _bucket_rows(group: pa.Table) -> pa.Table:
-    """Buckets of one partition of signatures: pairs of small ones, stars of large ones (kind 0); rows of large ones (kind 1)."""
+def _bucket_rows(group: pa.Table, small_bucket: int) -> pa.Table:
+    """Buckets of one partition of signatures: pairs of small ones (kind 0); stars of large ones, centre to node, centre itself included (kind 1).
+
+    Where signatures are salted, every bucket of frequent tokens gives a star and its centre, as signature to node (kind 2).
+    """
     sig, node, n = (np.concatenate([np.frombuffer(x.as_py(), t) for x in group.column(c)]) for c, t in (("sigs", np.uint64), ("nodes", np.int64), ("sizes", np.uint32)))
+    salted = group.column("salt")[0].as_py() >= 0
     order = np.lexsort((node, sig))
     sig, node, n = sig[order], node[order], n[order].astype(np.int64)
     fresh = np.ones(len(sig), bool)
@@ -256,44 +330,56 @@ def _bucket_rows(group: pa.Table) -> pa.Table:
     heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     sizes = np.diff(np.append(heads, len(sig)))
     size, head = np.repeat(sizes, sizes), np.repeat(heads, sizes)
-    large = size > SMALL_BUCKET
-    pairs = [(head[large], np.flatnonzero(large))]
-    for gap in range(1, min(SMALL_BUCKET, int(sizes.max(initial=0)))):
+    large = (size > small_bucket) | salted
+    pairs = []
+    for gap in range(1, min(small_bucket, int(sizes.max(initial=0)))):
         at = np.arange(len(sig) - gap)
         at = at[(head[gap:] == head[:-gap]) & ~large[:-gap]]
-        pairs.append((at, at + gap))
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    fits = (a != b) & (n[a] * DEN >= n[b] * NUM) & (n[b] * DEN >= n[a] * NUM)
-    both = np.unique(np.stack([node[a[fits]], node[b[fits]]], 1), axis=0)
-    rows = np.flatnonzero(large)
-    kind = np.concatenate([np.zeros(len(both), np.int32), np.ones(len(rows), np.int32)])
-    return pa.table({"kind": pa.array(kind), "a": pa.array(np.concatenate([both[:, 0], sig[rows].view(np.int64)])), "b": pa.array(np.concatenate([both[:, 1], node[rows]]))})
+        at = at[(n[at] * DEN >= n[at + gap] * NUM) & (n[at + gap] * DEN >= n[at] * NUM)]
+        pairs.append(np.stack([node[at], node[at + gap]], 1))
+    stars = np.stack([node[head[large]], node[large]], 1)
+    tops = np.stack([sig[heads].view(np.int64), node[heads]], 1) if salted else np.zeros((0, 2), np.int64)
+    parts = [np.unique(x, axis=0) for x in (np.concatenate([np.zeros((0, 2), np.int64), *pairs]), stars, tops)]
+    kind = np.repeat(np.arange(3, dtype=np.int32), [len(x) for x in parts])
+    both = np.concatenate(parts)
+    return pa.table({"kind": pa.array(kind), "a": pa.array(both[:, 0].copy()), "b": pa.array(both[:, 1].copy())})
 
 
-def candidates(docs: DataFrame, keys: Keys, frequent) -> DataFrame:
-    """``kind, a, b``: candidate pairs of nodes (0), and (signature, node) of large buckets (1)."""
+def candidates(docs: DataFrame, keys: Keys, frequent, identity: Identity, salts: int, small_bucket: int) -> DataFrame:
+    """``kind, a, b``: candidate pairs of nodes (0), stars (1) and, with several salts, (signature, centre) (2).
+
+    A signature of frequent tokens may be on any share of all sets, so its rows go to ``salts`` groups by node.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = FrequentTokens(frequent.value, keys)
         for _, tokens, firsts in _text_slices(batches):
-            nodes = set_digests(tokens, firsts).view(np.int64)
+            nodes = identity.of(tokens, firsts)
             once = np.unique(nodes, return_index=True)[1]  # equal sets of a slice count once
             chosen = np.zeros(len(nodes), bool)
             chosen[once] = True
             keep = np.repeat(chosen, np.diff(firsts))
             nodes, sizes = nodes[chosen], np.diff(firsts)[chosen]
             tokens = tokens[keep]
-            sig, of = signatures(tokens, np.concatenate([[0], np.cumsum(sizes)]), marks.holds(tokens))
-            order = np.argsort(sig)
-            sig, of = sig[order], of[order]
-            rows = [(p, sig[a:b].tobytes(), nodes[of[a:b]].tobytes(), sizes[of[a:b]].astype(np.uint32).tobytes()) for p, a, b in _by_part(keys.part(sig))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["p", "sigs", "nodes", "sizes"])
+            sig, of, hot = signatures(tokens, np.concatenate([[0], np.cumsum(sizes)]), marks.holds(tokens))
+            salt = np.where(hot & (salts > 1), nodes[of] % salts, -1)
+            order = np.lexsort((sig, salt))
+            sig, of, salt = sig[order], of[order], salt[order]
+            rows = []
+            for s, first, last in _by_part(salt):
+                for p, a, b in _by_part(keys.part(sig[first:last])):
+                    at = slice(first + a, first + b)
+                    rows.append((s, p, sig[at].tobytes(), nodes[of[at]].tobytes(), sizes[of[at]].astype(np.uint32).tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["salt", "p", "sigs", "nodes", "sizes"])
+
+    def buckets(group: pa.Table) -> pa.Table:
+        return _bucket_rows(group, small_bucket)
 
-    return docs.mapInArrow(emit, "p long, sigs binary, nodes binary, sizes binary").groupBy("p").applyInArrow(_bucket_rows, "kind int, a long, b long")
+    return docs.mapInArrow(emit, "salt long, p long, sigs binary, nodes binary, sizes binary").groupBy("salt", "p").applyInArrow(buckets, "kind int, a long, b long")
 
 
-def _least_overlap(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+def _least_overlap(na, nb):
     """The smallest overlap that links sets of these sizes."""
     return -(-(na + nb) * NUM // (NUM + DEN))
 
@@ -330,7 +416,20 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets(nodes: DataFrame, chosen: DataFrame, docs: DataFrame, identity: Identity) -> DataFrame:
+    """``node, tokens`` of the nodes in ``chosen``, made anew from the texts of their documents."""
+    ids = written(chosen.select("node").distinct().join(nodes, "node").select(F.col("rep").alias("doc_id")).distinct(), "pair-docs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, tokens, firsts in _text_slices(batches):
+            blobs = [tokens[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(identity.of(tokens, firsts)), pa.array(blobs, pa.binary())], ["node", "tokens"])
+
+    made = docs.join(_small(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(sets, "node long, tokens binary")
+    return written(made.dropDuplicates(["node"]), "pair-sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, identity: Identity) -> DataFrame:
     """The pairs ``a, b`` of nodes that link, by their whole sets.
 
     Sizes and overlap bounds go first; the sets of the nodes left are made anew from their documents' texts.
@@ -338,75 +437,118 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}"))
     bounded = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bounded_pairs, "a long, b long")
     bounded = written(bounded, "pairs")
-    ids = written(bounded.select("a").union(bounded.select("b")).distinct().join(nodes, F.col("a") == F.col("node")).select(F.col("rep").alias("doc_id")).distinct(), "pair-docs")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens, firsts in _text_slices(batches):
-            blobs = [tokens[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([_signed(set_digests(tokens, firsts)), pa.array(blobs, pa.binary())], ["node", "tokens"])
-
-    made = docs.join(_small(ids, ids.count()), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(sets, "node long, tokens binary")
-    made = written(made, "pair-sets")
+    made = _sets(nodes, bounded.select(F.col("a").alias("node")).union(bounded.select("b")), docs, identity)
     side = lambda x: made.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}"))
     return bounded.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_overlapping, "a long, b long").distinct()
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes of different roots in one bucket, not ruled out by size or bound.
-
-    Buckets are dealt out in blocks of about BLOCK_ROWS rows, every two blocks compared in a group of their own.
+def _join_roots(group: pa.Table) -> pa.Table:
+    """Links between different roots in two blocks of a region, no more than join them: apart (side 0) against all (side 1)."""
+    node, root, n, side = (group.column(c).to_numpy() for c in ("node", "root", "n", "side"))
+    blobs = group.column("tokens")
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    tokens = [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in right]
+    owner = np.repeat(np.arange(len(right)), [len(t) for t in tokens])
+    tokens = np.concatenate([np.zeros(0, np.uint64), *tokens])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.get(x, x)) != x:
+            top[x] = x = top.get(up, up)
+        return x
+
+    out = []
+    for x in left:
+        mine = np.frombuffer(blobs[int(x)].as_buffer(), np.uint64)
+        first, last = np.searchsorted(tokens, mine), np.searchsorted(tokens, mine, "right")
+        many = last - first
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        overlap = np.bincount(owner[at], minlength=len(right))
+        for y in right[(overlap >= _least_overlap(n[x], n[right])) & (root[right] != root[x])]:
+            a, b = find(int(root[x])), find(int(root[y]))
+            if a != b:
+                top[a] = b
+                out.append((node[x], node[y]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _links_left(stars: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, identity: Identity, tuning: Tuning) -> DataFrame | None:
+    """Links between nodes of one region that the stars left in different components; None if there are no such nodes.
+
+    All nodes of a star form a region, so that it holds every pair of its buckets. In each region the nodes
+    apart from its largest component are compared with all nodes, in blocks of bounded size: exactly, where
+    the sets are, with an index of their tokens. A block gives at most one link less than it has components.
     """
-    sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rows.join(sizes.select("sig", blocks.alias("blocks"), "rows"), "sig").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "root", "n", "hist")
-
-    def compare(group: pa.Table) -> pa.Table:
-        node, root, n, mine = (group.column(c).to_numpy() for c in ("node", "root", "n", "mine"))
-        hist = group.column("hist").to_pylist()
-        first, second = int(group.column("i")[0].as_py()), int(group.column("j")[0].as_py())
-        left, right = np.flatnonzero(mine == first), np.flatnonzero(mine == second)
-        order = np.argsort(root[left], kind="stable")
-        out = []
-        for x in left[order]:
-            y = right[(root[right] != root[x]) & ((first != second) | (node[right] > node[x])) & (n[right] * DEN >= n[x] * NUM) & (n[x] * DEN >= n[right] * NUM)]
-            if len(y):
-                y = y[_may_link(np.full(len(y), n[x]), n[y], [hist[x]] * len(y), [hist[k] for k in y])]
-                out.append(np.stack([np.full(len(y), node[x]), node[y]]))
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return dealt.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-
-
-def _placed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(``doc_id, n, node, hist`` of every row; ``node, rep, root`` of every set that isn't empty).
+    rows = written(stars.withColumnRenamed("b", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "regions")
+    sizes = rows.groupBy("a", "root").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = written(sizes.groupBy("a").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.sum("rows").alias("rows"), F.max("rows").alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1"), "mixed")
+    if mixed.isEmpty():
+        return None
+    rows = rows.join(mixed.select("a", "most"), "a").join(nodes.select("node", "n"), "node")
+    rows = written(rows, "apart")
+    deal = rows.groupBy("a").agg(*(F.greatest(F.ceil(F.count(F.when(c, 1)) / tuning.block_rows), F.ceil(F.sum(F.when(c, F.col("n"))) / tuning.block_tokens)).cast("int").alias(x) for x, c in (("lefts", F.col("root") != F.col("most")), ("rights", F.lit(True)))))
+    placed = rows.join(deal, "a").join(_sets(nodes, rows, docs, identity), "node")
+    of = lambda x: F.pmod(F.xxhash64("node"), F.col(x)).cast("int")
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    columns = ["a", "i", "j", "side", "node", "root", "n", "tokens"]
+    lefts = placed.where("root <> most").withColumn("i", of("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0)).select(columns)
+    rights = placed.withColumn("j", of("rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1)).select(columns)
+    return lefts.union(rights).groupBy("a", "i", "j").applyInArrow(_join_roots, "a long, b long").distinct()
+
+
+def _regions(found: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(star pairs, regions as ``a, b``) of candidates: with several salts, the centres of a signature form a star of their own."""
+    stars = found.where("kind = 1").select("a", "b").distinct()
+    if salts == 1:
+        return stars, stars
+    tops = found.where("kind = 2").select(F.col("a").alias("sig"), "b")
+    least = tops.groupBy("sig").agg(F.min("b").alias("top"), F.collect_set("b").alias("all"))  # one entry a salt at most
+    tops = written(least.select(F.col("top").alias("a"), F.explode("all").alias("b")).distinct(), "tops")
+    wide = stars.join(tops.select(F.col("a").alias("top"), F.col("b").alias("a")), "a").select(F.col("top").alias("a"), "b")
+    return stars.union(tops).distinct(), written(stars.union(wide).distinct(), "stars")
+
+
+def _placed(docs: DataFrame, key: str, text: str, tuning: Tuning) -> tuple[DataFrame, DataFrame, Identity]:
+    """(``doc_id, n, node, hist`` of every row; ``node, rep, root`` of every set that isn't empty; how sets are numbered).
 
     1. Sets are made from the texts; equal sets are one node. 2. All tokens are counted; the most frequent, a
     bounded number, form the frequent class. 3. Signatures are grouped: small buckets give all pairs, large ones
-    a star. 4. Pairs pass size and overlap bounds, then exact comparison. 5. What large buckets hold in different
-    components after that is compared in full, in blocks, so that no link is lost.
+    a star. 4. Pairs pass size and overlap bounds, then exact comparison; components follow. 5. What a region
+    holds outside its largest component is compared where the sets are, so that no link is lost.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    members = written(docs.mapInArrow(_members, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, hist binary"), "members")
-    real = members.where("n > 0")
-    nodes = written(real.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "hist")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.hist").alias("hist")), "nodes")
+    identity = Identity(tuning.digest_bits)
+    made = written(docs.mapInArrow(_members_of(identity), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long, second long, hist binary"), "members")
+
+    def numbered(members: DataFrame) -> DataFrame:
+        best = members.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "n", "hist")).alias("r"), F.min("second").alias("low"), F.max("second").alias("high"))
+        return written(best.select("node", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.hist").alias("hist"), "low", "high"), "nodes")
+
+    nodes = numbered(made)
+    shared = tuple(r[0] for r in nodes.where("low <> high").select("node").toLocalIterator())  # pairs of 64-bit digests that meet: about none below 10^9 sets
+    members = made
+    if shared:
+        identity = Identity(tuning.digest_bits, shared)
+        members = made.withColumn("node", F.when(F.col("node").isin(*shared) & (F.col("n") > 0), F.col("second")).otherwise(F.col("node")))
+        nodes = numbered(members)
     keys = Keys(int(members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     frequent = spark.sparkContext.broadcast(frequent_keys(docs, keys))
-    found = written(candidates(docs, keys, frequent), "candidates")
-    links = written(verified(found.where("kind = 0").select("a", "b").distinct(), nodes, docs), "links")
+    salts = -(-nodes.count() // tuning.salt_rows) or 1
+    found = written(candidates(docs, keys, frequent, identity, salts, tuning.small_bucket), "candidates")
+    stars, regions = _regions(found, salts)
+    pairs = found.where("kind = 0").select("a", "b").union(stars.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    links = written(verified(pairs, nodes, docs, identity), "links")
     roots = connected_components(links)
-    large = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
-    if not large.isEmpty():
-        rows = large.join(nodes.select("node", "n", "hist"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = written(verified(_cross_pairs(rows), nodes, docs), "links")
-        roots = connected_components(links.union(more))
-    return members, nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _links_left(regions, roots, nodes, docs, identity, tuning)
+    if more is not None:
+        roots = connected_components(links.union(written(more, "links")))
+    return members, nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), identity
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", tuning: Tuning = Tuning()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row: components of documents whose shingle sets have Jaccard similarity of 0.8 or more.
 
     A-Z are lower-cased; words are runs of what is not ASCII white space; the set of a document holds its
@@ -415,15 +557,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Whole texts are used; rows with equal sets are one node; repeated keys are rows of their own; null keys never
     name a component unless all its keys are null; an empty table gives an empty result; other columns are ignored.
     """
-    members, placed = _placed(docs, key, text)
+    members, placed, _ = _placed(docs, key, text, tuning)
     names = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = placed.join(names, "root").select("node", "component_id")
     return members.select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, tokens, firsts in _text_slices(batches):
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(firsts)), _signed(set_digests(tokens, firsts)), part.column(2)], ["doc_id", "n", "node", "row"])
+def _digested_by(identity: Identity):
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, tokens, firsts in _text_slices(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(firsts)), pa.array(identity.of(tokens, firsts)), part.column(2)], ["doc_id", "n", "node", "row"])
+
+    return digested
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,7 +579,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows are found by their keys; only those whose key stands on several rows have their sets made once more.
     """
-    members, placed = _placed(docs, key, text)
+    members, placed, identity = _placed(docs, key, text, Tuning())
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "node")).alias("r")).select(F.col("r.node").alias("node"), F.col("r.rep").alias("rep"))
     first = written(first, "first")
     marked = members.select("doc_id", "n", "node").join(first.withColumn("chosen", F.lit(True)), "node", "left")
@@ -449,7 +594,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     if repeated.isEmpty():
         return of(found)
     schema = StructType().add("doc_id", docs.schema[key].dataType).add("n", "long").add("node", "long").add("row", docs.schema)
-    made = of(repeated).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct("*").alias("row")).mapInArrow(_digested, schema)
+    made = of(repeated).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.struct("*").alias("row")).mapInArrow(_digested_by(identity), schema)
     made = written(made, "repeated")
     chosen = made.where("n > 0").join(first, (made["node"] == first["node"]) & made["doc_id"].eqNullSafe(first["rep"]), "left_semi").dropDuplicates(["doc_id", "node"])
     return of(found.where("rows = 1")).unionByName(chosen.unionByName(made.where("n = 0")).select("row.*"))

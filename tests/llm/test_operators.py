@@ -102,9 +102,8 @@ def brute_components(rows):
     return sorted(((d, len(s), least[g] if s else d) for (d, _), s, g in zip(rows, sets, group, strict=True)), key=repr)
 
 
-@pytest.mark.parametrize("small_bucket", [32, 2])
-def test_near_duplicates(spark, monkeypatch, small_bucket):
-    monkeypatch.setattr(jaccard, "SMALL_BUCKET", small_bucket)
+@pytest.mark.parametrize("tuning", [jaccard.Tuning(), jaccard.Tuning(2, 20, 7, 900, 6)])
+def test_near_duplicates(spark, tuning):
     rng = np.random.default_rng(4)
     rows = list(ODD[:7])
     for i in range(12):
@@ -116,10 +115,27 @@ def test_near_duplicates(spark, monkeypatch, small_bucket):
             rows.append((100 + len(rows), " ".join(copy)))
     common = " ".join(WORDS[:40])
     rows += [(500 + i, common + " " + " ".join(f"own{i}w{k}" for k in range(8 + i % 5))) for i in range(45)]
-    got = jaccard.near_duplicates(documents(spark, rows).repartition(3)).collect()
+    got = jaccard.near_duplicates(documents(spark, rows).repartition(3), tuning=tuning).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_components(rows)
 
 
+def test_near_duplicates_large_group(spark):
+    """Copies of one text of 0 to 5 edits, whose text itself is missing: some link, some only with few others."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(260):
+        copy = list(base)
+        for k in rng.integers(0, 120, 1 + i % 5):
+            copy[k] = f"new{int(rng.integers(0, 4))}k{k}"
+        rows.append((i, " ".join(copy[: 120 - int(rng.integers(0, 12))])))
+    want = brute_components(rows)
+    assert len({r[2] for r in want}) > 20
+    for tuning in (jaccard.Tuning(), jaccard.Tuning(salt_rows=60, block_rows=50)):
+        got = jaccard.near_duplicates(documents(spark, rows).repartition(3), tuning=tuning).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == want
+
+
 def test_one_of_each(spark):
     a, b = " ".join(WORDS[:30]), " ".join(WORDS[30:])
     docs = documents(spark, [(3, a), (2, a), (2, a), (9, b), (None, None), (4, a + " z")])

@@ -127,7 +127,7 @@ def test_signatures_lose_no_link():
         tokens, firsts = np.concatenate(sets), np.cumsum([0, len(sets[0]), len(sets[1])])
         for share in (0.0, 0.5, 1.0):
             frequent = textvec.mix(tokens ^ np.uint64(77)) % np.uint64(100) < np.uint64(int(share * 100))
-            sig, of = jaccard.signatures(tokens, firsts, frequent)
+            sig, of, _ = jaccard.signatures(tokens, firsts, frequent)
             assert set(sig[of == 0]) & set(sig[of == 1]), (n, share)
 
 
