@@ -293,8 +293,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, key:
 
     Returns the index, a written table: one row per file in order of ``part, seq``.
     Null texts are empty (the end id alone); null keys come first; repeated keys
-    stay together, ordered among themselves by their ids; an empty table gives an empty index. Other columns are
-    ignored. One range shuffle of packed ids.
+    stay together, ordered among themselves by a hash of their ids; an empty table gives an empty index. Texts of any
+    length are encoded whole; keys must be integers (a string that isn't one fails). Other columns are ignored.
+    One range shuffle of packed ids.
     """
     spark = docs.sparkSession
     ids, dtype = tokenized(docs, path, end_id, key, text)
@@ -303,7 +304,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str, key:
     counts = id_counts(ids, dtype, size)
     lengths = spark.sparkContext.broadcast(code_lengths(counts, max(LIMIT, int(size - 1).bit_length())))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum() // (4 * SHARD_IDS)) + 1)
-    ordered = ids.repartitionByRange(n, "doc_id", "ids").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
+    place = ids.select("doc_id", F.xxhash64("ids").alias("place"), "ids")  # range bounds are sampled at the driver: keys and hashes, no ids
+    ordered = place.repartitionByRange(n, "doc_id", "place").sortWithinPartitions("doc_id", "place", "ids").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
