@@ -81,7 +81,7 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
-def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", hot: int = 10_000) -> DataFrame:
     """Write one record per page below ``folder`` and return the index (INDEX), itself a written table.
 
     Of pages with equal payloads of at least ``min_revisit_bytes`` the one with
@@ -94,8 +94,12 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    last = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = rows.join(last, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
+    last = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    last = written(last, "payloads")
+    rows = rows.join(F.broadcast(last.where(F.col("n") > hot).select("sha", F.col("last").alias("hot_last"))), "sha", "left")
+    dealt = rows.withColumn("sha", F.when(F.col("hot_last").isNull(), F.col("sha")).otherwise(F.concat(F.lit("page "), F.xxhash64("page_id", "url"))))
+    known = F.coalesce("hot_last", "last")
+    marked = dealt.join(last.where(F.col("n") <= hot).drop("n"), "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") != known, known).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -136,8 +140,12 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP_BYTES, most: int = R
 def read_warc(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that ``index`` selects (any rows of an index, in any order), as RECORD.
 
-    Without ``with_payload`` the payload column is null. Ranges of one file that lie close are read together.
+    Without ``with_payload`` the payload column is null. The selection is dealt out and sorted by file and offset,
+    so a task reads stretches of files in order, and ranges that lie close are read together. Repeated index rows
+    give repeated records; an empty selection gives none.
     """
+    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = index.select("file", "offset", "length").repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
@@ -154,7 +162,7 @@ def read_warc(index: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([r if with_payload else r | {"payload": None} for r in rows], schema=schema)
                 source.close()
 
-    return index.select("file", "offset", "length").mapInArrow(run, RECORD)
+    return places.mapInArrow(run, RECORD)
 
 
 def archive(pages: DataFrame, name: str = "warc", **options) -> DataFrame:
