@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiresmith.llm.sampling import bounded_sample, class_counts
-from quiresmith.llm.textvec import byte_class, packed, slices
+from quiresmith.llm.sampling import bounded_sample, class_counts, within_bytes
+from quiresmith.llm.textvec import byte_class, packed, pieces, slices
 
 WINDOW_BYTES = 48
 UNITS = 8
 CHUNK_WINDOWS = 4096
 SAMPLE_PER_LANG = 500
-SAMPLE_TEXT_BYTES = 32 << 10
+SAMPLE_BYTES = 64 << 20
 LETTER_BYTES = byte_class([(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
 UNKNOWN = "und"
 
@@ -128,33 +128,37 @@ class ByteTagger:
 
     def pooled(self, texts: pa.Array) -> np.ndarray:
         """Mean label probabilities over the letter positions of every text; zeros where there is none."""
-        windows, mask, of = cut(texts)
         out = np.zeros((len(texts), len(self.languages)))
         letters = np.zeros(len(texts))
-        for at in range(0, len(windows), CHUNK_WINDOWS):
-            steps = np.ascontiguousarray(windows[at : at + CHUNK_WINDOWS].T)
-            weight = np.ascontiguousarray(mask[at : at + CHUNK_WINDOWS].T)
+        for windows, mask, of in window_runs(texts, CHUNK_WINDOWS):
+            steps, weight = np.ascontiguousarray(windows.T), np.ascontiguousarray(mask.T)
             ahead = list(self.ahead.forward(steps))
             total = np.zeros((len(self.languages), steps.shape[1]), np.float32)
             for i, back in enumerate(self.back.forward(steps[::-1])):
                 t = len(steps) - 1 - i
                 total += self.probabilities(steps, ahead, t, back) * weight[t]
             for k, row in enumerate(total):
-                out[:, k] += np.bincount(of[at : at + CHUNK_WINDOWS], row, len(texts))
-            letters += np.bincount(of[at : at + CHUNK_WINDOWS], weight.sum(0), len(texts))
+                out[:, k] += np.bincount(of, row, len(texts))
+            letters += np.bincount(of, weight.sum(0), len(texts))
         return out / np.maximum(letters, 1)[:, None]
 
 
-def cut(texts: pa.Array, size: int = WINDOW_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows of bytes filled up with spaces, mask of letter bytes, text of each window), over whole texts."""
+def window_runs(texts: pa.Array, most: int, size: int = WINDOW_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows of bytes filled up with spaces, mask of letter bytes, text of each window) over whole texts, ``most`` windows at a time."""
     data, offsets = packed(texts)
-    sizes = np.diff(offsets)
-    n = -(-sizes // size)
-    firsts = np.concatenate([[0], np.cumsum(n)])
-    windows = np.full(int(firsts[-1]) * size, 32, np.uint8)
-    windows[np.arange(len(data)) + np.repeat(firsts[:-1] * size - offsets[:-1], sizes)] = data
-    windows = windows.reshape(-1, size)
-    return windows, LETTER_BYTES[windows].astype(np.float32), np.repeat(np.arange(len(texts)), n)
+    for starts, ends, of in pieces(offsets, size, most):
+        sizes = ends - starts
+        windows = np.full(len(starts) * size, 32, np.uint8)
+        first, last = int(starts[0]), int(ends[-1])
+        windows[np.arange(first, last) + np.repeat(np.arange(len(starts)) * size - starts, sizes)] = data[first:last]
+        windows = windows.reshape(-1, size)
+        yield windows, LETTER_BYTES[windows].astype(np.float32), of
+
+
+def cut(texts: pa.Array, size: int = WINDOW_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows, masks and texts of windows."""
+    empty = (np.zeros((0, size), np.uint8), np.zeros((0, size), np.float32), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(empty, *window_runs(texts, CHUNK_WINDOWS, size), strict=True))
 
 
 def train(texts: list[str], labels: list[str], steps: int = 400, batch: int = 384, rate: float = 0.02, seed: int = 11) -> ByteTagger:
@@ -184,14 +188,15 @@ def train(texts: list[str], labels: list[str], steps: int = 400, batch: int = 38
     return model
 
 
-def fit_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG, text_bytes: int = SAMPLE_TEXT_BYTES) -> ByteTagger:
-    """Fit on a bounded sample: about ``per_lang`` rows of each language with texts of 1 to ``text_bytes`` bytes.
+def fit_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG, sample_bytes: int = SAMPLE_BYTES) -> ByteTagger:
+    """Fit on a bounded sample: about ``per_lang`` rows of each language, fewer if their texts have over ``sample_bytes`` in all.
 
-    Rows with a null language or text teach nothing; without any the model knows no language.
+    Rows with a null language or a null or empty text teach nothing; without any the model knows no language. Whole
+    texts are used, of any length; repeated rows count as often as they stand there; ties are ordered by all columns.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.octet_length(text).between(1, text_bytes)).select(key, text, lang)
+    known = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(key, text, lang)
     counts = class_counts(known.select(lang), lang)
-    rows = bounded_sample(known, lang, key, per_lang, counts).orderBy(key, text).collect()
+    rows = within_bytes(bounded_sample(known, lang, key, per_lang, counts), text, 2 * per_lang * max(1, len(counts)), sample_bytes)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 

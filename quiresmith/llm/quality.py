@@ -15,33 +15,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiresmith.llm.sampling import bounded_sample, class_counts
-from quiresmith.llm.textvec import packed, slices
+from quiresmith.llm.sampling import bounded_sample, class_counts, within_bytes
+from quiresmith.llm.textvec import packed, pieces, slices
 
 PASSAGE_BYTES = 192
 FEATURES = 512
 EXTRA = 3
 HIDDEN = 24
 SAMPLE_PER_CLASS = 2000
-SAMPLE_TEXT_BYTES = 32 << 10
+SAMPLE_BYTES = 64 << 20
 LEAST_STEPS = 200
+RUN_PASSAGES = 8192
 _PAIR_BUCKET = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)).astype(np.int64)
 
 
-def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(pair counts of all passages as uint8, first passage of each text and the total); an empty text has one empty passage."""
+def passage_runs(texts: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pair counts of passages as uint8, text of each) for runs of at most ``most`` passages; an empty text has one empty passage."""
     data, offsets = packed(texts)
-    sizes = np.diff(offsets)
-    n = np.maximum(1, -(-sizes // PASSAGE_BYTES))
-    firsts = np.concatenate([[0], np.cumsum(n)])
-    inside = np.arange(len(data)) - np.repeat(offsets[:-1], sizes)
-    passage = np.repeat(firsts[:-1], sizes) + inside // PASSAGE_BYTES
-    pair = data.astype(np.int64)
-    pair[1:] += pair[:-1] << 8  # never decoded again: the high byte is cut off below
-    pair &= 0xFFFF
-    pair[inside == 0] &= 0xFF
-    counts = np.bincount(passage * FEATURES + _PAIR_BUCKET[pair], minlength=firsts[-1] * FEATURES)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, FEATURES), firsts
+    for starts, ends, text in pieces(offsets, PASSAGE_BYTES, most, least=1):
+        first, last = int(starts[0]), int(ends[-1])
+        sizes = ends - starts
+        passage = np.repeat(np.arange(len(starts)), sizes)
+        pair = data[first:last].astype(np.int64)
+        pair[1:] += pair[:-1] << 8  # never decoded again: the high byte is cut off below
+        if first and last > first:
+            pair[0] += int(data[first - 1]) << 8
+        pair &= 0xFFFF
+        heads = starts[(sizes > 0) & (starts == offsets[text])] - first
+        pair[heads] &= 0xFF
+        counts = np.bincount(passage * FEATURES + _PAIR_BUCKET[pair], minlength=len(starts) * FEATURES)
+        yield np.minimum(counts, 255).astype(np.uint8).reshape(-1, FEATURES), text
+
+
+def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(pair counts of all passages, first passage of each text and the total)."""
+    runs = list(passage_runs(texts, RUN_PASSAGES))
+    text = np.concatenate([np.zeros(0, np.int64), *(t for _, t in runs)])
+    return np.concatenate([np.zeros((0, FEATURES), np.uint8), *(c for c, _ in runs)]), np.searchsorted(text, np.arange(len(texts) + 1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,8 +71,8 @@ class AttentionModel:
         self.c, self.d = np.zeros(HIDDEN, np.float32), np.zeros(1, np.float32)
         self.prior = 0.0
 
-    def forward(self, counts: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
-        """All layers for bags of passages."""
+    def encode(self, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """Encodings of passages and how much attention asks for them."""
         x = np.sqrt(counts.astype(np.float32))
         x /= np.maximum(1, np.sqrt((x * x).sum(1, keepdims=True)))
         x *= 4
@@ -71,12 +81,16 @@ class AttentionModel:
         x = np.concatenate([x, np.stack([4 * distinct, 4 * distinct / np.maximum(size, 0.05), size], 1)], 1)
         h = np.tanh(x @ self.w + self.b)
         t, g = np.tanh(h @ self.v), _sigmoid(h @ self.u)
-        e = (t * g) @ self.a
+        return {"x": x, "h": h, "t": t, "g": g, "e": (t * g) @ self.a}
+
+    def forward(self, counts: np.ndarray, firsts: np.ndarray) -> dict[str, np.ndarray]:
+        """All layers for bags of passages."""
+        f = self.encode(counts)
         bag = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-        e = np.exp(e - np.maximum.reduceat(e, firsts[:-1])[bag])
+        e = np.exp(f["e"] - np.maximum.reduceat(f["e"], firsts[:-1])[bag])
         alpha = e / np.add.reduceat(e, firsts[:-1])[bag]
-        z = np.add.reduceat(h * alpha[:, None], firsts[:-1])
-        return {"x": x, "h": h, "t": t, "g": g, "alpha": alpha, "bag": bag, "z": z, "logit": z @ self.c + self.d}
+        z = np.add.reduceat(f["h"] * alpha[:, None], firsts[:-1])
+        return f | {"alpha": alpha, "bag": bag, "z": z, "logit": z @ self.c + self.d}
 
     def gradients(self, counts: np.ndarray, firsts: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         """Of the mean cross entropy, in the order of NAMES."""
@@ -92,12 +106,20 @@ class AttentionModel:
         dpre = dh * (1 - f["h"] ** 2)
         return [f["x"].T @ dpre, dpre.sum(0), f["h"].T @ dt, f["h"].T @ dg, (f["t"] * f["g"]).T @ de, f["z"].T @ dlogit, dlogit.sum(keepdims=True)]
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        """Probability of label 1 of every text."""
-        if not len(texts):
-            return np.zeros(0)
-        counts, firsts = passages(texts)
-        return _sigmoid(self.forward(counts, firsts)["logit"].astype(np.float64) + self.prior)
+    def score(self, texts: pa.Array, most: int = RUN_PASSAGES) -> np.ndarray:
+        """Probability of label 1 of every text: attention sums run on from one run of ``most`` passages to the next."""
+        top, total, z = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros((len(texts), HIDDEN))
+        for counts, text in passage_runs(texts, most):
+            f = self.encode(counts)
+            heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            rows = text[heads]
+            high = np.maximum(top[rows], np.maximum.reduceat(f["e"], heads))
+            weight = np.exp(f["e"] - np.repeat(high, np.diff(np.append(heads, len(text)))))
+            fade = np.exp(top[rows] - high)
+            total[rows] = total[rows] * fade + np.add.reduceat(weight, heads)
+            z[rows] = z[rows] * fade[:, None] + np.add.reduceat(f["h"] * weight[:, None], heads)
+            top[rows] = high
+        return _sigmoid(z / total[:, None] @ self.c + self.d.astype(np.float64) + self.prior)
 
 
 def train(texts: list[str | None], labels: list[int], prior: float, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> AttentionModel:
@@ -133,19 +155,20 @@ def train(texts: list[str | None], labels: list[int], prior: float, epochs: int
     return model
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = SAMPLE_PER_CLASS, text_bytes: int = SAMPLE_TEXT_BYTES) -> AttentionModel:
-    """Fit on a bounded sample: about ``per_class`` rows of each label with texts of at most ``text_bytes``.
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
+    """Fit on a bounded sample: about ``per_class`` rows of each label, fewer if their texts have over ``sample_bytes`` in all.
 
     The share of label 1 comes from all rows of ``labels``. Null labels and texts and labels of no document
-    teach nothing; with fewer than two labels the model knows their shares only. The sample of labels, at
-    most four times ``per_class`` rows, is broadcast to the documents.
+    teach nothing; with fewer than two labels the model knows their shares only. Whole texts are used, of any
+    length; keys that repeat in either table give each pair; ties are ordered by all columns, so the sample is always the
+    same. The sample of labels, at most four times ``per_class`` rows, is broadcast to the documents.
     """
     known = labels.where(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("_label"))
     counts = class_counts(known, "_label")
     prior = float(np.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5)))
     sample = bounded_sample(known, "_label", key, per_class, counts)
-    taken = docs.where(F.octet_length(text) <= text_bytes).select(key, text).join(F.broadcast(sample), key)
-    rows = taken.limit(4 * per_class).orderBy(key, text).collect()
+    taken = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(sample), key).select(key, text, "_label")
+    rows = within_bytes(taken, text, 4 * per_class, sample_bytes)
     return train([r[1] for r in rows], [r[2] for r in rows], prior)
 
 

@@ -20,9 +20,26 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int, counts
     """About ``per_class`` rows of each label, those of smallest key hash, and never more than twice that in all.
 
     The hash threshold comes from the label's row count, so no rows are sorted or sent together beyond the sample.
+    Which rows stay depends on the rows alone: those over the bound, as of repeated keys, go in the order of all columns.
     """
     chance = F.lit(0.0)
     for value, n in counts.items():
         chance = F.when(F.col(label) == value, F.lit(min(1.0, per_class / n))).otherwise(chance)
     place = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(place < chance).limit(2 * per_class * max(1, len(counts)))
+    return rows.where(place < chance).orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(2 * per_class * max(1, len(counts)))
+
+
+def within_bytes(rows: DataFrame, text: str, most_rows: int, most_bytes: int) -> list:
+    """Rows of a bounded sample, in the order of a hash of all columns, as many as have ``most_bytes`` of text in all.
+
+    Long texts count as others do; what goes is the end of the sample. Sizes are asked for first, so no more text than that is sent.
+    """
+    order = [F.xxhash64(*rows.columns), *rows.columns]
+    sizes = rows.orderBy(*order).limit(most_rows).select(F.coalesce(F.octet_length(text), F.lit(0))).collect()
+    total, n = 0, 0
+    for (size,) in sizes:
+        total += size
+        if total > most_bytes and n:
+            break
+        n += 1
+    return rows.orderBy(*order).limit(n).collect() if n else []

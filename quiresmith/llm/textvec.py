@@ -49,6 +49,20 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(at)
 
 
+def pieces(offsets: np.ndarray, size: int, most: int, least: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, text) of the pieces of ``size`` bytes that texts are cut into, ``most`` at a time.
+
+    The last piece of a text may be shorter; each text has at least ``least`` pieces.
+    """
+    n = np.maximum(least, -(-np.diff(offsets) // size))
+    firsts = np.concatenate([[0], np.cumsum(n)])
+    for at in range(0, int(firsts[-1]), most):
+        piece = np.arange(at, min(at + most, int(firsts[-1])))
+        text = np.searchsorted(firsts, piece, "right") - 1
+        starts = offsets[text] + size * (piece - firsts[text])
+        yield starts, np.minimum(starts + size, offsets[text + 1]), text
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each text and the total) of maximal runs of word bytes inside texts."""
     inside = np.zeros(len(data) + 1, bool)

@@ -1,11 +1,15 @@
 """The training-data operators on small tables: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import math
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +169,8 @@ def test_warc(spark):
     index = warc.archive(pages)
     got = warc.read_warc(index).collect()
     assert len(got) == len(rows)
+    hot = warc.read_warc(warc.archive(pages, hot=1)).collect()
+    assert sorted(map(repr, hot)) == sorted(map(repr, got))
     by_id = {r.page_id: r for r in got}
     assert (by_id[1].record_type, by_id[1].refers_to, by_id[3].refers_to, by_id[5].record_type) == ("revisit", 5, 5, "response")
     assert (by_id[2].refers_to, by_id[4].record_type, by_id[7].record_type) == (4, "response", "response")
@@ -246,6 +252,71 @@ def test_main_text_outside_landmarks(spark):
     assert text[50] == "Card 50"  # no other page tells the story from a notice
 
 
+def site(host, x, kind="div"):
+    """A page whose parts have no telling names, but for the article."""
+    return (x, f"http://{host}/{x}", f"<form><{kind}><p>Home</p><p>Topics</p></{kind}><article><div class='post-header'><h1>Title {x}</h1></div><p>Story {x} of {host}</p><p class='social policy'>Policy {x}</p><p>Tell your friends</p></article><{kind}><p>Hint {x % 3}</p></{kind}></form>")
+
+
+def brute_main_text(rows):
+    """Texts by a style tree of plain loops: every block's path, pages and texts counted one by one."""
+    pages = []
+    for i, url, html in rows:
+        page = htmltree.Page(html or "")
+        blocks, layouts = page.weighted(), page.layouts
+        host = re.match(r"(?:\w+://([^/]*))?", url or "")[1] or ""
+        article = tuple((b["path"], b["feature"]) for b in blocks if b["inside"])
+        whole = (tuple((b["path"], b["feature"], b["inside"]) for b in blocks), repr(layouts))
+        pages.append((i, host, blocks, layouts, {True: article, False: whole}))
+    entropy = lambda counts: -sum(c / sum(counts) * math.log(c / sum(counts), sum(counts)) for c in counts) if sum(counts) > 1 else 1.0
+    out = {}
+    for i, host, blocks, _, _ in pages:
+        gone = set()
+        for at, b in enumerate(blocks):
+            side = b["inside"]
+            others = {p[4][side]: p for p in pages if p[1] == host}.values()
+            having = [{x["feature"] for x in p[2] if x["inside"] == side and x["path"] == b["path"]} for p in others]
+            having = [h for h in having if h]
+            k, m = sum(b["feature"] in h for h in having), len(having)
+            content = 1 - math.log(k) / math.log(m) if k > 1 else 1.0
+            if side:
+                if m >= htmltree.LEAST_PAGES and content <= htmltree.LOW_INSIDE:
+                    gone.add(at)
+                continue
+            styles = Counter(repr(s) for p in others for (path, inside), s in p[3].items() if path == b["parent"] and not inside)
+            importance = 0.1 * (entropy(styles.values()) if styles else 1.0) + 0.9 * content
+            w = b["weight"]
+            value = importance if w == 1 else 0.0 if not w or m < (htmltree.LEAST_PAGES if w == htmltree.WEAK else 2) else w * importance if w == htmltree.WEAK else importance ** (1 / w)
+            if value < htmltree.LOW_IMPORTANCE:
+                gone.add(at)
+        if 2 * sum(len(blocks[at]["text"]) for at in gone if blocks[at]["inside"]) > sum(len(b["text"]) for b in blocks if b["inside"]):
+            gone -= {at for at in gone if blocks[at]["inside"]}
+        out[i] = "\n\n".join(b["text"] for at, b in enumerate(blocks) if b["text"] is not None and at not in gone)
+    return out
+
+
+def test_main_text_by_the_tree(spark):
+    rows = [site("h", x) for x in range(12)] + [site("alone", 100)] + [site("g", x, "section") for x in range(200, 206)]
+    rows += [(300 + i, "http://copies/", f"<article><p>One story</p><p>twice</p><p>Part {i // 2}</p></article>") for i in range(10)]
+    rows += [(400 + i, "http://weak/", f"<div class='share'>{'Send it' if i % 2 else f'Talk {i}'}</div><p>News {i}</p>") for i in range(12)]
+    got = {r.page_id: r.text for r in htmltree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == brute_main_text(rows)
+    story = lambda x, host: f"Title {x}\n\nStory {x} of {host}\n\nPolicy {x}"
+    assert all(got[x] == story(x, "h") for x in range(12)) and all(got[x] == story(x, "g") for x in range(200, 206))
+    assert got[100] == story(100, "alone") + "\n\nTell your friends"  # no other page tells
+    assert got[304] == "One story\n\ntwice\n\nPart 2"  # most of it is repeated: a reprint
+    assert (got[402], got[403]) == ("Talk 2\n\nNews 2", "News 3")
+    alone = {i: "\n\n".join(b["text"] for b in htmltree.Page(h).weighted() if b["text"] is not None and b["weight"] >= htmltree.LOW_IMPORTANCE) for i, _, h in rows}
+    assert sum(got[i] != alone[i] for i in got) > len(rows) / 2
+
+
+def test_main_text_of_deep_and_long_pages(spark):
+    deep = "<div>" * 100_000 + "deep" + "</div>" * 100_000
+    inline = "<b>" * 50_000 + "".join(f"<p>{i}</p></u>" for i in range(50_000))
+    rows = [(1, "http://a/", deep), (2, "http://b/", inline), (3, "http://c/", "<article><p>" + "long text " * 300_000 + "</p></article>")]
+    got = {r.page_id: r for r in htmltree.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[1].text, got[2].text.count("\n\n"), got[3].n_chars) == ("deep", 49_999, 2_999_999)
+
+
 def test_bpe(spark):
     got = bytebpe.encode_decode(documents(spark, ODD), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
     for r, (i, t) in zip(got, ODD, strict=True):
@@ -271,6 +342,63 @@ def test_top_k(spark, block):
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 10 == 0).collect() == []
 
 
+def test_long_texts_are_scored_in_runs():
+    rng = np.random.default_rng(5)
+    texts = pa.array(["", None, "abc", *(" ".join(WORDS[k] for k in rng.integers(0, 60, n)) for n in (3, 300, 5000)), "", "é" * 700])
+    model = quality.AttentionModel()
+    model.c[:], model.a[:] = rng.standard_normal(len(model.c)), 3 * rng.standard_normal(len(model.a))
+    want = quality._sigmoid(model.forward(*quality.passages(texts))["logit"].astype(np.float64))
+    for most in (1, 7, 64):
+        assert np.allclose(model.score(texts, most), want, atol=1e-5)
+    tagger = langid.ByteTagger(["a", "b"])
+    whole = tagger.pooled(texts)
+    alone = np.concatenate([tagger.pooled(texts.slice(i, 1)) for i in range(len(texts))])
+    assert np.allclose(whole, alone, atol=1e-5)
+    assert [len(t) for t in texts.to_pylist() if t] and langid.cut(texts)[0].shape[0] == sum(-(-len(t.encode()) // langid.WINDOW_BYTES) for t in texts.to_pylist() if t)
+
+
+def test_quality_forward_by_hand(spark):
+    """The score of the query against a pass through the layers in plain Python."""
+    text = " ".join(WORDS) * 3
+    docs = spark.createDataFrame([(i, WORDS[i % 60] * 20 if i % 2 else text[i:], "k", 7.0) for i in range(40)], "doc_id long, text string, predicted string, score double")
+    model = quality.fit_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), per_class=30)
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def by_hand(value):
+        raw = value.encode()
+        bags, pull = [], []
+        for at in range(0, max(1, len(raw)), quality.PASSAGE_BYTES):
+            part = raw[at : at + quality.PASSAGE_BYTES]
+            counts = [0] * quality.FEATURES
+            for k in range(at, at + len(part)):
+                counts[quality._PAIR_BUCKET[(raw[k - 1] << 8 if k else 0) | raw[k]]] += 1
+            counts = [min(255, c) for c in counts]
+            norm = max(1.0, math.sqrt(sum(counts)))
+            size, distinct = sum(counts) / quality.PASSAGE_BYTES, sum(c > 0 for c in counts) / quality.PASSAGE_BYTES
+            x = [4 * math.sqrt(c) / norm for c in counts] + [4 * distinct, 4 * distinct / max(size, 0.05), size]
+            h = [math.tanh(sum(x[i] * float(model.w[i, j]) for i in range(len(x)) if x[i]) + float(model.b[j])) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[i] * float(model.v[i, j]) for i in range(len(h)))) * sigmoid(sum(h[i] * float(model.u[i, j]) for i in range(len(h)))) for j in range(len(h))]
+            bags.append(h)
+            pull.append(math.exp(sum(g * float(a) for g, a in zip(gate, model.a, strict=True))))
+        z = [sum(p * h[j] for p, h in zip(pull, bags, strict=True)) / sum(pull) for j in range(quality.HIDDEN)]
+        return sigmoid(sum(a * float(c) for a, c in zip(z, model.c, strict=True)) + float(model.d[0]) + model.prior)
+
+    got = quality.score_quality(docs, model).collect()
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert all(abs(r.score - by_hand(rows[r.doc_id].text)) < 1e-3 and r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_samples_are_the_same_every_time(spark):
+    rows = [(i % 7, "long " * (20_000 if i == 5 else 5) + str(i), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    counts = sampling.class_counts(df, "y")
+    take = lambda d, most: [tuple(r) for r in sampling.within_bytes(sampling.bounded_sample(d, "y", "doc_id", 10, counts), "text", 40, most)]
+    some = take(df, 1 << 20)
+    assert some == take(df.repartition(5), 1 << 20) and 0 < len(some) <= 40
+    assert take(df.repartition(2), 2000) == some[: len(take(df, 2000))]
+    assert sampling.within_bytes(df.limit(0), "text", 10, 10) == []
+
+
 def test_sampling(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
     counts = sampling.class_counts(df, "y")
@@ -289,3 +417,44 @@ def test_pipeline(spark):
         kept = stage(spark, docs, SF)
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count(), name
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_pipeline_clashing_columns_nulls_and_repeats(spark):
+    """Every stage against the operator's own judgement of each row; documents keep their own values under any name."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    own = {"score": F.lit(-5.0), "predicted": F.lit(77), "lang_pred": F.lit("mine"), "n_hit": F.lit(-1), "items": F.lit("mine"), "n_words": F.lit("w"), "spans": F.lit(1), "node": F.lit("n"), "n": F.lit(0), "row": F.lit(True), "a.b": F.lit("dot"), "contaminated": F.lit(None).cast("string")}
+    docs = base.select("*", *(c.alias(n) for n, c in own.items()))
+    rows = [tuple(r) for r in docs.collect()]
+    odd = [(None, "no id at all, but words enough"), (9_000_001, None), (9_000_002, ""), (9_000_003, "é " * 50_000)]
+    docs = spark.createDataFrame([*rows, *rows[:5], *((i, t, *rows[0][2:]) for i, t in odd)], docs.schema).repartition(3)
+    whole = Counter(map(repr, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        kept = Counter(map(repr, got.collect()))
+        assert kept and not kept - whole, name
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(sampling.remainder(F.col("doc_id"), 5) != 0)
+    good = quality.score_quality(docs.select("doc_id", "text"), quality.fit_quality(docs, labels)).where("predicted = 1")
+    assert sorted(r.text or "" for r in good.collect()) == sorted(r.text or "" for r in corpus_pipeline.quality(spark, docs, SF).collect())
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets = [shingles(t) for _, t in rows]
+    one = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    groups = {c for _, n, c in brute_components([r for r, x in zip(rows, sets, strict=True) if x])}
+    assert len([1 for _, t in one if shingles(t)]) == len(groups) and sum(not shingles(t) for _, t in one) == sum(not x for x in sets)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + 13]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() for w in [words(r.text)] if w for i in range(max(1, len(w) - 12))}
+
+    def clean(text):
+        w, hit = words(text), set()
+        for size in {len(x) for x in windows}:
+            for i in range(len(w) - size + 1):
+                if tuple(w[i : i + size]) in windows:
+                    hit.update(range(i, i + size))
+        return not hit or 20 * len(hit) < len(w)
+
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()))) == sorted(map(repr, (r for r in rows if clean(r[1]))))
+    named = langid.identify(docs.select("doc_id", "text"), langid.fit_language(docs.where(sampling.remainder(F.col("doc_id"), 4) != 2)))
+    some = named.where((F.col("lang_pred") != "und") & (F.col("score") >= corpus_pipeline.LEAST_LANGUAGE_SCORE)).collect()
+    assert sorted(r.text for r in some) == sorted(r.text for r in corpus_pipeline.language(spark, docs, SF).collect())
