@@ -48,20 +48,60 @@ def code128b_checksum(text: Column) -> Column:
     return F.aggregate(products, F.lit(104).cast("long"), lambda s, x: s + x) % 103
 
 
-# Code 39 characters in rows of ten, the wide bars of each column, the wide spaces of each row, and signs whose spaces alone are wide.
-CODE39_GRID = "1234567890ABCDEFGHIJKLMNOPQRSTUVWXYZ-. *"
-CODE39_BARS = "10001 01001 11000 00101 10100 01100 00011 10010 01010 00110".split()
-CODE39_SPACES = "0100 0010 0001 1000".split()
-CODE39_SIGNS = {"$": "1110", "/": "1101", "+": "1011", "%": "0111"}
+# Code 39 characters and their nine elements, bars and spaces by turns, narrow or wide.
+CODE39 = {
+    "0": "nnnwwnwnn",
+    "1": "wnnwnnnnw",
+    "2": "nnwwnnnnw",
+    "3": "wnwwnnnnn",
+    "4": "nnnwwnnnw",
+    "5": "wnnwwnnnn",
+    "6": "nnwwwnnnn",
+    "7": "nnnwnnwnw",
+    "8": "wnnwnnwnn",
+    "9": "nnwwnnwnn",
+    "A": "wnnnnwnnw",
+    "B": "nnwnnwnnw",
+    "C": "wnwnnwnnn",
+    "D": "nnnnwwnnw",
+    "E": "wnnnwwnnn",
+    "F": "nnwnwwnnn",
+    "G": "nnnnnwwnw",
+    "H": "wnnnnwwnn",
+    "I": "nnwnnwwnn",
+    "J": "nnnnwwwnn",
+    "K": "wnnnnnnww",
+    "L": "nnwnnnnww",
+    "M": "wnwnnnnwn",
+    "N": "nnnnwnnww",
+    "O": "wnnnwnnwn",
+    "P": "nnwnwnnwn",
+    "Q": "nnnnnnwww",
+    "R": "wnnnnnwwn",
+    "S": "nnwnnnwwn",
+    "T": "nnnnwnwwn",
+    "U": "wwnnnnnnw",
+    "V": "nwwnnnnnw",
+    "W": "wwwnnnnnn",
+    "X": "nwnnwnnnw",
+    "Y": "wwnnwnnnn",
+    "Z": "nwwnwnnnn",
+    "-": "nwnnnnwnw",
+    ".": "wwnnnnwnn",
+    " ": "nwwnnnwnn",
+    "$": "nwnwnwnnn",
+    "/": "nwnwnnnwn",
+    "+": "nwnnnwnwn",
+    "%": "nnnwnwnwn",
+    "*": "nwnnwnwnn",
+}
 WIDE = 3
 QUIET = 10
 
 
 def _code39_symbols() -> dict[str, str]:
     """Character -> its modules, 1 for bars."""
-    parts = {c: (CODE39_BARS[i % 10], CODE39_SPACES[i // 10]) for i, c in enumerate(CODE39_GRID)} | {c: ("00000", s) for c, s in CODE39_SIGNS.items()}
-    run = lambda module, wide: module * (WIDE if wide == "1" else 1)
-    return {c: run("1", bars[0]) + "".join(run("0", s) + run("1", b) for s, b in zip(spaces, bars[1:], strict=True)) for c, (bars, spaces) in parts.items()}
+    return {c: "".join(str(1 - k % 2) * (WIDE if e == "w" else 1) for k, e in enumerate(elements)) for c, elements in CODE39.items()}
 
 
 def code39_modules(text: Column) -> Column:

@@ -351,9 +351,9 @@ def path_validity(spark, sf_dir):
 
 @_query(f"""WITH t AS (SELECT p_partkey, 'P-' || p_partkey || '$/+%. ' || p_size AS body FROM part),
     c AS (SELECT p_partkey, body, i, substring('*' || body || '*', i, 1) AS x FROM t, LATERAL unnest(range(1, length(body) + 3)) AS u(i)),
-    g AS (SELECT *, instr('{barcode.CODE39_GRID}', x) - 1 AS place, instr('$/+%', x) - 1 AS sign FROM c),
-    w AS (SELECT *, CASE WHEN sign >= 0 THEN '00000' ELSE substring('{"".join(barcode.CODE39_BARS)}', place % 10 * 5 + 1, 5) END AS bars,
-        CASE WHEN sign >= 0 THEN substring('{"".join(barcode.CODE39_SIGNS.values())}', sign * 4 + 1, 4) ELSE substring('{"".join(barcode.CODE39_SPACES)}', place // 10 * 4 + 1, 4) END AS spaces FROM g),
+    g AS (SELECT *, instr('1234567890ABCDEFGHIJKLMNOPQRSTUVWXYZ-. *', x) - 1 AS place, instr('$/+%', x) - 1 AS sign FROM c),
+    w AS (SELECT *, CASE WHEN sign >= 0 THEN '00000' ELSE substring('10001010011100000101101000110000011100100101000110', place % 10 * 5 + 1, 5) END AS bars,
+        CASE WHEN sign >= 0 THEN substring('1110110110110111', sign * 4 + 1, 4) ELSE substring('0100001000011000', place // 10 * 4 + 1, 4) END AS spaces FROM g),
     m AS (SELECT *, array_to_string(list_transform(range(0, 9), lambda k: repeat(CASE WHEN k % 2 = 0 THEN '1' ELSE '0' END, CASE WHEN substring(CASE WHEN k % 2 = 0 THEN bars ELSE spaces END, k // 2 + 1, 1) = '1' THEN 3 ELSE 1 END)), '') AS modules FROM w)
     SELECT p_partkey, body, repeat('0', 10) || string_agg(modules, '0' ORDER BY i) || repeat('0', 10) AS modules FROM m GROUP BY p_partkey, body""")
 def code39_modules(spark, sf_dir):

@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder shared by driver and executors: spark.checkpoint.dir, else, with a local master, one of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + os.path.join(tempfile.gettempdir(), f"quiresmith-{os.getpid()}")
         os.makedirs(known.removeprefix("file://"), exist_ok=True)
         spark.sparkContext.setCheckpointDir(known)

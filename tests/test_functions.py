@@ -11,18 +11,27 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(("code", "length", "valid"), [("4003994155486", 13, True), ("4003994155480", 13, False), ("003994155480", 12, True), ("003994155481", 12, False), ("95012346", 8, True), ("95012340", 8, False), ("x", 8, False)])
+@pytest.mark.parametrize(("code", "length", "valid"), [("9780143127741", 13, True), ("9780143127742", 13, False), ("725272730706", 12, True), ("725272730707", 12, False), ("73513537", 8, True), ("73513538", 8, False), ("x", 8, False), ("", 8, False)])
 def test_gtin(spark, code, length, valid):
     assert one(spark, barcode.gtin_valid(F.lit(code), length)) is valid
 
 
 def test_upce(spark):
-    assert one(spark, barcode.upce_expand(F.lit("01234558"))) is not None
-    assert one(spark, barcode.upce_expand(F.lit("01234550"))) is None
-    assert one(spark, barcode.upce_expand(F.lit("21234558"))) is None
+    assert one(spark, barcode.upce_expand(F.lit("04252614"))) == "042100005264"
+    assert one(spark, barcode.upce_expand(F.lit("04252610"))) is None
+    assert one(spark, barcode.upce_expand(F.lit("24252614"))) is None
 
 
-@pytest.mark.parametrize(("line", "needle", "found"), [("aaaa", "aa", [0, 1, 2]), ("Hello Café", "lo Café", [3]), ("x", "missing", []), ("", "a", []), ("a.b.", ".", [1, 3]), ("éaéa", "aé", [1])])
+def test_code39_published_symbols(spark):
+    """Bars and spaces of single characters as the symbology prints them, three modules a wide element."""
+    body = lambda c: one(spark, barcode.code39_modules(F.lit(c)))[10 + 15 + 1 : -(10 + 15 + 1)]
+    assert (body("A"), body("0"), body("-"), body("%")) == ("111010100010111", "101000111011101", "100010101110111", "101000100010001")
+    whole = one(spark, barcode.code39_modules(F.lit("Z")))
+    assert whole[:26] == "0" * 10 + "100010111011101" + "0" and whole[-26:] == "0" + "100010111011101" + "0" * 10
+    assert one(spark, barcode.code39_modules(F.lit("a"))) is None and one(spark, barcode.code39_modules(F.lit(""))) is None
+
+
+@pytest.mark.parametrize(("line", "needle", "found"), [("aaaa", "aa", [0, 1, 2]), ("grüne Wiese", "ne Wi", [3]), ("x", "missing", []), ("", "a", []), ("a.b.", ".", [1, 3]), ("éaéa", "aé", [1])])
 def test_match_offsets(spark, line, needle, found):
     assert one(spark, text.match_offsets(F.lit(line), needle)) == found
     assert one(spark, text.match_count(F.lit(line), needle)) == len(found)

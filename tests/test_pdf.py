@@ -44,18 +44,18 @@ def build_compressed(objects):
 
 OBJECTS = [
     b"<< /Type /Catalog /Pages 2 0 R /Outlines 8 0 R /AcroForm << /Fields [16 0 R] >> >>",
-    b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 3 /MediaBox [0 0 200 120] /Rotate 90 >>",
+    b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 3 /MediaBox [0 0 210 130] /Rotate 90 >>",
     b"<< /Type /Page /Parent 2 0 R /Annots [6 0 R 7 0 R 15 0 R] /CropBox [10 10 150 90] >>",
     b"<< /Type /Pages /Parent 2 0 R /Kids [5 0 R 14 0 R] /Rotate 0 >>",
     b"<< /Type /Page /Parent 4 0 R /MediaBox [0 0 100 50] /UserUnit 2 >>",
     b"<< /Subtype /Link /Rect [20 20 40 30] /A << /S /URI /URI (http://a/) >> >>",
     b"<< /Subtype /Link /Rect [0 0 1 1] /Dest [5 0 R /XYZ 15 25 0] >>",
     b"<< /First 9 0 R >>",
-    b"<< /Title (Chapter 1) /Parent 8 0 R /Next 12 0 R /First 10 0 R /Count 2 >>",
+    b"<< /Title (Opening) /Parent 8 0 R /Next 12 0 R /First 10 0 R /Count 2 >>",
     b"<< /Title <FEFF00E9> /Parent 9 0 R /Next 11 0 R >>",
-    b"<< /Title (Website) /Parent 9 0 R /A << /S /URI /URI (http://w/) >> >>",
-    b"<< /Title (Chapter 2) /Parent 8 0 R >>",
-    b"<< /Title (Phase 5 Caf\\351) /Author () /CreationDate (D:2026) >>",
+    b"<< /Title (Journal) /Parent 9 0 R /A << /S /URI /URI (http://journal/) >> >>",
+    b"<< /Title (Closing) /Parent 8 0 R >>",
+    b"<< /Title (Entwurf f\\374r Mai) /Author () /CreationDate (D:2026) >>",
     b"<< /Type /Page /Parent 4 0 R >>",
     b"<< /Subtype /Text /Rect [50 50 60 60] /Contents (note) /F 4 >>",
     b"<< /T (a) /FT /Tx /V (top) /Kids [17 0 R 18 0 R] >>",
@@ -82,21 +82,21 @@ def test_pages_and_geometry(corpus):
     rows = pdf.visible_geometry(pdf.pages(corpus)).orderBy("doc_id", "page_index").collect()
     for doc in ("plain", "packed"):
         got = [r for r in rows if r.doc_id == doc]
-        assert [(r.page_index, r.rotate, r.unit, r.width, r.height, r.geometry_status) for r in got] == [(0, 90, 1.0, 80.0, 140.0, "OK"), (1, 0, 2.0, 200.0, 100.0, "OK"), (2, 0, 1.0, 200.0, 120.0, "OK")]
+        assert [(r.page_index, r.rotate, r.unit, r.width, r.height, r.geometry_status) for r in got] == [(0, 90, 1.0, 80.0, 140.0, "OK"), (1, 0, 2.0, 200.0, 100.0, "OK"), (2, 0, 1.0, 210.0, 130.0, "OK")]
         assert tuple(got[0].crop) == (10, 10, 150, 90)
     assert [(r.page_index, r.width) for r in rows if r.doc_id == "cycle"] == [(0, 1.0)]
 
 
 def test_metadata(corpus):
     got = {r.doc_id: r for r in pdf.metadata(corpus).collect()}
-    assert (got["plain"].Title, got["plain"].Author, got["plain"].Subject, got["plain"].CreationDate) == ("Phase 5 Café", "", None, "D:2026")
+    assert (got["plain"].Title, got["plain"].Author, got["plain"].Subject, got["plain"].CreationDate) == ("Entwurf für Mai", "", None, "D:2026")
     assert got["packed"].Title is None and got["packed"].metadata_status == "OK" and "cut" not in got
 
 
 def test_outline(corpus):
     got = [r for r in pdf.outline(corpus).orderBy("doc_id", "index").collect() if r.doc_id == "plain"]
     assert [(r.title, r.parent_index, r.first_child, r.next_sibling, r.uri, r.is_open) for r in got] == [
-        ("Chapter 1", None, 1, 3, None, True), ("é", 0, None, 2, None, False), ("Website", 0, None, None, "http://w/", False), ("Chapter 2", None, None, None, None, False),
+        ("Opening", None, 1, 3, None, True), ("é", 0, None, 2, None, False), ("Journal", 0, None, None, "http://journal/", False), ("Closing", None, None, None, None, False),
     ]
 
 
@@ -123,7 +123,7 @@ def test_round_trip(spark, corpus):
     back = again(spark, (corpus.nodes, corpus.edges))
     want = {(r.doc_id, r.page_index, r.width, r.height) for r in pdf.visible_geometry(pdf.pages(corpus)).collect()}
     assert {(r.doc_id, r.page_index, r.width, r.height) for r in pdf.visible_geometry(pdf.pages(back)).collect()} == want
-    assert {r.doc_id: r.Title for r in pdf.metadata(back).collect()}["plain"] == "Phase 5 Café"
+    assert {r.doc_id: r.Title for r in pdf.metadata(back).collect()}["plain"] == "Entwurf für Mai"
     assert serialize(back.nodes, back.edges).where("doc_id = 'plain'").first().content == serialize(corpus.nodes, corpus.edges).where("doc_id = 'plain'").first().content
 
 
@@ -140,11 +140,11 @@ def test_crop_and_trim(spark, corpus):
 def test_export_and_merge(spark, corpus):
     pages = pdf.pages(corpus)
     got = pdf.pages(again(spark, pdf_edit.export_pages(corpus, pages, [2, 0, 0]))).orderBy("doc_id", "page_index").collect()
-    assert [(r.doc_id, tuple(r.media), r.rotate) for r in got if r.doc_id == "plain"] == [("plain", (0, 0, 200, 120), 0), ("plain", (0, 0, 200, 120), 90), ("plain", (0, 0, 200, 120), 90)]
+    assert [(r.doc_id, tuple(r.media), r.rotate) for r in got if r.doc_id == "plain"] == [("plain", (0, 0, 210, 130), 0), ("plain", (0, 0, 210, 130), 90), ("plain", (0, 0, 210, 130), 90)]
     assert {r.doc_id for r in got} == {"plain", "packed"}
     plan = spark.createDataFrame([("m", i, d, p) for i, (d, p) in enumerate([("plain", 1), ("cycle", 0), ("packed", 0)])] + [("bad", 0, "plain", 9)], "out_id string, out_page int, doc_id string, page_index int")
     merged = again(spark, pdf_edit.assemble(corpus, pages, plan))
-    assert [(r.doc_id, r.media.x1) for r in pdf.pages(merged).orderBy("page_index").collect()] == [("m", 100.0), ("m", 1.0), ("m", 200.0)]
+    assert [(r.doc_id, r.media.x1) for r in pdf.pages(merged).orderBy("page_index").collect()] == [("m", 100.0), ("m", 1.0), ("m", 210.0)]
 
 
 def test_sanitize(spark, corpus):
