@@ -18,7 +18,7 @@ METADATA = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "Cr
 NOT_ANNOTATIONS = ("Link", "Popup", "Widget")
 EXTERNAL_ACTIONS = ("URI", "GoToR", "GoToE", "SubmitForm", "ImportData")
 RICH_MEDIA = ("RichMedia", "3D", "Movie", "Sound", "Screen")
-FINDING_BITS = {"javascript": 1, "launch": 2, "external": 4, "other_action": 8, "embedded_file": 16, "rich_media": 32, "form": 64, "signature": 128}
+FINDING_BITS = {"javascript": 1, "launch": 2, "external": 4, "other_action": 8, "embedded_file": 16, "xfa": 32, "rich_media": 64, "signature": 128, "encryption": 256}
 
 
 def decode_text(data: Column) -> Column:
@@ -224,11 +224,110 @@ def form_fields(corpus: Corpus) -> DataFrame:
     return out.select("doc_id", "node", "full_name", F.col("FT_name").alias("type"), decode_text(F.col("V_data")).alias("value"))
 
 
+def live_edges(corpus: Corpus) -> DataFrame:
+    """``doc_id, src, ordinal, key, dst, kind, name``: members that aren't null, with the kind of their value and its name, if it is one."""
+    there = corpus.nodes.where("kind <> 'null'").select("doc_id", F.col("node").alias("dst"), "kind", F.when(F.col("kind") == "name", F.decode("data", "ISO-8859-1")).alias("name"))
+    return corpus.edges.select("doc_id", "src", "ordinal", "key", "dst").join(there, ["doc_id", "dst"])
+
+
+def _member(edges: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """``doc_id, node, kind``: the member ``key`` of the nodes in ``of`` (doc_id, node)."""
+    return edges.where(F.col("key") == key).join(of.select("doc_id", F.col("node").alias("src")), ["doc_id", "src"], "left_semi").select("doc_id", F.col("dst").alias("node"), "kind")
+
+
+def _closure(start: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``doc_id, node`` and what is reached from them over edges (doc_id, src, dst)."""
+    seen = level = written(start.select("doc_id", "node").distinct(), name)
+    step = written(edges.select("doc_id", F.col("src").alias("node"), "dst"), name)
+    while True:
+        found = level.join(step, ["doc_id", "node"]).select("doc_id", F.col("dst").alias("node")).distinct()
+        level = written(found.join(seen, ["doc_id", "node"], "left_anti"), name)
+        if level.isEmpty():
+            return seen
+        seen = seen.unionByName(level)
+
+
+def action_class(name: Column) -> Column:
+    """The finding bit of an action's kind: 0 for GoTo."""
+    bit = FINDING_BITS
+    return F.when(name == "JavaScript", bit["javascript"]).when(name == "Launch", bit["launch"]).when(name.isin(list(EXTERNAL_ACTIONS)), bit["external"]).when(name == "GoTo", 0).otherwise(bit["other_action"])
+
+
+def catalogs(edges: DataFrame) -> DataFrame:
+    """``doc_id, node`` of the catalogs."""
+    return edges.where("src = 0 AND key = 'Root'").select("doc_id", F.col("dst").alias("node"))
+
+
+def actions(edges: DataFrame) -> DataFrame:
+    """``doc_id, via, node, finding, broken`` of all actions, by the edge ``via`` (src, key, dst) that leads there.
+
+    Actions are what a catalog's OpenAction (if it is no destination), any A, any member of an AA, the JavaScript name tree
+    and, from there on, Next lead to. ``broken`` marks what is no dictionary or has no kind.
+    """
+    root = catalogs(edges)
+    names = _member(edges, root, "Names")
+    tree = _closure(_member(edges, names, "JavaScript"), edges.where("key = 'Kids'").join(edges.where("key IS NULL").select("doc_id", F.col("src").alias("dst"), F.col("dst").alias("kid")), ["doc_id", "dst"]).select("doc_id", "src", F.col("kid").alias("dst")), "script-tree")
+    open_action = edges.join(root.withColumnRenamed("node", "src"), ["doc_id", "src"], "left_semi").where("key = 'OpenAction' AND kind NOT IN ('array', 'name', 'string')")
+    additional = edges.join(edges.where("key = 'AA'").select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi")
+    scripts = edges.where("key IS NULL AND ordinal % 2 = 1").join(_member(edges, tree, "Names").withColumnRenamed("node", "src").select("doc_id", "src"), ["doc_id", "src"], "left_semi")
+    start = open_action.unionByName(edges.where("key = 'A'")).unionByName(additional).unionByName(scripts)
+    listed = edges.where("key IS NULL").join(edges.where("key = 'Next' AND kind = 'array'").select("doc_id", F.col("src").alias("from"), F.col("dst").alias("src")), ["doc_id", "src"])
+    follow = edges.where("key = 'Next' AND kind <> 'array'").select("doc_id", F.col("src").alias("from"), "src", "ordinal", "key", "dst", "kind", "name").unionByName(listed.select("doc_id", "from", "src", "ordinal", "key", "dst", "kind", "name"))
+    reached = _closure(start.select("doc_id", F.col("dst").alias("node")), follow.select("doc_id", F.col("from").alias("src"), "dst"), "actions")
+    after = follow.join(reached.withColumnRenamed("node", "from"), ["doc_id", "from"], "left_semi")
+    every = start.unionByName(after.drop("from")).select("doc_id", F.struct("src", "key", "ordinal", "dst").alias("via"), F.col("dst").alias("node"), "kind").distinct()
+    kinds = edges.where("key = 'S'").select("doc_id", F.col("src").alias("node"), F.col("name").alias("action"))
+    return every.join(kinds, ["doc_id", "node"], "left").select("doc_id", "via", "node", F.when(F.col("action").isNotNull(), action_class(F.col("action"))).otherwise(0).alias("finding"), ((F.col("kind") != "dictionary") | F.col("action").isNull()).alias("broken"))
+
+
 def audit(corpus: Corpus) -> DataFrame:
-    """``doc_id, findings``: bits of what the objects reached from the trailer hold; 0 for clean documents."""
+    """``doc_id, audit_status, findings`` of every readable document; FORMAT and null where an action, an AA or an annotation list isn't what it has to be.
+
+    Findings are bits of FINDING_BITS, united over the whole document: actions by kind, a JavaScript name tree,
+    embedded files, XFA forms, rich-media annotations, signatures (of permissions, and values of fields of that type) and encryption.
+    """
     bit = FINDING_BITS
-    keyed = corpus.edges.where(F.col("key").isin("JS", "JavaScript", "EmbeddedFiles", "EF", "AcroForm", "ByteRange")).select("doc_id", F.when(F.col("key").isin("JS", "JavaScript"), bit["javascript"]).when(F.col("key").isin("EmbeddedFiles", "EF"), bit["embedded_file"]).when(F.col("key") == "AcroForm", bit["form"]).otherwise(bit["signature"]).alias("b"))
-    named = corpus.edges.where(F.col("key").isin("S", "Subtype")).join(corpus.nodes.where("kind = 'name'").select("doc_id", F.col("node").alias("dst"), F.decode("data", "ISO-8859-1").alias("name")), ["doc_id", "dst"])
-    kind = F.when((F.col("key") == "Subtype") & F.col("name").isin(list(RICH_MEDIA)), bit["rich_media"]).when(F.col("key") == "S", F.when(F.col("name") == "JavaScript", bit["javascript"]).when(F.col("name") == "Launch", bit["launch"]).when(F.col("name").isin(list(EXTERNAL_ACTIONS)), bit["external"]))
-    found = keyed.union(named.select("doc_id", kind.alias("b")).where("b IS NOT NULL")).groupBy("doc_id").agg(F.bit_or("b").alias("findings"))
-    return corpus.documents.where("status = 'OK'").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("findings", F.lit(0)).alias("findings"))
+    edges = written(live_edges(corpus), "live-edges")
+    root = catalogs(edges)
+    done = written(actions(edges), "actions")
+    names, form = _member(edges, root, "Names"), _member(edges, root, "AcroForm")
+    held = lambda df, value: df.select("doc_id", F.lit(value).alias("b"))
+    annots = edges.where("key IS NULL").join(edges.where("key = 'Annots' AND kind = 'array'").select("doc_id", F.col("dst").alias("src")).distinct(), ["doc_id", "src"], "left_semi")
+    subtypes = annots.select("doc_id", F.col("dst").alias("src")).join(edges.where("key = 'Subtype'"), ["doc_id", "src"])
+    kids = edges.where("key IS NULL").select("doc_id", F.col("src").alias("list"), F.col("dst").alias("kid"))
+    lists = edges.where("key = 'Kids' AND kind = 'array'").select("doc_id", F.col("src").alias("node"), F.col("dst").alias("list"))
+    fields = _member(edges, form, "Fields").select("doc_id", F.col("node").alias("list")).join(kids, ["doc_id", "list"]).select("doc_id", F.col("kid").alias("node"))
+    signed = _signed_fields(edges, fields, lists.join(kids, ["doc_id", "list"]).select("doc_id", "node", "kid"))
+    permissions = edges.where("key IN ('DocMDP', 'UR', 'UR3')").join(_member(edges, root, "Perms").withColumnRenamed("node", "src").select("doc_id", "src"), ["doc_id", "src"], "left_semi")
+    streams = corpus.nodes.where("kind = 'stream'").select("doc_id", F.col("node").alias("src"))
+    found = [
+        done.select("doc_id", F.col("finding").alias("b")),
+        held(_member(edges, names, "JavaScript"), bit["javascript"]), held(_member(edges, names, "EmbeddedFiles"), bit["embedded_file"]), held(_member(edges, form, "XFA"), bit["xfa"]),
+        held(edges.where("key IN ('AF', 'EF')"), bit["embedded_file"]), held(edges.where("key = 'Type' AND name = 'EmbeddedFile'").join(streams, ["doc_id", "src"], "left_semi"), bit["embedded_file"]),
+        held(subtypes.where("name = 'FileAttachment'"), bit["embedded_file"]), held(subtypes.where(F.col("name").isin(list(RICH_MEDIA))), bit["rich_media"]),
+        held(permissions, bit["signature"]), held(signed, bit["signature"]), held(edges.where("src = 0 AND key = 'Encrypt'"), bit["encryption"]),
+    ]
+    bits = found[0]
+    for more in found[1:]:
+        bits = bits.unionByName(more)
+    bits = bits.groupBy("doc_id").agg(F.bit_or("b").alias("findings"))
+    wrong = done.where("broken").select("doc_id").unionByName(edges.where("key = 'AA' AND kind <> 'dictionary' OR key = 'Annots' AND kind <> 'array'").select("doc_id"))
+    wrong = wrong.unionByName(annots.where("kind <> 'dictionary'").select("doc_id")).distinct().withColumn("wrong", F.lit(True))
+    out = corpus.documents.where("status = 'OK'").select("doc_id").join(bits, "doc_id", "left").join(wrong, "doc_id", "left")
+    return out.select("doc_id", F.when(F.col("wrong"), "FORMAT").otherwise("OK").alias("audit_status"), F.when(F.col("wrong").isNull(), F.coalesce("findings", F.lit(0))).alias("findings"))
+
+
+def _signed_fields(edges: DataFrame, fields: DataFrame, kids: DataFrame) -> DataFrame:
+    """``doc_id, node`` of form fields of type Sig that have a value; both come from the nearest ancestor."""
+    types = edges.where("key = 'FT'").select("doc_id", F.col("src").alias("node"), F.col("name").alias("own_type"))
+    filled = edges.where("key = 'V'").select("doc_id", F.col("src").alias("node"), F.lit(True).alias("own_value"))
+    level = fields.withColumns({"type": F.lit(None).cast("string"), "value": F.lit(False)})
+    found = None
+    for _ in range(MAX_DEPTH):
+        level = level.join(types, ["doc_id", "node"], "left").join(filled, ["doc_id", "node"], "left")
+        level = written(level.select("doc_id", "node", F.coalesce("own_type", "type").alias("type"), (F.col("value") | F.coalesce("own_value", F.lit(False))).alias("value")), "signed")
+        found = level if found is None else found.unionByName(level)
+        if level.isEmpty():
+            break
+        level = level.join(kids, ["doc_id", "node"]).select("doc_id", F.col("kid").alias("node"), "type", "value")
+    return found.where("type = 'Sig' AND value").select("doc_id", "node")

@@ -329,10 +329,14 @@ def parse(data: bytes | None) -> dict:
 class Corpus:
     """The tables of a set of files: ``documents`` (doc_id, status, version), ``nodes`` and ``edges`` by doc_id."""
 
-    def __init__(self, parsed: DataFrame):
-        self.documents = parsed.select("doc_id", "status", "version")
-        self.nodes = parsed.select("doc_id", F.explode("nodes").alias("n")).select("doc_id", "n.*")
-        self.edges = parsed.select("doc_id", F.explode("edges").alias("e")).select("doc_id", "e.*")
+    def __init__(self, documents: DataFrame, nodes: DataFrame, edges: DataFrame):
+        self.documents, self.nodes, self.edges = documents, nodes, edges
+
+    @classmethod
+    def of(cls, parsed: DataFrame) -> Corpus:
+        """From one row a document with its nodes and edges as arrays."""
+        of = lambda c: parsed.select("doc_id", F.explode(c).alias("x")).select("doc_id", "x.*")
+        return cls(parsed.select("doc_id", "status", "version"), of("nodes"), of("edges"))
 
 
 def parsed_rows(files: DataFrame, doc_id: str = "path", content: str = "content") -> DataFrame:
@@ -351,7 +355,7 @@ def parsed_rows(files: DataFrame, doc_id: str = "path", content: str = "content"
 
 def parse_files(files: DataFrame, doc_id: str = "path", content: str = "content") -> Corpus:
     """Parse rows of (id, bytes) once, into a written table; an empty table gives empty tables."""
-    return Corpus(written(parsed_rows(files, doc_id, content), "pdf"))
+    return Corpus.of(written(parsed_rows(files, doc_id, content), "pdf"))
 
 
 def read_pdf(spark: SparkSession, path: str) -> Corpus:

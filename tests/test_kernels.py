@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from quiresmith.plans import kernels
+from quiresmith.plans import kernels, objects  # noqa: F401  objects adds its queries to those of kernels
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -112,7 +112,7 @@ def test_forms_and_audit(corpus):
     got = {(r.full_name, r.type, r.value) for r in pdf.form_fields(corpus).where("doc_id = 'plain'").collect()}
     assert got == {("a", "Tx", "top"), ("a.b", "Tx", "top"), ("a.c", "Ch", "own")}
     findings = {r.doc_id: r.findings for r in pdf.audit(corpus).collect()}
-    assert findings == {"plain": 4 + 64, "packed": 4 + 64, "script": 1 + 2, "cycle": 0}
+    assert findings == {"plain": 4, "packed": 4, "script": 1 + 2, "cycle": 0}
 
 
 def again(spark, tables):
@@ -147,9 +147,28 @@ def test_export_and_merge(spark, corpus):
     assert [(r.doc_id, r.media.x1) for r in pdf.pages(merged).orderBy("page_index").collect()] == [("m", 100.0), ("m", 1.0), ("m", 210.0)]
 
 
-def test_sanitize(spark, corpus):
-    left = {r.doc_id: r.findings for r in pdf.audit(again(spark, pdf_edit.sanitize(corpus, ["javascript", "launch", "external", "form"]))).collect()}
-    assert set(left.values()) == {0} and "script" in left
+AUDITED = [
+    b"<< /Type /Catalog /Pages 2 0 R /Names << /JavaScript << /Kids [5 0 R] >> /EmbeddedFiles << >> >> /AcroForm << /XFA (x) /Fields [6 0 R] >> /Perms << /DocMDP << /ByteRange [0 1] >> >> /OpenAction [3 0 R /Fit] >>",
+    b"<< /Type /Pages /Kids [3 0 R] /AA << /O << /S /Named >> /C << /S /GoTo /Next [<< /S /Launch >> << /S /SubmitForm /Next 4 0 R >>] >> >> >>",
+    b"<< /Type /Page /Annots [<< /Subtype /Screen >> << /Subtype /FileAttachment >> << /Subtype /Text /S /JavaScript /JS (no action) >>] >>",
+    b"<< /S /URI /Next 4 0 R >>",
+    b"<< /Names [(run) << /S /JavaScript >>] >>",
+    b"<< /FT /Sig /T (s) /Kids [<< /V << >> >>] >>",
+]
+
+
+def test_audit_and_sanitize(spark, corpus):
+    files = {"all": AUDITED, "bare": [b"<< /Pages 2 0 R /Metadata << /JS (x) /S /Launch /XFA 1 /ByteRange [] >> >>", b"<< /Type /Pages >>"], "aa": [b"<< /AA [] >>"], "kindless": [b"<< /OpenAction << /JS (x) >> >>"], "annots": [b"<< /Annots [1 0 R (x)] >>"], "null": [b"<< /OpenAction null /A null >>"]}
+    made = parse_files(spark.createDataFrame([(k, bytearray(build(v))) for k, v in files.items()], "path string, content binary"))
+    found = {r.doc_id: (r.audit_status, r.findings) for r in pdf.audit(made).collect()}
+    assert found == {"all": ("OK", 255), "bare": ("OK", 0), "aa": ("FORMAT", None), "kindless": ("FORMAT", None), "annots": ("FORMAT", None), "null": ("OK", 0)}
+    for chosen, left in ((pdf_edit.SANITIZED, 128), (["launch", "xfa"], 255 - 2 - 32)):
+        status, tables = pdf_edit.sanitize(made, chosen)
+        assert {r.doc_id for r in status.where("status = 'OK'").collect()} == {"all", "bare", "null"} and status.count() == 6
+        after = {r.doc_id: r.findings for r in pdf.audit(again(spark, tables)).collect()}
+        assert after == {"all": left, "bare": 0, "null": 0}, chosen
+    with pytest.raises(ValueError):
+        pdf_edit.sanitize(made, ["signature"])
 
 
 def test_named_destinations(spark):
