@@ -199,7 +199,8 @@ def form_conflict(spark, sf_dir):
     return documents.conflicts(table(spark, sf_dir, "conversations").withColumn("side", F.col("turn") % 2), ["conv_id", "side"], "role")
 
 
-_MASK = " + ".join(f"CASE WHEN regexp_matches(coalesce(html, ''), '{p}') THEN {bit} ELSE 0 END" for bit, p in audit.FINDINGS.values())
+_FINDS = [(1, r"(?is)<script[\s>]"), (2, r"(?is)<style[\s>]"), (4, r"(?is)<(?:form|input|button)[\s>]"), (8, r"(?is)<(?:iframe|object|embed)[\s>]"), (16, r"(?is)<[^>]*\son[a-z]+\s*="), (32, r'(?is)href="https?://'), (64, "(?s)<!--")]
+_MASK = " + ".join(f"CASE WHEN regexp_matches(coalesce(html, ''), '{p}') THEN {bit} ELSE 0 END" for bit, p in _FINDS)
 
 
 @_query(f"SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, CAST(bit_or({_MASK}) AS INTEGER) AS mask, count(*) AS n_pages FROM pages GROUP BY 1")
@@ -213,9 +214,7 @@ def policy_check(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", mask.alias("mask"), audit.policy_status(mask, 36).alias("status"))
 
 
-_CLEAN = "html"
-for _name in ("script", "style", "comment"):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{audit.REMOVALS[_name]}', '', 'g')"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[\s>].*?</script>', '', 'g'), '(?is)<style[\s>].*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
 
 
 @_query(f"SELECT page_id, md5(html) AS clean_md5, CAST({_MASK} AS INTEGER) AS after, CASE WHEN ({_MASK}) & 67 <> 0 THEN 'UNSUPPORTED' ELSE 'OK' END AS status FROM (SELECT page_id, {_CLEAN} AS html FROM pages)")
@@ -246,12 +245,17 @@ def intern_first(spark, sf_dir):
     return documents.intern(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_query()
+@_query("""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS raw, string_split(replace(replace(coalesce(text, ''), chr(13), ''), chr(9), ' '), chr(10)) AS lines FROM documents),
+    w AS (SELECT doc_id, i AS line_no, 0 AS step, lines[i] AS rest, CAST(NULL AS VARCHAR) AS piece FROM d, LATERAL unnest(range(1, len(lines) + 1)) AS t(i) WHERE raw = '' OR len(lines) > 1 OR lines[1] <> ''
+          UNION ALL SELECT doc_id, line_no, step + 1, CASE WHEN length(rest) <= 80 THEN NULL WHEN place > 1 THEN substring(rest, place + 1) ELSE substring(rest, 81) END,
+              rtrim(CASE WHEN length(rest) <= 80 THEN rest WHEN place > 1 THEN substring(rest, 1, place - 1) ELSE substring(rest, 1, 80) END, ' ')
+          FROM (SELECT *, CASE WHEN contains(substring(rest, 1, 81), ' ') THEN 82 - instr(reverse(substring(rest, 1, 81)), ' ') ELSE 0 END AS place FROM w WHERE rest IS NOT NULL))
+    SELECT d.doc_id, count(piece) AS n_lines, CAST(coalesce(max(length(piece)), 0) AS BIGINT) AS width FROM d LEFT JOIN (SELECT doc_id, piece FROM w WHERE step > 0) AS p ON p.doc_id = d.doc_id GROUP BY d.doc_id""")
 def wrap_measure(spark, sf_dir):
     return text.measure(table(spark, sf_dir, "documents"), "doc_id", "text", 80)
 
 
-@_query(f"SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x7F\\x{{A0}}-\\x{{FF}}{text.WINDOWS_LATIN_EXTRA}]', '', 'g')) AS n_rejected FROM documents")
+@_query(f"SELECT doc_id, length(regexp_replace(text, '[\\x00-\\x7F\\x{{A0}}-\\x{{FF}}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', '', 'g')) AS n_rejected FROM documents")
 def winansi_admit(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.windows_latin(F.col("text")).alias("n_rejected"))
 
@@ -291,7 +295,8 @@ def affine_compose(spark, sf_dir):
 
 
 def _thumbnail_sql() -> str:
-    weights = raster.area_weights(8, 3)
+    thirds = lambda x, c: max(0, min(3 * (x + 1), 8 * (c + 1)) - max(3 * x, 8 * c))  # noqa: E731  of pixel x in cell c
+    weights = [[(x, thirds(x, c)) for x in range(8) if thirds(x, c)] for c in range(3)]
     cells = [" + ".join(f"p[{y * 8 + x + 1}] * {wy * wx}" for y, wy in row for x, wx in col) for row in weights for col in weights]
     cells = ", ".join(f"(2 * ({c}) + 64) // 128" for c in cells)
     return f"SELECT vec_id, CAST([{cells}] AS INTEGER[]) AS cells FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor(CAST(x AS DOUBLE) * 127) + 127, 0), 255) AS INTEGER)) AS p FROM embeddings)"
