@@ -19,15 +19,19 @@ NOT_ANNOTATIONS = ("Link", "Popup", "Widget")
 EXTERNAL_ACTIONS = ("URI", "GoToR", "GoToE", "SubmitForm", "ImportData")
 RICH_MEDIA = ("RichMedia", "3D", "Movie", "Sound", "Screen")
 FINDING_BITS = {"javascript": 1, "launch": 2, "external": 4, "other_action": 8, "embedded_file": 16, "xfa": 32, "rich_media": 64, "signature": 128, "encryption": 256}
+# Characters of the PDF document encoding that Latin-1 has not, from bytes 18 and 80 on.
+ENCODED_18 = "˘ˇˆ˙˝˛˚˜"
+ENCODED_80 = "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž\ufffd€"
 
 
 def decode_text(data: Column) -> Column:
-    """A text string as UTF-8: UTF-16 or UTF-8 with a mark, else Latin; null stays null, empty stays empty."""
+    """A text string as UTF-8: UTF-16 or UTF-8 with a mark, else the PDF document encoding; null stays null, empty stays empty."""
+    own = "".join(map(chr, [*range(0x18, 0x20), *range(0x80, 0xA1)]))
     mark = F.hex(F.substring(data, 1, 3))
     body = lambda n: F.substring(data, n, F.octet_length(data))
     return (
         F.when(mark.startswith("FEFF"), F.decode(body(F.lit(3)), "UTF-16BE")).when(mark.startswith("FFFE"), F.decode(body(F.lit(3)), "UTF-16LE"))
-        .when(mark == "EFBBBF", F.decode(body(F.lit(4)), "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
+        .when(mark == "EFBBBF", F.decode(body(F.lit(4)), "UTF-8")).otherwise(F.translate(F.decode(data, "ISO-8859-1"), own, ENCODED_18 + ENCODED_80))
     )
 
 
@@ -90,6 +94,35 @@ def pages(corpus: Corpus) -> DataFrame:
     return out.select("doc_id", index.alias("page_index"), "node", F.col("MediaBox_rect").alias("media"), F.coalesce("CropBox_rect", "MediaBox_rect").alias("crop"), turn.alias("rotate"), F.coalesce("UserUnit_number", F.lit(1.0)).alias("unit"), F.col("Resources").alias("resources"))
 
 
+def page_tree_status(corpus: Corpus) -> DataFrame:
+    """``doc_id, tree_status`` of every readable document: FORMAT unless its page tree is one.
+
+    Every node is a dictionary of type Page or Pages, inner ones list their kids in an array, no node is met twice,
+    and the tree is no deeper than MAX_DEPTH; a document without a tree is FORMAT too.
+    """
+    edges = written(live_edges(corpus), "live-edges")
+    types = edges.where("key = 'Type'").select("doc_id", F.col("src").alias("node"), F.col("name").alias("type"))
+    lists = edges.where("key = 'Kids'").select("doc_id", F.col("src").alias("node"), F.col("dst").alias("list"), F.col("kind").alias("list_kind"))
+    kids = edges.where("key IS NULL").select("doc_id", F.col("src").alias("list"), F.col("dst").alias("kid"), F.col("kind").alias("kid_kind"))
+    level = _member(edges, catalogs(edges), "Pages").withColumn("above", F.array("node"))
+    met = None
+    for _ in range(MAX_DEPTH):
+        level = level.join(types, ["doc_id", "node"], "left").join(lists, ["doc_id", "node"], "left")
+        inner = F.col("type") == "Pages"
+        bad = (F.col("kind") != "dictionary") | F.col("type").isNull() | ~F.col("type").isin("Page", "Pages") | (inner & (F.coalesce("list_kind", F.lit("")) != "array"))
+        level = written(level.select("doc_id", "node", "above", F.when(inner, F.col("list")).alias("list"), bad.alias("bad")), "tree-level")
+        met = level if met is None else met.unionByName(level)
+        down = level.where("list IS NOT NULL AND NOT bad AND size(array_distinct(above)) = size(above)").join(kids, ["doc_id", "list"])
+        if level.isEmpty():
+            break
+        level = down.select("doc_id", F.col("kid").alias("node"), F.col("kid_kind").alias("kind"), F.concat("above", F.array("kid")).alias("above"))
+    deep = level.select("doc_id").distinct().withColumn("deep", F.lit(True))
+    seen = met.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad")).groupBy("doc_id").agg((F.max("n") == 1).alias("once"), F.max("bad").alias("bad"))
+    out = corpus.documents.where("status = 'OK'").select("doc_id").join(seen, "doc_id", "left").join(deep, "doc_id", "left")
+    fine = F.col("once") & ~F.col("bad") & F.col("deep").isNull()
+    return out.select("doc_id", F.when(F.coalesce(fine, F.lit(False)), "OK").otherwise("FORMAT").alias("tree_status"))
+
+
 def visible_geometry(pages: DataFrame) -> DataFrame:
     """Adds ``visible`` (media and crop in common), ``width``, ``height`` and ``geometry_status``: FORMAT without a visible area or with a bad unit or rotation."""
     seen = geometry.intersection(F.col("media"), F.col("crop"))

@@ -155,3 +155,11 @@ def pdf_export(spark, sf_dir):
     made = corpus(spark, sf_dir)
     tables = pdf_edit.export_pages(made, pdf.pages(made), [1, 0, 1])
     return pdf.pages(Corpus(made.documents, *tables)).select("doc_id", "page_index", "rotate", "crop.*", "unit")
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CASE WHEN c_custkey % 4 = 0 THEN 'FORMAT' ELSE 'OK' END AS tree_status FROM customer")
+def pdf_page_tree(spark, sf_dir):
+    made = corpus(spark, sf_dir)
+    # every fourth document names its own catalog as a page
+    extra = made.documents.where(F.col("doc_id").cast("long") % 4 == 0).select("doc_id", F.lit(5).alias("src"), F.lit(-1).alias("ordinal"), F.lit(None).cast("string").alias("key"), F.lit(1).alias("dst"))
+    return pdf.page_tree_status(Corpus(made.documents, made.nodes, made.edges.unionByName(extra)))

@@ -3,6 +3,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quiresmith.operators import pdf, pdf_edit
 from quiresmith.sources.pdf import parse_files
@@ -87,6 +88,21 @@ def test_pages_and_geometry(corpus):
     assert [(r.page_index, r.width) for r in rows if r.doc_id == "cycle"] == [(0, 1.0)]
 
 
+def test_page_tree_status(spark, corpus):
+    bad = {
+        "typeless": [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R << >>] >>", b"<< /Type /Page >>"], "twice": [b"<< /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 3 0 R] >>", b"<< /Type /Page >>"],
+        "kidless": [b"<< /Pages 2 0 R >>", b"<< /Type /Pages >>"], "none": [b"<< /Type /Catalog >>"], "one": [b"<< /Pages 2 0 R >>", b"<< /Type /Page >>"],
+    }
+    made = parse_files(spark.createDataFrame([(k, bytearray(build(v))) for k, v in bad.items()], "path string, content binary"))
+    assert {r.doc_id: r.tree_status for r in pdf.page_tree_status(made).collect()} == {"typeless": "FORMAT", "twice": "FORMAT", "kidless": "FORMAT", "none": "FORMAT", "one": "OK"}
+    assert {r.doc_id: r.tree_status for r in pdf.page_tree_status(corpus).collect()} == {"plain": "OK", "packed": "OK", "script": "OK", "cycle": "FORMAT"}
+
+
+def test_document_encoding(spark):
+    row = spark.createDataFrame([(bytearray(b"\x18a\x80\xa0\xe9\x93"),)], "b binary").select(pdf.decode_text(F.col("b")).alias("t")).first()
+    assert row.t == "\u02d8a\u2022\u20ac\u00e9\ufb01"
+
+
 def test_metadata(corpus):
     got = {r.doc_id: r for r in pdf.metadata(corpus).collect()}
     assert (got["plain"].Title, got["plain"].Author, got["plain"].Subject, got["plain"].CreationDate) == ("Entwurf für Mai", "", None, "D:2026")
