@@ -19,7 +19,7 @@ def test_ingest(spark, tmp_path):
     (drop / "copy.pdf").write_bytes(build(OBJECTS))
     (drop / "b.pdf").write_bytes(build(OBJECTS[:2]))
     run()
-    streamed = Corpus(spark.read.schema(SCHEMA).parquet(str(table)))
+    streamed = Corpus.of(spark.read.schema(SCHEMA).parquet(str(table)))
     assert sorted((r.doc_id.rsplit("/", 1)[1], r.status) for r in streamed.documents.collect()) == [("a.pdf", "OK"), ("b.pdf", "OK"), ("broken.pdf", "FORMAT")]
     batch = read_pdf(spark, str(drop))
     one = lambda c: sorted((r.page_index, r.rotate) for r in pdf.pages(c).collect() if r.doc_id.endswith("/a.pdf"))
