@@ -283,6 +283,45 @@ def code128_checksum(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", barcode.code128b_checksum(F.col("p_name")).alias("checksum"))
 
 
+_EAN_LEFT = "substring('0001101001100100100110111101010001101100010101111011101101101110001011', CAST({0} AS INTEGER) * 7 + 1, 7)"
+_EAN_DIGIT = f"CASE substring(sets, i, 1) WHEN 'L' THEN {_EAN_LEFT.format('digits[i]')} WHEN 'R' THEN translate({_EAN_LEFT.format('digits[i]')}, '01', '10') ELSE reverse(translate({_EAN_LEFT.format('digits[i]')}, '01', '10')) END"
+
+
+@_query(f"""WITH b AS (SELECT p_partkey, kind, before, after, CAST(p_partkey % 10 AS VARCHAR) || lpad(CAST(p_partkey * 7919 AS VARCHAR), len, '0') AS body FROM part, (VALUES ('EAN-13', 11, 11, 7), ('UPC-A', 10, 9, 9), ('EAN-8', 6, 7, 7)) AS k(kind, len, before, after)),
+    c AS (SELECT *, body || CAST(CAST({_GTIN.format('body')} AS INTEGER) AS VARCHAR) AS code FROM b),
+    s AS (SELECT *, CASE kind WHEN 'EAN-13' THEN code[2:] ELSE code END AS digits,
+        CASE kind WHEN 'EAN-13' THEN substring('LLLLLLLLGLGGLLGGLGLLGGGLLGLLGGLGGLLGLGGGLLLGLGLGLGLGGLLGGLGL', CAST(code[1] AS INTEGER) * 6 + 1, 6) || 'RRRRRR' WHEN 'UPC-A' THEN 'LLLLLLRRRRRR' ELSE 'LLLLRRRR' END AS sets FROM c),
+    m AS (SELECT p_partkey, kind, code, before, after, length(sets) AS n, i, {_EAN_DIGIT} AS x FROM s, LATERAL unnest(range(1, length(sets) + 1)) AS t(i))
+    SELECT p_partkey, kind, code, repeat('0', before) || '101' || string_agg(x || CASE WHEN 2 * i = n THEN '01010' ELSE '' END, '' ORDER BY i) || '101' || repeat('0', after) AS modules FROM m GROUP BY p_partkey, kind, code, before, after""")
+def ean_modules(spark, sf_dir):
+    kinds = {"EAN-13": (11, barcode.ean13_modules), "UPC-A": (10, barcode.upca_modules), "EAN-8": (6, barcode.ean8_modules)}
+
+    def of(kind: str, digits: int, modules):
+        body = F.concat((F.col("p_partkey") % 10).cast("string"), F.lpad((F.col("p_partkey") * 7919).cast("string"), digits, "0"))
+        code = F.concat(body, barcode.gtin_check_digit(body).cast("string"))
+        return F.struct(F.lit(kind).alias("kind"), code.alias("code"), modules(code).alias("modules"))
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[of(k, *v) for k, v in kinds.items()])).alias("x")).select("p_partkey", "x.*")
+
+
+@_query(f"""WITH b AS (SELECT p_partkey, lpad(CAST(p_partkey * 104729 % 2000000 AS VARCHAR), 7, '0') AS e FROM part),
+    x AS (SELECT p_partkey, e, CASE WHEN e[7] IN ('0', '1', '2') THEN e[1:3] || e[7] || '0000' || e[4:6] WHEN e[7] = '3' THEN e[1:4] || '00000' || e[5:6] WHEN e[7] = '4' THEN e[1:5] || '00000' || e[6] ELSE e[1:6] || '0000' || e[7] END AS body FROM b),
+    c AS (SELECT p_partkey, e, CAST({_GTIN.format('body')} AS INTEGER) AS d FROM x),
+    s AS (SELECT p_partkey, e || d AS code, e[2:] AS digits, CASE WHEN e[1] = '1' THEN sets ELSE translate(sets, 'LG', 'GL') END AS sets FROM (SELECT *, substring('LLLGGGLLGLGGLLGGLGLLGGGLLGLLGGLGGLLGLGGGLLLGLGLGLGLGGLLGGLGL', d * 6 + 1, 6) AS sets FROM c)),
+    m AS (SELECT p_partkey, code, i, {_EAN_DIGIT} AS x FROM s, LATERAL unnest(range(1, 7)) AS t(i))
+    SELECT p_partkey, code, '000000000101' || string_agg(x, '' ORDER BY i) || '0101010000000' AS modules FROM m GROUP BY p_partkey, code""")
+def upce_modules(spark, sf_dir):
+    return upce_expand(spark, sf_dir).select("p_partkey", "code", barcode.upce_modules(F.col("code")).alias("modules"))
+
+
+@_query("""WITH v AS (SELECT p_partkey, p_name, list_transform(range(1, length(p_name) + 1), lambda i: ascii(substring(p_name, i, 1)) - 32) AS vs FROM part),
+    c AS (SELECT p_partkey, p_name, [104] || vs || [CAST((104 + list_sum(list_transform(range(1, len(vs) + 1), lambda i: i * vs[i]))) % 103 AS INTEGER)] || [106] AS vs FROM v),
+    w AS (SELECT p_partkey, p_name, i, string_split('212222 222122 222221 121223 121322 131222 122213 122312 132212 221213 221312 231212 112232 122132 122231 113222 123122 123221 223211 221132 221231 213212 223112 312131 311222 321122 321221 312212 322112 322211 212123 212321 232121 111323 131123 131321 112313 132113 132311 211313 231113 231311 112133 112331 132131 113123 113321 133121 313121 211331 231131 213113 213311 213131 311123 311321 331121 312113 312311 332111 314111 221411 431111 111224 111422 121124 121421 141122 141221 112214 112412 122114 122411 142112 142211 241211 221114 413111 241112 134111 111242 121142 121241 114212 124112 124211 411212 421112 421211 212141 214121 412121 111143 111341 131141 114113 114311 411113 411311 113141 114131 311141 411131 211412 211214 211232 2331112', ' ')[vs[i] + 1] AS widths FROM c, LATERAL unnest(range(1, len(vs) + 1)) AS t(i))
+    SELECT p_partkey, p_name, '0000000000' || string_agg(array_to_string(list_transform(range(1, length(widths) + 1), lambda k: repeat(CASE WHEN k % 2 = 1 THEN '1' ELSE '0' END, CAST(substring(widths, k, 1) AS INTEGER))), ''), '' ORDER BY i) || '0000000000' AS modules FROM w GROUP BY p_partkey, p_name""")
+def code128_modules(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", barcode.code128b_modules(F.col("p_name")).alias("modules"))
+
+
 @_query("""WITH RECURSIVE m AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, CAST(1 + l_linenumber % 2 AS DOUBLE) AS a, CAST(l_suppkey % 3 AS DOUBLE) AS b, CAST(l_partkey % 2 AS DOUBLE) AS c, 1.0::DOUBLE AS d, l_quantity AS e, CAST(l_partkey % 10 AS DOUBLE) AS f FROM lineitem),
     p AS (SELECT * FROM m WHERE n = 1 UNION ALL SELECT m.l_orderkey, m.n, p.a * m.a + p.b * m.c, p.a * m.b + p.b * m.d, p.c * m.a + p.d * m.c, p.c * m.b + p.d * m.d, p.e * m.a + p.f * m.c + m.e, p.e * m.b + p.f * m.d + m.f FROM p JOIN m ON m.l_orderkey = p.l_orderkey AND m.n = p.n + 1)
     SELECT l_orderkey, max(n) AS n, arg_max(a, n) AS a, arg_max(b, n) AS b, arg_max(c, n) AS c, arg_max(d, n) AS d, arg_max(e, n) AS e, arg_max(f, n) AS f FROM p GROUP BY l_orderkey""")

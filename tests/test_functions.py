@@ -22,6 +22,33 @@ def test_upce(spark):
     assert one(spark, barcode.upce_expand(F.lit("24252614"))) is None
 
 
+def test_ean_and_upc_modules(spark):
+    whole = one(spark, barcode.ean13_modules(F.lit("9780143127741")))
+    # first digit 9: odd, even, even, odd, even, odd
+    left = ["0111011", "0001001", "0100111", "0011001", "0011101", "0111101"]
+    right = ["1100110", "1101100", "1000100", "1000100", "1011100", "1100110"]
+    assert whole == "0" * 11 + "101" + "".join(left) + "01010" + "".join(right) + "101" + "0" * 7
+    assert one(spark, barcode.ean13_modules(F.lit("9780143127742"))) is None
+    assert one(spark, barcode.upca_modules(F.lit("725272730706"))).strip("0").startswith("101" + "0111011" + "0010011" + "0110001")
+    assert len(one(spark, barcode.upca_modules(F.lit("725272730706")))) == 95 + 18
+    assert one(spark, barcode.ean8_modules(F.lit("73513537"))) == "0" * 7 + "101" + "0111011" + "0111101" + "0110001" + "0011001" + "01010" + "1000010" + "1001110" + "1000010" + "1000100" + "101" + "0" * 7
+    assert one(spark, barcode.ean8_modules(F.lit(""))) is None and one(spark, barcode.upca_modules(F.lit(None).cast("string"))) is None
+
+
+def test_upce_modules(spark):
+    # check digit 4 in number system 0: even, odd, even, even, odd, odd
+    digits = ["0011101", "0010011", "0111001", "0011011", "0101111", "0011001"]
+    assert one(spark, barcode.upce_modules(F.lit("04252614"))) == "0" * 9 + "101" + "".join(digits) + "010101" + "0" * 7
+    assert one(spark, barcode.upce_modules(F.lit("04252610"))) is None
+
+
+def test_code128_modules(spark):
+    assert {(len(w), sum(map(int, w)), sum(map(int, w[::2])) % 2) for w in barcode.CODE128} == {(6, 11, 0)} and len(set(barcode.CODE128)) == 103
+    parts = ["11010010000", "10100011000", "10001011000", "1100011101011"]  # start B, A, its check symbol, stop
+    assert one(spark, barcode.code128b_modules(F.lit("A"))) == "0" * 10 + "".join(parts) + "0" * 10
+    assert one(spark, barcode.code128b_modules(F.lit(""))) is None and one(spark, barcode.code128b_modules(F.lit("é"))) is None
+
+
 def test_code39_published_symbols(spark):
     """Bars and spaces of single characters as the symbology prints them, three modules a wide element."""
     body = lambda c: one(spark, barcode.code39_modules(F.lit(c)))[10 + 15 + 1 : -(10 + 15 + 1)]
