@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quiresmith.operators import pdf, pdf_edit
+from quiresmith.operators import pdf, pdf_checks, pdf_edit
 from quiresmith.plans.kernels import _query
 from quiresmith.session import table, written
 from quiresmith.sources.pdf import Corpus
@@ -163,3 +163,35 @@ def pdf_page_tree(spark, sf_dir):
     # every fourth document names its own catalog as a page
     extra = made.documents.where(F.col("doc_id").cast("long") % 4 == 0).select("doc_id", F.lit(5).alias("src"), F.lit(-1).alias("ordinal"), F.lit(None).cast("string").alias("key"), F.lit(1).alias("dst"))
     return pdf.page_tree_status(Corpus(made.documents, made.nodes, made.edges.unionByName(extra)))
+
+
+@_query(f"""SELECT doc_id, page_index, CASE WHEN n % 7 = 0 OR c % 5 = 0 THEN 'FORMAT' ELSE 'OK' END AS strict_status, CASE WHEN n % 7 <> 0 AND c % 5 <> 0 THEN rotate END AS rotate, CASE WHEN n % 7 <> 0 AND c % 5 <> 0 THEN unit END AS unit,
+    CASE WHEN n % 7 <> 0 AND c % 5 <> 0 AND rotate = 0 AND unit = 1 AND x0 = 0 THEN x1 END AS width, CASE WHEN n % 7 <> 0 AND c % 5 <> 0 AND rotate = 0 AND unit = 1 AND x0 = 0 THEN 400.0::DOUBLE END AS height
+    FROM (SELECT *, o_orderkey AS n, CAST(doc_id AS BIGINT) AS c FROM {_PAGES})""")
+def pdf_strict_geometry(spark, sf_dir):
+    made = corpus(spark, sf_dir)
+    pages = pdf.pages(made)
+    # pages name the tree above them, every seventh the catalog; the tree of every fifth document names the catalog above itself
+    edge = lambda rows, src, dst: rows.select("doc_id", src.alias("src"), F.lit(-1).alias("ordinal"), F.lit("Parent").alias("key"), dst.cast("int").alias("dst"))
+    order = ((F.col("node") - 1000) / 256).cast("long")
+    up = edge(pages, F.col("node"), F.when(order % 7 == 0, 1).otherwise(2)).unionByName(edge(made.documents.where(F.col("doc_id").cast("long") % 5 == 0), F.lit(2), F.lit(1)))
+    found = pdf_checks.strict_geometry(Corpus(made.documents, made.nodes, made.edges.unionByName(up)), pages)
+    size = pdf_checks.canonical_size(F.col("media"), F.col("crop"), F.col("rotate"), F.col("unit"))
+    return found.select("doc_id", "page_index", "strict_status", "rotate", "unit", size["width"].alias("width"), size["height"].alias("height"))
+
+
+@_query("""SELECT CAST(c AS VARCHAR) AS doc_id, CASE WHEN c % 11 = 0 OR c % 6 = 1 OR c % 6 = 2 THEN 'UNSUPPORTED' ELSE 'OK' END AS edit_guard, CASE WHEN c % 11 = 0 OR c % 6 = 1 THEN 'UNSUPPORTED' ELSE 'OK' END AS sanitize_guard,
+    CASE WHEN c % 11 = 0 THEN 'UNSUPPORTED' WHEN c % 6 = 1 OR c % 6 = 3 THEN 'FORMAT' WHEN c % 6 = 2 THEN 'FORMAT' ELSE 'OK' END AS lossless_guard FROM (SELECT c_custkey AS c FROM customer)""")
+def pdf_guards(spark, sf_dir):
+    made = corpus(spark, sf_dir)
+    rest = F.col("doc_id").cast("long") % 6
+    add = lambda rows, src, key, dst, ordinal=-1: rows.select("doc_id", F.lit(src).alias("src"), F.lit(ordinal).alias("ordinal"), F.lit(key).cast("string").alias("key"), F.lit(dst).alias("dst"))
+    docs = made.documents
+    # by remainder: 1 a signed field whose value is a text, 2 a field listed twice, 3 without a parent in the fields, the others whole
+    signed = docs.where(rest == 1)
+    edges = made.edges.where(~((rest == 1) & (F.col("src") == 19) & (F.col("key") == "FT"))).unionByName(add(signed, 19, "FT", 900)).unionByName(add(signed, 19, "V", 25))
+    edges = edges.unionByName(add(docs.where(rest == 2), 18, None, 19, 1)).unionByName(add(docs.where(F.col("doc_id").cast("long") % 11 == 0), 0, "Encrypt", 10))
+    for child in (23, 26):
+        edges = edges.unionByName(add(docs.where(rest != 3), child, "Parent", 19))
+    name = signed.select("doc_id", F.lit(900).alias("node"), F.lit("name").alias("kind"), F.lit(False).alias("indirect"), F.lit(None).cast("double").alias("number"), F.lit("Sig").cast("binary").alias("data"), F.lit(None).cast("binary").alias("stream"))
+    return pdf_checks.guards(Corpus(docs, made.nodes.unionByName(name), edges))

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quiresmith.operators import pdf, pdf_edit
+from quiresmith.operators import pdf, pdf_checks, pdf_edit
 from quiresmith.sources.pdf import parse_files
 from quiresmith.sources.pdf_write import serialize
 
@@ -146,10 +146,14 @@ def test_round_trip(spark, corpus):
 def test_crop_and_trim(spark, corpus):
     pages = pdf.pages(corpus)
     boxes = spark.createDataFrame([("plain", 1, (10.0, 20.0, 60.0, 80.0)), ("packed", 0, (0.0, 0.0, 900.0, 10.0))], "doc_id string, page_index int, rect struct<x0:double,y0:double,x1:double,y1:double>")
-    got = {(r.doc_id, r.page_index): r for r in pdf.pages(again(spark, pdf_edit.crop_pages(corpus, pages, boxes))).collect()}
+    status, tables = pdf_edit.crop_pages(corpus, pages, boxes)
+    assert {r.doc_id: r.status for r in status.collect()} == {"plain": "OK", "packed": "ARGUMENT"}
+    got = {(r.doc_id, r.page_index): r for r in pdf.pages(again(spark, tables)).collect()}
     assert tuple(got["plain", 1].crop) == (5.0, 10.0, 30.0, 40.0) and tuple(got["plain", 1].media) == (0, 0, 100, 50)
     assert tuple(got["packed", 0].crop) == (10, 10, 150, 90)
-    got = {(r.doc_id, r.page_index): r for r in pdf.pages(again(spark, pdf_edit.trim_pages(corpus, pages, boxes))).collect()}
+    status, tables = pdf_edit.trim_pages(corpus, pages, boxes)
+    assert {r.doc_id: r.status for r in status.collect()} == {"plain": "OK", "packed": "ARGUMENT"}
+    got = {(r.doc_id, r.page_index): r for r in pdf.pages(again(spark, tables)).collect()}
     assert tuple(got["plain", 1].media) == (5.0, 10.0, 30.0, 40.0)
 
 
@@ -199,3 +203,54 @@ def test_named_destinations(spark):
     corpus = parse_files(spark.createDataFrame([("n", bytearray(build(objects)))], "path string, content binary"))
     got = pdf.links(corpus, pdf.pages(corpus)).orderBy("ordinal").collect()
     assert [(r.target_page, r.target and tuple(r.target)) for r in got] == [(0, (1.0, 48.0)), (1, (10.0, 30.0)), (0, (0.0, 0.0)), (None, None)]
+
+
+def parsed(spark, files):
+    return parse_files(spark.createDataFrame([(k, bytearray(build(v))) for k, v in files.items()], "path string, content binary"))
+
+
+def test_strict_geometry(spark):
+    top = b"<< /Type /Catalog /Pages 2 0 R >>"
+    tree = b"<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 80 60] >>"
+    leaf = b"<< /Type /Page /Parent 2 0 R >>"
+    files = {
+        "plain": [top, tree, leaf], "unit": [top, tree, b"<< /Type /Page /Parent 2 0 R /UserUnit 2 /Rotate -90 >>"], "orphan": [top, tree, b"<< /Type /Page >>"],
+        "twice": [top, b"<< /Type /Pages /Kids [3 0 R 3 0 R] /MediaBox [0 0 80 60] >>", leaf], "rooted": [top, b"<< /Type /Pages /Parent 1 0 R /Kids [3 0 R] /MediaBox [0 0 80 60] >>", leaf],
+        "turned": [top, tree, b"<< /Type /Page /Parent 2 0 R /Rotate 45 >>"], "flat": [top, b"<< /Type /Pages /Kids [3 0 R] /MediaBox [0 0 80 0] >>", leaf], "boxless": [top, b"<< /Type /Pages /Kids [3 0 R] >>", leaf],
+    }
+    made = parsed(spark, files)
+    size = pdf_checks.canonical_size(F.col("media"), F.col("crop"), F.col("rotate"), F.col("unit"))
+    got = {r.doc_id: r for r in pdf_checks.strict_geometry(made, pdf.pages(made)).withColumn("size", size).collect()}
+    assert {k for k, r in got.items() if r.strict_status == "OK"} == {"plain", "unit"} and set(got) == set(files)
+    assert tuple(got["plain"].size) == (80, 60) and got["unit"].size is None and (got["unit"].rotate, got["unit"].unit) == (270, 2.0) and got["flat"].media is None
+
+
+def test_guards(spark):
+    form = lambda fields, *objects: [b"<< /Pages 2 0 R /AcroForm << /Fields " + fields + b" >> >>", b"<< /Type /Pages >>", *objects]
+    files = {
+        "none": [b"<< /Pages 2 0 R >>", b"<< /Type /Pages >>"], "sound": form(b"[3 0 R]", b"<< /FT /Tx /Kids [4 0 R] >>", b"<< /Parent 3 0 R >>"), "signed": form(b"[3 0 R]", b"<< /FT /Sig /V << /Type /Sig >> >>"),
+        "below": form(b"[3 0 R]", b"<< /FT /Sig /Kids [4 0 R] >>", b"<< /Parent 3 0 R /V << >> >>"), "odd": form(b"[3 0 R]", b"<< /FT /Sig /V (x) >>"), "twice": form(b"[3 0 R 3 0 R]", b"<< /FT /Tx >>"),
+        "ring": form(b"[3 0 R]", b"<< /Kids [3 0 R] >>"), "astray": form(b"[3 0 R]", b"<< /Kids [4 0 R] >>", b"<< >>"), "listless": form(b"(x)"), "granted": [b"<< /Pages 2 0 R /Perms << /UR3 << >> >> >>", b"<< /Type /Pages >>"],
+    }
+    got = {r.doc_id: (r.edit_guard, r.sanitize_guard, r.lossless_guard) for r in pdf_checks.guards(parsed(spark, files)).collect()}
+    no, ok, odd = "UNSUPPORTED", "OK", "FORMAT"
+    assert got == {
+        "none": (ok, ok, ok), "sound": (ok, ok, ok), "signed": (no, no, no), "below": (ok, no, no), "odd": (no, no, odd), "twice": (no, ok, odd), "ring": (no, ok, odd), "astray": (ok, ok, odd), "listless": (no, ok, odd), "granted": (ok, no, no),
+    }
+
+
+def test_outline_status_and_destinations(spark):
+    top = [b"<< /Pages 2 0 R /Outlines 4 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /MediaBox [10 0 110 50] >>", b"<< /Type /Page /UserUnit 2 >>"]
+    two = lambda first=b"", second=b"", root=b"/First 5 0 R /Last 6 0 R": [*top, b"<< " + root + b" >>", b"<< /Title (a) /Parent 4 0 R /Next 6 0 R " + first + b" >>", b"<< /Title (b) /Parent 4 0 R /Prev 5 0 R " + second + b" >>"]
+    files = {
+        "bare": [b"<< /Pages 2 0 R >>", top[1], top[2]], "sound": two(b"/Dest [3 0 R /XYZ 30 45 0]", b"/A << /S /GoTo /D [3 0 R /Fit] >>"), "nested": [*two(b"/First 7 0 R /Last 7 0 R"), b"<< /Title (c) /Parent 5 0 R >>"],
+        "astray": [*two(b"/First 7 0 R /Last 7 0 R"), b"<< /Title (c) /Parent 4 0 R >>"], "lastless": two(root=b"/First 5 0 R"), "short": two(root=b"/First 5 0 R /Last 5 0 R"), "back": two(b"/Prev 6 0 R"), "ring": two(second=b"/Next 5 0 R"),
+        "counted": two(b"/Count (x)"), "pageless": two(b"/Dest [4 0 R /Fit]"), "named": two(b"/A << /S /Named >>"), "web": two(b"/A << /S /URI /URI (http://a/) >>"),
+    }
+    made = parsed(spark, files)
+    pages = pdf.pages(made)
+    got = {r.doc_id: r.outline_status for r in pdf_checks.outline_status(made, pages).collect()}
+    sound = {"bare", "sound", "nested", "web"}
+    assert got == {k: "OK" if k in sound else "UNSUPPORTED" if k == "named" else "FORMAT" for k in files}
+    there = [(r.target_page, tuple(r.target)) for r in pdf_checks.outline_destinations(made, pages).where("doc_id = 'sound'").orderBy("node").collect()]
+    assert there == [(0, (40.0, 10.0)), (0, (0.0, 0.0))]
