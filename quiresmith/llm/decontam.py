@@ -257,12 +257,13 @@ def _item_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Itera
     ids, texts, total = [], [], 0
     rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("i", "t")
     for i, t in rows.toLocalIterator():
-        if ids and total + len(t) > most:
+        size = len(t.encode())
+        if ids and total + size > most:
             yield ids, texts
             ids, texts, total = [], [], 0
         ids.append(i)
         texts.append(t)
-        total += len(t)
+        total += size
     yield ids, texts
 
 
