@@ -30,7 +30,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "A b"), (4, "A b"), (None, "c d e")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     found = con.execute(queries.ORACLE[name])
