@@ -351,16 +351,17 @@ def audit(corpus: Corpus) -> DataFrame:
 
 
 def _signed_fields(edges: DataFrame, fields: DataFrame, kids: DataFrame) -> DataFrame:
-    """``doc_id, node`` of form fields of type Sig that have a value; both come from the nearest ancestor."""
+    """``doc_id, node`` of form fields of type Sig that have a value; both come from the nearest ancestor. A branch ends where it returns to one of its own ancestors."""
     types = edges.where("key = 'FT'").select("doc_id", F.col("src").alias("node"), F.col("name").alias("own_type"))
     filled = edges.where("key = 'V'").select("doc_id", F.col("src").alias("node"), F.lit(True).alias("own_value"))
-    level = fields.withColumns({"type": F.lit(None).cast("string"), "value": F.lit(False)})
+    level = fields.withColumns({"type": F.lit(None).cast("string"), "value": F.lit(False), "above": F.array("node")})
     found = None
     for _ in range(MAX_DEPTH):
         level = level.join(types, ["doc_id", "node"], "left").join(filled, ["doc_id", "node"], "left")
-        level = written(level.select("doc_id", "node", F.coalesce("own_type", "type").alias("type"), (F.col("value") | F.coalesce("own_value", F.lit(False))).alias("value")), "signed")
+        level = written(level.select("doc_id", "node", "above", F.coalesce("own_type", "type").alias("type"), (F.col("value") | F.coalesce("own_value", F.lit(False))).alias("value")), "signed")
         found = level if found is None else found.unionByName(level)
         if level.isEmpty():
             break
-        level = level.join(kids, ["doc_id", "node"]).select("doc_id", F.col("kid").alias("node"), "type", "value")
+        down = level.join(kids, ["doc_id", "node"]).where(~F.array_contains("above", F.col("kid")))
+        level = down.select("doc_id", F.col("kid").alias("node"), "type", "value", F.concat("above", F.array("kid")).alias("above"))
     return found.where("type = 'Sig' AND value").select("doc_id", "node")
