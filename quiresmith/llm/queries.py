@@ -89,6 +89,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiresmith.llm.divergence import fit_references, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judge(docs, fit_references(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
@@ -100,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
+    "op12_divergence": op12_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -138,4 +146,37 @@ ORACLE: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
+        one AS (SELECT r, lang, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+        tot AS (SELECT lang, count(*) AS n FROM one WHERE lang IS NOT NULL GROUP BY lang),
+        big AS (SELECT lang, n FROM tot WHERE n >= (SELECT sum(n) FROM tot) / 100),
+        cnt AS (SELECT lang, word, count(*) AS c FROM one JOIN big USING (lang) GROUP BY lang, word),
+        com AS (SELECT word FROM cnt JOIN big USING (lang) GROUP BY word HAVING max(c / n) >= 1 / 256),
+        ref AS (SELECT b.lang, m.word, coalesce(c, 0) / n AS q FROM big AS b CROSS JOIN com AS m LEFT JOIN cnt ON cnt.lang = b.lang AND cnt.word = m.word),
+        hist AS (SELECT r, word, count(*) AS c FROM one JOIN com USING (word) GROUP BY r, word),
+        bins AS (
+            SELECT d.r, ref.lang, coalesce(c, 0) / len(words) AS p, q FROM d CROSS JOIN ref LEFT JOIN hist ON hist.r = d.r AND hist.word = ref.word WHERE len(words) > 0
+            UNION ALL SELECT d.r, x.lang, 1 - coalesce(c, 0) / len(words), 1 - q FROM d CROSS JOIN (SELECT lang, sum(q) AS q FROM ref GROUP BY lang) AS x LEFT JOIN (SELECT r, sum(c) AS c FROM hist GROUP BY r) AS h ON h.r = d.r WHERE len(words) > 0
+        ),
+        wordly AS (SELECT r, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM bins GROUP BY r, lang),
+        c1 AS (SELECT r, lang, t, regexp_replace(t, '\p{Ll}', '', 'g') AS t1 FROM d), c2 AS (SELECT *, regexp_replace(t1, '[\x20\x09-\x0D]', '', 'g') AS t2 FROM c1), c3 AS (SELECT *, regexp_replace(t2, '\p{Lu}', '', 'g') AS t3 FROM c2),
+        c4 AS (SELECT *, regexp_replace(t3, '[.,;:!?''"()-]', '', 'g') AS t4 FROM c3), c5 AS (SELECT *, regexp_replace(t4, '[0-9]', '', 'g') AS t5 FROM c4), c6 AS (SELECT *, regexp_replace(t5, '\p{L}', '', 'g') AS t6 FROM c5),
+        sizes AS (SELECT r, lang, length(t) AS n, [length(t) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5), length(t5) - length(t6), length(t6)] AS c FROM c6),
+        class AS (SELECT r, lang, n, unnest(c) AS c, generate_subscripts(c, 1) AS k FROM sizes),
+        kind AS (SELECT lang, k, sum(c) / sum(class.n) AS q FROM class JOIN big USING (lang) GROUP BY lang, k),
+        classy AS (SELECT r, kind.lang, sqrt(greatest(0, sum(CASE WHEN c > 0 THEN c / n * log2(2 * (c / n) / (c / n + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (c / n + q)) ELSE 0 END) / 2)) AS far FROM class JOIN kind USING (k) WHERE n > 0 GROUP BY r, kind.lang),
+        near AS (
+            SELECT d.r, bool_or((len(words) < 50 OR w.far * w.far <= 0.27 * 0.27 + 0.06 * (SELECT count(*) FROM com) / len(words)) AND (length(t) < 200 OR c.far <= 0.25)) AS near
+            FROM d JOIN wordly AS w ON w.r = d.r JOIN classy AS c ON c.r = d.r AND c.lang = w.lang GROUP BY d.r
+        ),
+        win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM (SELECT r, unnest(range(1, len(words) - 3)) AS i, unnest(list_transform(range(1, len(words) - 3), lambda j: array_to_string(words[j:j + 4], ' '))) AS w FROM d WHERE len(words) > 5)),
+        again AS (SELECT r, count(DISTINCT i + k) AS n FROM win, LATERAL unnest(range(0, 5)) AS t(k) WHERE n > 1 GROUP BY r),
+        base AS (
+            SELECT d.r, doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words FROM d LEFT JOIN again ON again.r = d.r
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words,
+               n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words AND coalesce(near, true) AS kept
+        FROM base LEFT JOIN near ON near.r = base.r""",
 }
