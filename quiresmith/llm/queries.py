@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiresmith.session import table
+from quiresmith.session import table, written
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,24 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_references(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _shared_heads(turns: DataFrame) -> DataFrame:
+    """Conversation c begins with the first h turns of conversation c - c % 20, and goes on with its own after its first h; h = crc32(c) % 4."""
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size"))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    plan = sizes.select("conv_id", base.alias("base"), F.when(F.col("conv_id") == base, 0).otherwise(F.crc32(F.col("conv_id").cast("string")) % 4).cast("long").alias("h"))
+    heads = turns.where((F.col("conv_id") == base) & (F.col("pos") < 3)).withColumnRenamed("conv_id", "base").join(plan, "base").where("pos < h").select("conv_id", "pos", "label", "words")
+    taken = plan.join(sizes.select(F.col("conv_id").alias("base"), F.col("size").alias("base_size")), "base", "left").select("conv_id", "h", F.least("h", F.coalesce("base_size", F.lit(0))).alias("taken"))
+    own = turns.join(taken, "conv_id").where("pos >= h").select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("pos"), "label", "words")
+    return heads.unionByName(own)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiresmith.llm.trie import label_turns, prefix_trie
+
+    turns = written(label_turns(table(spark, sf_dir, "conversations")), "turns")
+    return prefix_trie(_shared_heads(turns), turns.select("conv_id").distinct())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
@@ -108,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
     "op12_divergence": op12_divergence,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -179,4 +198,20 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words,
                n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words AND coalesce(near, true) AS kept
         FROM base LEFT JOIN near ON near.r = base.r""",
+    "op13_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+                   {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (SELECT c, list(x ORDER BY pos) AS turns FROM t GROUP BY c),
+        bits AS (SELECT c, list_transform(range(0, 8 * strlen(CAST(c AS VARCHAR))), lambda i: (ascii(substring(CAST(c AS VARCHAR), 1 + i // 8, 1)) >> (i % 8)) & 1) AS b FROM own),
+        plan AS (SELECT c, CASE WHEN c % 20 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, b), lambda s, v: xor(s >> 1, 3988292384 * (xor(s, v) & 1))), 4294967295) % 4 END AS h FROM bits),
+        rebuilt AS (SELECT own.c, list_concat(coalesce(base.turns, [])[1:h], own.turns[h + 1:]) AS turns FROM own JOIN plan ON plan.c = own.c LEFT JOIN own AS base ON base.c = own.c - own.c % 20),
+        member AS (SELECT c, d, turns[1:d] AS key, len(turns) = d AS ends FROM rebuilt, LATERAL unnest(range(0, len(turns) + 1)) AS u(d)),
+        node AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends)), sha256('')) AS ends_sha256 FROM member GROUP BY key, d),
+        full_node AS (
+            SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM node AS k WHERE k.d = n.d + 1 AND k.key[1:n.d] = n.key) AS n_children,
+                   CASE WHEN n.d > 0 THEN (n.n_convs - 1) * len(regexp_extract_all(n.key[n.d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own
+            FROM node AS n LEFT JOIN node AS p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]
+        ), below AS (SELECT key[1:a] AS key, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM full_node, LATERAL unnest(range(0, d + 1)) AS u(a) GROUP BY ALL)
+        SELECT conv_id, f.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM full_node AS f JOIN below AS b ON b.d = f.d AND b.key = f.key""",
 }
