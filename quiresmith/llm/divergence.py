@@ -198,7 +198,7 @@ def judge(docs: DataFrame, references: References, rules: Rules = Rules(), text:
     })
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     at = lambda column, i: F.get(F.col(column), F.lit(i))
-    allowed = F.lit(rules.most_word_distance**2) + F.lit(rules.chance * len(references.words)) / F.col("n_words")
+    allowed = F.lit(rules.most_word_distance**2) + F.lit(rules.chance * len(references.words)) / F.greatest(F.col("n_words"), F.lit(1))
     near = [
         F.struct(
             (F.coalesce(at("_words.far", i), F.lit(0.0)) + F.coalesce(at("_far", i), F.lit(0.0))).alias("sum"), F.lit(name).alias("language"), at("_words.far", i).alias("words"), at("_far", i).alias("classes"),

@@ -89,6 +89,26 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """By crc32 of ``conv_id:turn`` modulo 20: 0 drops a row, 1 empties its text, 2 removes ends of sentences, 3 repeats it, 4 makes it the user's."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = rows.select("conv_id", "turn", word("role").alias("role"), word("text").alias("text"), (F.crc32(F.concat(word("conv_id"), F.lit(":"), word("turn"))) % 20).alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quiresmith.llm.repair import conv_key, repair, repaired_hashes
+
+    rows = table(spark, sf_dir, "conversations")
+    report, repaired = repair(_damaged(rows))
+    every = rows.select("conv_id").distinct().withColumn("conv", conv_key(F.col("conv_id")))
+    out = every.join(report, "conv", "left").join(repaired_hashes(repaired), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quiresmith.llm.divergence import fit_references, judge
 
@@ -125,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_topk": op10_topk,
+    "op11_repair": op11_repair,
     "op12_divergence": op12_divergence,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -165,6 +186,51 @@ ORACLE: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op11_repair": r"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+        bits AS (SELECT *, list_transform(range(0, 8 * strlen(key)), lambda i: (ascii(substring(key, 1 + i // 8, 1)) >> (i % 8)) & 1) AS b FROM k),
+        v AS (SELECT *, xor(list_reduce(list_prepend(4294967295, b), lambda s, x: xor(s >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295) % 20 AS kind FROM bits),
+        dam AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM v, LATERAL unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS u(copy) WHERE kind <> 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM dam),
+        f AS (
+            SELECT *, substring(role, 1, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen,
+                   NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(substring(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before, count(*) OVER (PARTITION BY conv_id) AS n FROM r
+        ), steps AS (SELECT *, blank OR seen AS must, CASE WHEN NOT blank AND NOT seen AND open THEN 1 ELSE 0 END AS cut FROM f),
+        way AS (
+            SELECT conv_id, 0 AS pos, 0 AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM (SELECT DISTINCT conv_id FROM steps)
+            UNION ALL
+            SELECT conv_id, pos, state, w[1].cost, w[1].audit, w[1].lines FROM (
+                SELECT conv_id, pos, state, list({'cost': cost, 'audit': audit, 'lines': lines} ORDER BY cost, audit) AS w FROM (
+                    SELECT m.conv_id, m.pos + 1 AS pos, e.state, m.cost + e.cost AS cost, m.audit || e.letter AS audit, CASE WHEN e.letter = 'D' THEN m.lines ELSE list_append(m.lines, e.role || ':' || s.text) END AS lines
+                    FROM (
+                        SELECT conv_id, pos, state, cost, audit, lines FROM way
+                        UNION ALL SELECT conv_id, pos, 2, cost + 2, audit || 'I', list_append(lines, 'user:') FROM way WHERE state <> 2
+                        UNION ALL SELECT conv_id, pos, 3, cost + 2, audit || 'I', list_append(lines, 'assistant:') FROM way WHERE state = 2
+                        UNION ALL SELECT conv_id, pos, 3, cost + 4, audit || 'II', list_concat(lines, ['user:', 'assistant:']) FROM way WHERE state IN (0, 1)
+                    ) AS m JOIN steps AS s ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.pos = m.pos,
+                    LATERAL (
+                        SELECT m.state, 3 AS cost, 'D' AS letter, '' AS role
+                        UNION ALL SELECT CASE s.i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, s.cut, 'K', s.role WHERE NOT s.must AND ((s.i = 's' AND m.state = 0) OR (s.i = 'u' AND m.state <> 2) OR (s.i = 'a' AND m.state = 2))
+                        UNION ALL SELECT CASE WHEN m.state = 2 THEN 3 ELSE 2 END, 2 + s.cut, 'R', CASE WHEN m.state = 2 THEN 'assistant' ELSE 'user' END WHERE NOT s.must
+                    ) AS e
+                ) GROUP BY conv_id, pos, state
+            )
+        ), ends AS (
+            SELECT w.* FROM (
+                SELECT conv_id, pos, cost, audit, lines FROM way WHERE state IN (0, 3)
+                UNION ALL SELECT conv_id, pos, cost + 2, audit || 'I', list_append(lines, 'assistant:') FROM way WHERE state = 2
+                UNION ALL SELECT conv_id, pos, cost + 4, audit || 'II', list_concat(lines, ['user:', 'assistant:']) FROM way WHERE state = 1
+            ) AS w JOIN (SELECT DISTINCT conv_id, n FROM steps) AS z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.pos
+        ), best AS (SELECT conv_id, list({'cost': cost, 'audit': audit, 'lines': lines} ORDER BY cost, audit)[1] AS w FROM ends GROUP BY conv_id),
+        facts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (cut = 1) AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND (before || i) NOT IN ('su', 'ua', 'au')) AS illegal FROM steps GROUP BY conv_id
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(w.cost, 0) AS BIGINT) AS cost,
+               coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op12_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS r, *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
         one AS (SELECT r, lang, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
