@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiresmith.functions import geometry
-from quiresmith.operators.graph import MAX_DEPTH, preorder
+from quiresmith.operators.graph import preorder
+from quiresmith.operators.traversal import Walk, budgets, first_visits, walk, walk_status
 from quiresmith.session import written
 from quiresmith.sources.pdf import Corpus
 
@@ -58,69 +59,70 @@ def arrays(corpus: Corpus) -> DataFrame:
     return grouped.select("doc_id", "node", F.transform("s", lambda x: x["v"]).alias("numbers"))
 
 
-def pages(corpus: Corpus) -> DataFrame:
-    """``doc_id, page_index, node, media, crop, rotate, unit, resources``: leaves of the page tree in order.
+def _numbers(corpus: Corpus, wanted: DataFrame) -> DataFrame:
+    """arrays() of the nodes in ``wanted`` (doc_id, node) alone."""
+    edges = corpus.edges.where("key IS NULL").join(wanted.select("doc_id", F.col("node").alias("src")), ["doc_id", "src"], "left_semi")
+    return arrays(Corpus(corpus.documents, corpus.nodes, edges))
 
-    Media, crop, rotation and resources come from the nearest ancestor that has them, the user unit from the page
-    alone. A branch that returns to one of its own ancestors or is deeper than MAX_DEPTH has no pages.
+
+def _kids(corpus: Corpus) -> DataFrame:
+    return corpus.edges.where("key IS NULL").select("doc_id", F.col("src").alias("list"), "ordinal", F.col("dst").alias("kid"))
+
+
+def _kinds(corpus: Corpus, of: str) -> DataFrame:
+    return corpus.nodes.select("doc_id", F.col("node").alias(of), F.col("kind").alias(f"{of}_kind"))
+
+
+def page_tree(corpus: Corpus, budget: DataFrame | None = None) -> Walk:
+    """The walk over all page trees (quiresmith.operators.traversal); ``type`` and the inherited ``state`` (MediaBox, CropBox, Rotate, Resources) of every visit.
+
+    Bad is what isn't an indirect dictionary of type Page or Pages, and an inner node whose kids are no array.
     """
-    keys = ["Type", "Kids", "MediaBox", "CropBox", "Rotate", "Resources", "UserUnit"]
     inherited = ["MediaBox", "CropBox", "Rotate", "Resources"]
-    attrs = written(members(corpus, keys).join(names_of(corpus, "Type"), ["doc_id", "Type"], "left").drop("Type"), "page-attrs")
-    kids = corpus.edges.where("key IS NULL").select("doc_id", F.col("src").alias("Kids"), "ordinal", F.col("dst").alias("kid"))
+    attrs = members(corpus, ["Type", "Kids", "UserUnit", *inherited]).join(names_of(corpus, "Type"), ["doc_id", "Type"], "left").drop("Type").join(_kinds(corpus, "Kids"), ["doc_id", "Kids"], "left")
+    whole = corpus.nodes.where("kind = 'dictionary' AND indirect").select("doc_id", "node", F.lit(True).alias("whole"))
+    attrs = written(attrs.join(whole, ["doc_id", "node"], "left"), "page-attrs")
     root = members(corpus, ["Root"]).where("node = 0").select("doc_id", F.col("Root").alias("node"))
-    top = root.join(members(corpus, ["Pages"]), ["doc_id", "node"]).select("doc_id", F.col("Pages").alias("node"))
-    level = top.join(attrs, ["doc_id", "node"]).withColumns({"path": F.array().cast("array<int>"), "above": F.array(F.col("node"))})
-    level, found = written(level, "page-level"), None
-    for _ in range(MAX_DEPTH):
-        leaves = level.where("Type_name = 'Page'")
-        found = leaves if found is None else found.unionByName(leaves)
-        down = level.where("Type_name = 'Pages'").join(kids, ["doc_id", "Kids"]).where(~F.array_contains("above", F.col("kid")))
-        down = down.select("doc_id", F.col("kid").alias("node"), F.concat("path", F.array("ordinal")).alias("path"), F.concat("above", F.array("kid")).alias("above"), *[F.col(c).alias(f"up_{c}") for c in inherited])
-        level = down.join(attrs, ["doc_id", "node"])
-        for c in inherited:
-            level = level.withColumn(c, F.coalesce(c, f"up_{c}")).drop(f"up_{c}")
-        level = written(level, "page-level")
-        if level.isEmpty():
-            break
-    box = lambda c: arrays(corpus).select("doc_id", F.col("node").alias(c), F.when(F.size("numbers") == 4, geometry.rect(*[F.get("numbers", F.lit(i)) for i in range(4)])).alias(f"{c}_rect"))
-    out = found
+    no_state = F.lit(None).cast("struct<" + ",".join(f"{c}:int" for c in inherited) + ">")
+    top = root.join(members(corpus, ["Pages"]), ["doc_id", "node"]).select("doc_id", F.col("Pages").alias("node"), F.lit(0).alias("ordinal"), no_state.alias("up"))
+
+    def enter(level: DataFrame) -> DataFrame:
+        level = level.join(attrs.withColumnRenamed("Type_name", "type"), ["doc_id", "node"], "left")
+        bad = F.col("whole").isNull() | F.col("type").isNull() | ~F.col("type").isin("Page", "Pages") | ((F.col("type") == "Pages") & ~F.col("Kids_kind").eqNullSafe("array"))
+        state = F.struct(*[F.coalesce(c, f"up.{c}").alias(c) for c in inherited])
+        return level.select("doc_id", "node", "path", "above", "used", "budget", "up", "type", "UserUnit", state.alias("state"), F.when(F.col("type") == "Pages", F.col("Kids")).alias("list"), bad.alias("bad"))
+
+    return walk(top, _kids(corpus), enter, budgets(corpus) if budget is None else budget, "page-level")
+
+
+def pages(corpus: Corpus, tree: Walk | None = None) -> DataFrame:
+    """``doc_id, page_index, node, media, crop, rotate, unit, resources, tree_status``: leaves of the page tree in order.
+
+    Media, crop, rotation and resources come from the nearest ancestor that has them, the user unit from the page
+    alone. A node that is met again has no pages; where the tree isn't sound, ``tree_status`` isn't OK: it is that of page_tree_status().
+    """
+    tree = page_tree(corpus) if tree is None else tree
+    out = first_visits(tree.visits).where("type = 'Page'").select("doc_id", "node", "path", "UserUnit", "state.*")
+    boxes = written(_numbers(corpus, out.select("doc_id", F.explode(F.array("MediaBox", "CropBox")).alias("node")).distinct()), "page-boxes")
     for c in ("MediaBox", "CropBox"):
-        out = out.join(box(c), ["doc_id", c], "left")
+        rect = F.when(F.size("numbers") == 4, geometry.rect(*[F.get("numbers", F.lit(i)) for i in range(4)]))
+        out = out.join(boxes.select("doc_id", F.col("node").alias(c), rect.alias(f"{c}_rect")), ["doc_id", c], "left")
     for c in ("Rotate", "UserUnit"):
         out = out.join(values(corpus, c).select("doc_id", c, f"{c}_number"), ["doc_id", c], "left")
+    out = out.join(walk_status(tree), "doc_id", "left")
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1
     turn = F.pmod(F.coalesce("Rotate_number", F.lit(0.0)).cast("int"), F.lit(360))
-    return out.select("doc_id", index.alias("page_index"), "node", F.col("MediaBox_rect").alias("media"), F.coalesce("CropBox_rect", "MediaBox_rect").alias("crop"), turn.alias("rotate"), F.coalesce("UserUnit_number", F.lit(1.0)).alias("unit"), F.col("Resources").alias("resources"))
+    return out.select("doc_id", index.alias("page_index"), "node", F.col("MediaBox_rect").alias("media"), F.coalesce("CropBox_rect", "MediaBox_rect").alias("crop"), turn.alias("rotate"), F.coalesce("UserUnit_number", F.lit(1.0)).alias("unit"), F.col("Resources").alias("resources"), F.col("walk_status").alias("tree_status"))
 
 
-def page_tree_status(corpus: Corpus) -> DataFrame:
-    """``doc_id, tree_status`` of every readable document: FORMAT unless its page tree is one.
+def page_tree_status(corpus: Corpus, tree: Walk | None = None) -> DataFrame:
+    """``doc_id, tree_status`` of every readable document: FORMAT unless its page tree is one, UNSUPPORTED if the walk takes more than its budget.
 
-    Every node is a dictionary of type Page or Pages, inner ones list their kids in an array, no node is met twice,
+    Every node is an indirect dictionary of type Page or Pages, inner ones list their kids in an array, no node is met twice,
     and the tree is no deeper than MAX_DEPTH; a document without a tree is FORMAT too.
     """
-    edges = written(live_edges(corpus), "live-edges")
-    types = edges.where("key = 'Type'").select("doc_id", F.col("src").alias("node"), F.col("name").alias("type"))
-    lists = edges.where("key = 'Kids'").select("doc_id", F.col("src").alias("node"), F.col("dst").alias("list"), F.col("kind").alias("list_kind"))
-    kids = edges.where("key IS NULL").select("doc_id", F.col("src").alias("list"), F.col("dst").alias("kid"), F.col("kind").alias("kid_kind"))
-    level = _member(edges, catalogs(edges), "Pages").withColumn("above", F.array("node"))
-    met = None
-    for _ in range(MAX_DEPTH):
-        level = level.join(types, ["doc_id", "node"], "left").join(lists, ["doc_id", "node"], "left")
-        inner = F.col("type") == "Pages"
-        bad = (F.col("kind") != "dictionary") | F.col("type").isNull() | ~F.col("type").isin("Page", "Pages") | (inner & (F.coalesce("list_kind", F.lit("")) != "array"))
-        level = written(level.select("doc_id", "node", "above", F.when(inner, F.col("list")).alias("list"), bad.alias("bad")), "tree-level")
-        met = level if met is None else met.unionByName(level)
-        down = level.where("list IS NOT NULL AND NOT bad AND size(array_distinct(above)) = size(above)").join(kids, ["doc_id", "list"])
-        if level.isEmpty():
-            break
-        level = down.select("doc_id", F.col("kid").alias("node"), F.col("kid_kind").alias("kind"), F.concat("above", F.array("kid")).alias("above"))
-    deep = level.select("doc_id").distinct().withColumn("deep", F.lit(True))
-    seen = met.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad")).groupBy("doc_id").agg((F.max("n") == 1).alias("once"), F.max("bad").alias("bad"))
-    out = corpus.documents.where("status = 'OK'").select("doc_id").join(seen, "doc_id", "left").join(deep, "doc_id", "left")
-    fine = F.col("once") & ~F.col("bad") & F.col("deep").isNull()
-    return out.select("doc_id", F.when(F.coalesce(fine, F.lit(False)), "OK").otherwise("FORMAT").alias("tree_status"))
+    found = walk_status(page_tree(corpus) if tree is None else tree)
+    return corpus.documents.where("status = 'OK'").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("walk_status", F.lit("FORMAT")).alias("tree_status"))
 
 
 def visible_geometry(pages: DataFrame) -> DataFrame:
@@ -186,8 +188,8 @@ def annotations(corpus: Corpus, page_table: DataFrame) -> DataFrame:
 def named_destinations(corpus: Corpus) -> DataFrame:
     """``doc_id, name, dest``: destination arrays by name, from the catalog's dictionary, else from its name tree.
 
-    Of names given twice in the tree the first in its order holds. A branch that returns to one of its own ancestors
-    or is deeper than MAX_DEPTH has no names.
+    Of names given twice in the tree the first in its order holds. A node that is met again, or below MAX_DEPTH, has no
+    names, nor has what is left when the walk has used up its budget.
     """
     root = members(corpus, ["Root"]).where("node = 0").select("doc_id", F.col("Root").alias("node"))
     catalog = written(root.join(members(corpus, ["Dests", "Names"]), ["doc_id", "node"]), "catalog")
@@ -198,17 +200,12 @@ def named_destinations(corpus: Corpus) -> DataFrame:
     items = corpus.edges.where("key IS NULL").select("doc_id", "src", "ordinal", "dst")
     texts = corpus.nodes.where("kind = 'string'").select("doc_id", F.col("node").alias("text"), F.decode("data", "ISO-8859-1").alias("name"))
     tree = catalog.select("doc_id", F.col("Names").alias("node")).join(members(corpus, ["Dests"]), ["doc_id", "node"]).select("doc_id", F.col("Dests").alias("node"))
-    level = tree.withColumns({"path": no_path, "above": F.array("node")})
-    for _ in range(MAX_DEPTH):
-        level = written(level.join(attrs, ["doc_id", "node"]), "name-level")
-        if level.isEmpty():
-            break
-        listed = level.where("Names IS NOT NULL").join(items.withColumnRenamed("src", "Names"), ["doc_id", "Names"]).withColumn("pair", F.floor(F.col("ordinal") / 2).cast("int"))
-        pairs = listed.groupBy("doc_id", "path", "node", "pair").agg(*[F.max(F.when(F.col("ordinal") % 2 == i, F.col("dst"))).alias(c) for i, c in enumerate(("text", "value"))])
-        pairs = pairs.join(texts, ["doc_id", "text"]).where("value IS NOT NULL")
-        found = found.unionByName(pairs.select("doc_id", "name", "value", F.lit(1).alias("rank"), F.concat("path", F.array("pair")).alias("path")))
-        down = level.join(items.withColumnRenamed("src", "Kids"), ["doc_id", "Kids"]).where(~F.array_contains("above", F.col("dst")))
-        level = down.select("doc_id", F.col("dst").alias("node"), F.concat("path", F.array("ordinal")).alias("path"), F.concat("above", F.array("dst")).alias("above"))
+    enter = lambda level: level.join(attrs, ["doc_id", "node"]).select(*level.columns, "Names", F.col("Kids").alias("list"), F.lit(True).alias("state"), F.lit(False).alias("bad"))
+    done = walk(tree.select("doc_id", "node", F.lit(0).alias("ordinal"), F.lit(True).alias("up")), _kids(corpus), enter, budgets(corpus), "name-level")
+    listed = first_visits(done.visits).where("Names IS NOT NULL").join(items.withColumnRenamed("src", "Names"), ["doc_id", "Names"]).withColumn("pair", F.floor(F.col("ordinal") / 2).cast("int"))
+    pairs = listed.groupBy("doc_id", "path", "node", "pair").agg(*[F.max(F.when(F.col("ordinal") % 2 == i, F.col("dst"))).alias(c) for i, c in enumerate(("text", "value"))])
+    pairs = pairs.join(texts, ["doc_id", "text"]).where("value IS NOT NULL")
+    found = found.unionByName(pairs.select("doc_id", "name", "value", F.lit(1).alias("rank"), F.concat("path", F.array("pair")).alias("path")))
     inner = members(corpus, ["D"]).withColumnRenamed("node", "value")
     found = found.join(inner, ["doc_id", "value"], "left").withColumn("dest", F.coalesce("D", "value"))
     return found.groupBy("doc_id", "name").agg(F.min_by("dest", F.struct("rank", "path")).alias("dest"))
@@ -235,26 +232,40 @@ def links(corpus: Corpus, page_table: DataFrame) -> DataFrame:
     return out.select("doc_id", "page_index", "ordinal", hotspot.alias("hotspot"), "uri", "target_page", target.alias("target"))
 
 
-def form_fields(corpus: Corpus) -> DataFrame:
-    """``doc_id, node, full_name, type, value``: fields with a name, type and value from the nearest ancestor."""
-    keys = ["T", "Kids", "FT", "V"]
-    attrs = written(members(corpus, keys), "field-attrs")
-    form = members(corpus, ["AcroForm"]).select("doc_id", F.col("AcroForm").alias("node")).join(members(corpus, ["Fields"]), ["doc_id", "node"]).select("doc_id", F.col("Fields").alias("Kids"))
-    kids = corpus.edges.where("key IS NULL").select("doc_id", F.col("src").alias("Kids"), F.col("dst").alias("node"))
+def field_tree(corpus: Corpus, budget: DataFrame | None = None) -> Walk:
+    """The walk over the fields of the catalogs' forms; ``name`` and ``state`` (full_name, FT, V, the last two from the nearest ancestor) of every visit.
+
+    Bad is what isn't a dictionary, and a field whose Kids are no array.
+    """
+    attrs = members(corpus, ["T", "Kids", "FT", "V"]).join(_kinds(corpus, "node"), ["doc_id", "node"], "left").join(_kinds(corpus, "Kids"), ["doc_id", "Kids"], "left")
     text = values(corpus, "T").select("doc_id", "T", decode_text(F.col("T_data")).alias("name"))
-    step = lambda df: df.join(kids, ["doc_id", "Kids"]).drop("Kids")
-    level = step(form).withColumns({"up_name": F.lit(None).cast("string"), "up_FT": F.lit(None).cast("int"), "up_V": F.lit(None).cast("int")})
-    found = None
-    for _ in range(MAX_DEPTH):
-        level = level.join(attrs, ["doc_id", "node"]).join(text, ["doc_id", "T"], "left")
-        level = level.select("doc_id", "node", "Kids", F.when(F.col("name").isNull(), F.col("up_name")).otherwise(F.concat_ws(".", "up_name", "name")).alias("full_name"), F.col("name").isNotNull().alias("named"), F.coalesce("FT", "up_FT").alias("FT"), F.coalesce("V", "up_V").alias("V"))
-        level = written(level, "fields")
-        if level.isEmpty():
-            break
-        found = level if found is None else found.unionByName(level)
-        level = step(level.where("Kids IS NOT NULL").select("doc_id", "Kids", F.col("full_name").alias("up_name"), F.col("FT").alias("up_FT"), F.col("V").alias("up_V")))
-    out = (level if found is None else found).where("named").join(names_of(corpus, "FT"), ["doc_id", "FT"], "left").join(values(corpus, "V"), ["doc_id", "V"], "left")
-    return out.select("doc_id", "node", "full_name", F.col("FT_name").alias("type"), decode_text(F.col("V_data")).alias("value"))
+    attrs = written(attrs.join(text, ["doc_id", "T"], "left"), "field-attrs")
+    plain = _kinds(corpus, "node").where("node_kind = 'dictionary'").withColumn("plain", F.lit(True)).drop("node_kind")
+    root = members(corpus, ["Root"]).where("node = 0").select("doc_id", F.col("Root").alias("node"))
+    form = root.join(members(corpus, ["AcroForm"]), ["doc_id", "node"]).select("doc_id", F.col("AcroForm").alias("node")).join(members(corpus, ["Fields"]), ["doc_id", "node"]).select("doc_id", F.col("Fields").alias("list"))
+    none = F.lit(None).cast("struct<full_name:string,FT:int,V:int>")
+    start = form.join(_kids(corpus), ["doc_id", "list"]).select("doc_id", F.col("kid").alias("node"), "ordinal", none.alias("up"))
+
+    def enter(level: DataFrame) -> DataFrame:
+        level = level.join(attrs.drop("node_kind"), ["doc_id", "node"], "left").join(plain, ["doc_id", "node"], "left")
+        full = F.when(F.col("name").isNull(), F.col("up.full_name")).otherwise(F.concat_ws(".", "up.full_name", "name"))
+        state = F.struct(full.alias("full_name"), F.coalesce("FT", "up.FT").alias("FT"), F.coalesce("V", "up.V").alias("V"))
+        bad = F.col("plain").isNull() | (F.col("Kids").isNotNull() & ~F.col("Kids_kind").isin("array", "null"))
+        return level.select("doc_id", "node", "path", "above", "used", "budget", "up", "name", state.alias("state"), F.when(F.col("Kids_kind") == "array", F.col("Kids")).alias("list"), bad.alias("bad"))
+
+    return walk(start, _kids(corpus), enter, budgets(corpus) if budget is None else budget, "fields")
+
+
+def form_fields(corpus: Corpus, tree: Walk | None = None) -> DataFrame:
+    """``doc_id, node, full_name, type, value, form_status``: fields with a name, type and value from the nearest ancestor.
+
+    ``form_status`` isn't OK where the fields of a document are no tree (FORMAT) or take more visits than its budget (UNSUPPORTED); a field that
+    is met again has no second row.
+    """
+    tree = field_tree(corpus) if tree is None else tree
+    out = first_visits(tree.visits).where("name IS NOT NULL").select("doc_id", "node", "state.*")
+    out = out.join(names_of(corpus, "FT"), ["doc_id", "FT"], "left").join(values(corpus, "V"), ["doc_id", "V"], "left").join(walk_status(tree), "doc_id")
+    return out.select("doc_id", "node", "full_name", F.col("FT_name").alias("type"), decode_text(F.col("V_data")).alias("value"), F.col("walk_status").alias("form_status"))
 
 
 def live_edges(corpus: Corpus) -> DataFrame:
@@ -330,7 +341,7 @@ def audit(corpus: Corpus) -> DataFrame:
     kids = edges.where("key IS NULL").select("doc_id", F.col("src").alias("list"), F.col("dst").alias("kid"))
     lists = edges.where("key = 'Kids' AND kind = 'array'").select("doc_id", F.col("src").alias("node"), F.col("dst").alias("list"))
     fields = _member(edges, form, "Fields").select("doc_id", F.col("node").alias("list")).join(kids, ["doc_id", "list"]).select("doc_id", F.col("kid").alias("node"))
-    signed = _signed_fields(edges, fields, lists.join(kids, ["doc_id", "list"]).select("doc_id", "node", "kid"))
+    signed = _signed_fields(edges, fields, lists.join(kids, ["doc_id", "list"]).select("doc_id", "node", "kid"), budgets(corpus))
     permissions = edges.where("key IN ('DocMDP', 'UR', 'UR3')").join(_member(edges, root, "Perms").withColumnRenamed("node", "src").select("doc_id", "src"), ["doc_id", "src"], "left_semi")
     streams = corpus.nodes.where("kind = 'stream'").select("doc_id", F.col("node").alias("src"))
     found = [
@@ -350,18 +361,16 @@ def audit(corpus: Corpus) -> DataFrame:
     return out.select("doc_id", F.when(F.col("wrong"), "FORMAT").otherwise("OK").alias("audit_status"), F.when(F.col("wrong").isNull(), F.coalesce("findings", F.lit(0))).alias("findings"))
 
 
-def _signed_fields(edges: DataFrame, fields: DataFrame, kids: DataFrame) -> DataFrame:
-    """``doc_id, node`` of form fields of type Sig that have a value; both come from the nearest ancestor. A branch ends where it returns to one of its own ancestors."""
+def _signed_fields(edges: DataFrame, fields: DataFrame, kids: DataFrame, budget: DataFrame) -> DataFrame:
+    """``doc_id, node`` of form fields of type Sig that have a value; both come from the nearest ancestor. A field that is met again isn't entered."""
     types = edges.where("key = 'FT'").select("doc_id", F.col("src").alias("node"), F.col("name").alias("own_type"))
     filled = edges.where("key = 'V'").select("doc_id", F.col("src").alias("node"), F.lit(True).alias("own_value"))
-    level = fields.withColumns({"type": F.lit(None).cast("string"), "value": F.lit(False), "above": F.array("node")})
-    found = None
-    for _ in range(MAX_DEPTH):
+    start = fields.select("doc_id", "node", F.lit(0).alias("ordinal"), F.lit(None).cast("struct<type:string,value:boolean>").alias("up"))
+
+    def enter(level: DataFrame) -> DataFrame:
         level = level.join(types, ["doc_id", "node"], "left").join(filled, ["doc_id", "node"], "left")
-        level = written(level.select("doc_id", "node", "above", F.coalesce("own_type", "type").alias("type"), (F.col("value") | F.coalesce("own_value", F.lit(False))).alias("value")), "signed")
-        found = level if found is None else found.unionByName(level)
-        if level.isEmpty():
-            break
-        down = level.join(kids, ["doc_id", "node"]).where(~F.array_contains("above", F.col("kid")))
-        level = down.select("doc_id", F.col("kid").alias("node"), "type", "value", F.concat("above", F.array("kid")).alias("above"))
-    return found.where("type = 'Sig' AND value").select("doc_id", "node")
+        state = F.struct(F.coalesce("own_type", "up.type").alias("type"), F.coalesce("own_value", "up.value", F.lit(False)).alias("value"))
+        return level.select("doc_id", "node", "path", "above", "used", "budget", "up", state.alias("state"), F.col("node").alias("list"), F.lit(False).alias("bad"))
+
+    listed = kids.select("doc_id", F.col("node").alias("list"), F.lit(0).alias("ordinal"), "kid")
+    return walk(start, listed, enter, budget, "signed").visits.where("state.type = 'Sig' AND state.value").select("doc_id", "node")

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiresmith.functions import geometry
 from quiresmith.functions.text import match_offsets
 from quiresmith.operators.pdf import members, names_of, values
 from quiresmith.session import written
@@ -18,6 +19,8 @@ from quiresmith.sources.pdf import Broken, Corpus, Stream, decoded
 from quiresmith.sources.pdf_content import Font, glyphs
 
 SAME_DIRECTION = 0.95
+#: Shares of the size above and below the base line, for fonts that don't say.
+ASCENT, DESCENT = 0.8, -0.2
 GLYPH = "struct<text:string,x0:double,y0:double,x1:double,y1:double,height:double,size:double,argb:long>"
 
 
@@ -148,3 +151,45 @@ def page_text(lines: DataFrame) -> DataFrame:
 def search(lines: DataFrame, needle: str) -> DataFrame:
     """``doc_id, page_index, line, offset`` of every match inside a line, across spans, overlapping ones too."""
     return lines.where(F.contains("text", F.lit(needle))).select("doc_id", "page_index", "line", F.explode(match_offsets(F.col("text"), needle)).alias("offset"))
+
+
+def char_cells(chars: DataFrame, pages: DataFrame, ascent: float = ASCENT, descent: float = DESCENT) -> DataFrame:
+    """``chars`` with ``quad`` (ul, ur, ll, lr, each x, y), the cell as shown on its page, and ``dir`` (x, y), where the text runs there.
+
+    A cell is as long as the advance; it reaches from ``descent`` to ``ascent`` of the size across the base line. Columns ``ascent``
+    and ``descent`` of ``chars`` hold instead where they aren't null. A character without an advance runs to the right.
+    ``pages``: doc_id, page_index, crop, rotate, unit; characters of other pages are left out. No shuffle but that of the join by page.
+    """
+    own = lambda name, else_: F.coalesce(name, F.lit(else_)) if name in chars.columns else F.lit(else_)
+    rows = chars.join(pages.select("doc_id", "page_index", "crop", "rotate", "unit"), ["doc_id", "page_index"])
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    length = F.sqrt(dx * dx + dy * dy)
+    rows = rows.withColumn("_ux", F.when(length > 0, dx / length).otherwise(1.0)).withColumn("_uy", F.when(length > 0, dy / length).otherwise(0.0))
+    shown = lambda x, y: geometry.to_display(x, y, F.col("crop"), F.col("rotate"), F.col("unit"))
+    corner = lambda i, share: shown(F.col(f"x{i}") - F.col("_uy") * share * F.col("size"), F.col(f"y{i}") + F.col("_ux") * share * F.col("size"))
+    top, bottom = own("ascent", ascent), own("descent", descent)
+    quad = F.struct(corner(0, top).alias("ul"), corner(1, top).alias("ur"), corner(0, bottom).alias("ll"), corner(1, bottom).alias("lr"))
+    rows = rows.withColumn("quad", quad).withColumn("_from", shown(F.col("x0"), F.col("y0"))).withColumn("_to", shown(F.col("x0") + F.col("_ux"), F.col("y0") + F.col("_uy")))
+    run = F.struct(((F.col("_to.x") - F.col("_from.x")) / F.col("unit")).alias("x"), ((F.col("_to.y") - F.col("_from.y")) / F.col("unit")).alias("y"))
+    return rows.withColumn("dir", run).drop("_ux", "_uy", "_from", "_to", "crop", "rotate", "unit")
+
+
+def search_quads(cells: DataFrame, needle: str) -> DataFrame:
+    """``doc_id, page_index, line, offset, quad`` of every match inside a line, overlapping ones too.
+
+    The corners of the matched characters' cells are projected on the direction of the line, that of its first character, and across it; the
+    extremes, turned back, are the quad. Matches meet their characters by place in the line, one row for each code point of the needle;
+    nothing is gathered but the text of a line. An empty needle is an error.
+    """
+    keys = ["doc_id", "page_index", "line"]
+    starts = cells.groupBy(*keys).agg(F.min("ord").alias("start"), F.min_by("dir", "ord").alias("way"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ch"))), lambda c: c["ch"]), "").alias("text"))
+    starts = written(starts, "lines")
+    places = search(starts, needle).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(len(needle) - 1)))).withColumn("place", F.col("offset") + F.col("i"))
+    placed = cells.join(starts.select(*keys, "start", "way"), keys).withColumn("place", (F.col("ord") - F.col("start")).cast("int"))
+    found = places.join(placed.select(*keys, "place", "way", "quad"), [*keys, "place"])
+    corners = F.array("quad.ul", "quad.ur", "quad.ll", "quad.lr")
+    along = F.transform(corners, lambda p: p["x"] * F.col("way.x") + p["y"] * F.col("way.y"))
+    across = F.transform(corners, lambda p: p["y"] * F.col("way.x") - p["x"] * F.col("way.y"))
+    ends = found.groupBy(*keys, "offset").agg(F.first("way").alias("w"), F.min(F.array_min(along)).alias("u0"), F.max(F.array_max(along)).alias("u1"), F.min(F.array_min(across)).alias("v0"), F.max(F.array_max(across)).alias("v1"))
+    back = lambda u, v: F.struct((F.col("w.x") * F.col(u) - F.col("w.y") * F.col(v)).alias("x"), (F.col("w.y") * F.col(u) + F.col("w.x") * F.col(v)).alias("y"))
+    return ends.select(*keys, "offset", F.struct(back("u0", "v0").alias("ul"), back("u1", "v0").alias("ur"), back("u0", "v1").alias("ll"), back("u1", "v1").alias("lr")).alias("quad"))

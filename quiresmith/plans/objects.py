@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quiresmith.operators import pdf, pdf_checks, pdf_edit
+from quiresmith.operators import graphics_state, pdf, pdf_checks, pdf_edit, pdf_text, traversal
 from quiresmith.plans.kernels import _query
 from quiresmith.session import table, written
 from quiresmith.sources.pdf import Corpus
@@ -209,3 +209,118 @@ def pdf_crop(spark, sf_dir):
     boxes = pages.where("page_index = 0").select("doc_id", "page_index", F.struct(F.lit(6.0).alias("x0"), F.lit(8.0).alias("y0"), side.alias("x1"), F.lit(40.0).alias("y1")).alias("rect"))
     status, tables = pdf_edit.crop_pages(made, pages, boxes)
     return status.join(pdf.pages(Corpus(made.documents, *tables)).where("page_index = 0"), "doc_id").select("doc_id", "status", "crop.*")
+
+
+CHAIN = 20
+
+
+def _with(made: Corpus, nodes: list[tuple[Column, list]], edges: list[tuple[Column, list]]) -> Corpus:
+    """More nodes (kind of _node()) and edges (of _edge()) in the documents that a condition picks."""
+    added = lambda parts: [made.documents.where(where).select("doc_id", F.explode(F.array(*rows)).alias("x")).select("doc_id", "x.*") for where, rows in parts]
+    all_nodes, all_edges = made.nodes, made.edges
+    for rows in added(nodes):
+        all_nodes = all_nodes.unionByName(rows)
+    for rows in added(edges):
+        all_edges = all_edges.unionByName(rows)
+    return Corpus(made.documents, all_nodes, all_edges)
+
+
+@_query("""SELECT CAST(c AS VARCHAR) AS doc_id, n + CASE WHEN c % 5 = 1 THEN 40 ELSE 1 END AS tree_visits, CASE WHEN c % 5 = 1 THEN 'FORMAT' WHEN c % 5 = 3 AND n + 1 > 8 THEN 'UNSUPPORTED' ELSE 'OK' END AS tree_status, n AS n_pages,
+    CAST(CASE WHEN c % 5 = 2 THEN 5 ELSE 3 END AS BIGINT) AS form_visits, CASE WHEN c % 5 = 2 THEN 'FORMAT' ELSE 'OK' END AS form_status, CAST(3 AS BIGINT) AS n_fields
+    FROM (SELECT c_custkey AS c, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)""")
+def pdf_work_budget(spark, sf_dir):
+    rest = F.col("doc_id").cast("long") % 5
+    # by remainder: 1 a chain of branches that each list the next one twice (2^19 paths), 2 a field that lists itself twice, 3 a budget of eight visits
+    chain = [_edge(5, None, 500, -1)]
+    for i in range(CHAIN):
+        chain += [_edge(500 + i, "Type", 4), _edge(500 + i, "Kids", 600 + i)] + ([_edge(600 + i, None, 501 + i, k) for k in range(2)] if i < CHAIN - 1 else [])
+    nodes = [(rest == 1, [x for i in range(CHAIN) for x in (_node(500 + i, "dictionary"), _node(600 + i, "array"))])]
+    made = _with(corpus(spark, sf_dir), nodes, [(rest == 1, chain), (rest == 2, [_edge(22, None, 19, k) for k in (2, 3)])])
+    budget = traversal.budgets(made).withColumn("budget", F.when(rest == 3, F.lit(8).cast("long")).otherwise(F.col("budget")))
+    tree, form = pdf.page_tree(made, budget), pdf.field_tree(made, budget)
+    out = traversal.walk_status(tree).select("doc_id", F.col("n_visits").alias("tree_visits"), F.col("walk_status").alias("tree_status"))
+    out = out.join(traversal.walk_status(form).select("doc_id", F.col("n_visits").alias("form_visits"), F.col("walk_status").alias("form_status")), "doc_id")
+    for name, rows in (("n_pages", pdf.pages(made, tree)), ("n_fields", pdf.form_fields(made, form))):
+        out = out.join(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+@_query("""SELECT CAST(c AS VARCHAR) AS doc_id, CASE WHEN c % 6 IN (0, 5) THEN 'UNSUPPORTED' ELSE 'OK' END AS status, CAST(CASE c % 6 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS n_actions, c % 6 IN (2, 3) AS has_additional, CAST(0 AS BIGINT) AS n_next, c % 6 IN (2, 3, 4) AS has_kept,
+    CASE WHEN c % 6 IN (0, 5) THEN NULL ELSE CASE WHEN c % 15 = 0 THEN 1 WHEN c % 15 = 10 THEN 8 ELSE 0 END + linked END AS findings
+    FROM (SELECT c_custkey AS c, CAST(CASE WHEN EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_linenumber % 2 = 1) THEN 4 ELSE 0 END AS INTEGER) AS linked FROM customer)""")
+def pdf_sanitize_prune(spark, sf_dir):
+    rest = F.col("doc_id").cast("long") % 6
+    # additional actions 910 of the catalog, by remainder: 1 two launches, 2 a launch and a destination, 3 none, 5 a launch in a dictionary that the
+    # information of the outline uses too; 4 a destination followed by an array of two launches; 0 a signed field
+    names = [_node(911, "dictionary"), _node(912, "dictionary"), _node(913, "dictionary"), _node(915, "name", "Launch"), _node(916, "name", "GoTo")]
+    kinds = [_edge(911, "S", 915), _edge(912, "S", 915), _edge(913, "S", 916)]
+    held = rest.isin(1, 2, 3, 5)
+    nodes = [(rest.isin(1, 2, 4, 5), names), (held, [_node(910, "dictionary")]), (rest == 4, [_node(914, "array")]), (rest == 0, [_node(900, "name", "Sig")])]
+    edges = [
+        (rest.isin(1, 2, 4, 5), kinds), (held, [_edge(1, "AA", 910)]), (rest == 1, [_edge(910, "O", 911), _edge(910, "C", 912)]), (rest == 2, [_edge(910, "O", 911), _edge(910, "C", 913)]), (rest == 5, [_edge(910, "O", 911), _edge(9, "Own", 910)]),
+        (rest == 4, [_edge(9, "A", 913), _edge(913, "Next", 914), _edge(914, None, 911, 0), _edge(914, None, 912, 1)]), (rest == 0, [_edge(23, "FT", 900)]),
+    ]
+    made = _with(corpus(spark, sf_dir), nodes, edges)
+    status, tables = pdf_edit.sanitize(made, ["launch"])
+    left = tables[1]
+    flag = lambda where, name: left.groupBy("doc_id").agg(F.count(F.when(F.expr(where), 1)).alias(name))
+    facts = flag("src = 910", "n_actions").join(flag("src = 1 AND key = 'AA'", "aa"), "doc_id").join(flag("src = 913 AND key = 'Next'", "n_next"), "doc_id").join(flag("dst IN (913, 910)", "kept"), "doc_id")
+    after = pdf.audit(Corpus(made.documents.join(status.where("status = 'OK'"), "doc_id", "left_semi"), *tables)).select("doc_id", "findings")
+    out = status.join(facts, "doc_id", "left").join(after, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return out.select("doc_id", "status", zero("n_actions").alias("n_actions"), (zero("aa") > 0).alias("has_additional"), zero("n_next").alias("n_next"), (zero("kept") > 0).alias("has_kept"), "findings")
+
+
+def _text_page(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(characters, pages): a page for every customer, in four rotations and two units, with one line: the name in size 10, the segment in size 20."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.concat("c_name", F.lit(" ")).alias("name"), "c_mktsegment")
+    doc, page = F.col("c").cast("string").alias("doc_id"), F.lit(0).alias("page_index")
+    box = F.struct(F.lit(0.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(800.0).alias("y1"))
+    pages = rows.select(doc, page, box.alias("crop"), (F.col("c") % 4 * 90).cast("int").alias("rotate"), (1.0 + F.col("c") % 3 / 2).alias("unit"))
+    chars = rows.select(doc, page, F.length("name").alias("n"), F.posexplode(F.split(F.concat("name", "c_mktsegment"), "")).alias("ord", "ch"))
+    place = lambda i: F.when(i < F.col("n"), 50.0 + 5 * i).otherwise(50.0 + 5 * F.col("n") + 10 * (i - F.col("n")))
+    size = F.when(F.col("ord") < F.col("n"), 10.0).otherwise(20.0)
+    return chars.select("doc_id", "page_index", "ord", F.lit(0).alias("line"), "ch", place(F.col("ord")).alias("x0"), F.lit(200.0).alias("y0"), place(F.col("ord") + 1).alias("x1"), F.lit(200.0).alias("y1"), size.alias("height"), size.alias("size"), F.lit(0).cast("long").alias("argb")), pages
+
+
+@_query("""WITH t AS (SELECT c_custkey AS c, c_name || ' ' || c_mktsegment AS s, length(c_name) + 1 AS n, 1.0::DOUBLE + (c_custkey % 3) / 2.0::DOUBLE AS u FROM customer),
+    m AS (SELECT c, u, n, needle, o, length(needle) AS k FROM t, (VALUES ('00'), (' B'), ('1 A')) AS v(needle), LATERAL unnest(range(0, length(s) - length(needle) + 1)) AS w(o) WHERE substring(s, o + 1, length(needle)) = needle),
+    b AS (SELECT *, CASE WHEN o < n THEN 50 + 5 * o ELSE 50 + 5 * n + 10 * (o - n) END AS ax, CASE WHEN o + k < n THEN 50 + 5 * (o + k) ELSE 50 + 5 * n + 10 * (o + k - n) END AS bx, CASE WHEN o + k <= n THEN 10 ELSE 20 END AS size FROM m),
+    q AS (SELECT *, 200 + 0.8::DOUBLE * size AS t, 200 - 0.2::DOUBLE * size AS d FROM b)
+    SELECT CAST(c AS VARCHAR) AS doc_id, needle, CAST(o AS INTEGER) AS "offset",
+        round(u * CASE c % 4 WHEN 0 THEN ax WHEN 1 THEN t - 10 WHEN 2 THEN 600 - ax ELSE 800 - t END, 6) AS ulx, round(u * CASE c % 4 WHEN 0 THEN 800 - t WHEN 1 THEN ax WHEN 2 THEN t - 10 ELSE 600 - ax END, 6) AS uly,
+        round(u * CASE c % 4 WHEN 0 THEN bx WHEN 1 THEN d - 10 WHEN 2 THEN 600 - bx ELSE 800 - d END, 6) AS lrx, round(u * CASE c % 4 WHEN 0 THEN 800 - d WHEN 1 THEN bx WHEN 2 THEN d - 10 ELSE 600 - bx END, 6) AS lry FROM q""")
+def pdf_search_quads(spark, sf_dir):
+    chars, pages = _text_page(spark, sf_dir)
+    cells = written(pdf_text.char_cells(chars, pages), "cells")
+    out = None
+    for needle in ("00", " B", "1 A"):
+        at = lambda corner, axis: F.round(F.col(f"quad.{corner}.{axis}"), 6).alias(corner + axis)
+        found = pdf_text.search_quads(cells, needle).select("doc_id", F.lit(needle).alias("needle"), F.col("offset").cast("int").alias("offset"), at("ul", "x"), at("ul", "y"), at("lr", "x"), at("lr", "y"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@_query(f"""WITH l AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k, l_linenumber AS n, l_quantity AS v, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM {_LINES} AS x),
+    a AS (SELECT *, pow(2, sum(CASE WHEN n % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS outside FROM l),
+    s AS (SELECT o, k, n, lines, coalesce(outside, 1) * CASE WHEN n % 2 = 1 THEN 2 ELSE 1 END AS a, sum(n * coalesce(outside, 1)) OVER w AS e, sum(v * coalesce(outside, 1)) OVER w AS f, sum(CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END) OVER w AS clips FROM a WINDOW w AS (PARTITION BY o ORDER BY k)),
+    f AS (SELECT o, k AS place, a, e, f, CAST(k AS BIGINT) AS depth, clips FROM s UNION ALL SELECT DISTINCT o, 0, 1, 0, 0, 0, 0 FROM s)
+    SELECT o AS page, 'OK' AS status, CAST(place AS BIGINT) AS place, CAST(a AS DOUBLE) AS scale, CAST(e AS DOUBLE) AS e, CAST(f AS DOUBLE) AS f, depth, CAST(clips AS BIGINT) AS clips FROM f WHERE o % 7 <> 0 AND o % 11 <> 0
+    UNION ALL SELECT DISTINCT o, 'FORMAT', NULL, NULL, NULL, NULL, NULL, NULL FROM s WHERE o % 7 = 0 OR o % 11 = 0""")
+def pdf_state_fold(spark, sf_dir):
+    # a page for every order: each line opens a scope inside that of the line before, moves and (odd lines) doubles what is drawn, clips (every third line) and
+    # fills; then all scopes close and a last fill follows. Every seventh page leaves a scope open, every eleventh closes one too many
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("v"))
+    lines = lines.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")))
+    scale = F.when(F.col("l_linenumber") % 2 == 1, 2.0).otherwise(1.0)
+    op = lambda at, name, args=None: F.struct(at.cast("long").alias("ord"), F.lit(name).alias("op"), (F.array() if args is None else args).cast("array<double>").alias("args"))
+    at = 5 * F.col("k")
+    clip = F.col("l_linenumber") % 3 == 0
+    opened = [op(at, "q"), op(at + 1, "cm", F.array(scale, F.lit(0.0), F.lit(0.0), scale, F.col("l_linenumber").cast("double"), F.col("v"))), F.when(clip, op(at + 2, "W")), F.when(clip, op(at + 3, "n")), op(at + 4, "f"), op(5 * F.col("n") + 10 + F.col("k"), "Q")]
+    ops = lines.select("l_orderkey", F.explode(F.filter(F.array(*opened), lambda x: x.isNotNull())).alias("x")).select("l_orderkey", "x.*")
+    ends = lines.groupBy("l_orderkey").agg(F.max("n").alias("n"))
+    odd = F.when(F.col("l_orderkey") % 7 == 0, op(6 * F.col("n") + 12, "q")).when(F.col("l_orderkey") % 11 == 0, op(6 * F.col("n") + 12, "Q"))
+    last = ends.select("l_orderkey", F.explode(F.filter(F.array(op(6 * F.col("n") + 11, "f"), odd), lambda x: x.isNotNull())).alias("x")).select("l_orderkey", "x.*")
+    status, states = graphics_state.graphics_states(ops.unionByName(last).select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), "ord", "op", "args"))
+    fills = states.where("op = 'f'").select("doc_id", F.when(F.col("depth") > 0, F.floor(F.col("ord") / 5)).otherwise(0).cast("long").alias("place"), F.col("ctm.a").alias("scale"), "ctm.e", "ctm.f", F.col("depth").cast("long").alias("depth"), "clips")
+    return status.join(fills, "doc_id", "left").select(F.col("doc_id").cast("long").alias("page"), F.col("state_status").alias("status"), "place", "scale", "e", "f", "depth", "clips")
