@@ -189,7 +189,7 @@ def train(texts: list[str], labels: list[str], steps: int = 400, batch: int = 38
 
 
 def fit_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG, sample_bytes: int = SAMPLE_BYTES) -> ByteTagger:
-    """Fit on a bounded sample: about ``per_lang`` rows of each language, fewer if their texts have over ``sample_bytes`` in all.
+    """Fit on a bounded sample: about ``per_lang`` rows of each language, long ones by windows from everywhere in them if the texts have over ``sample_bytes`` in all.
 
     Rows with a null language or a null or empty text teach nothing; without any the model knows no language. Whole
     texts are used, of any length; repeated rows count as often as they stand there; ties are ordered by all columns.

@@ -156,7 +156,7 @@ def train(texts: list[str | None], labels: list[int], prior: float, epochs: int
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
-    """Fit on a bounded sample: about ``per_class`` rows of each label, fewer if their texts have over ``sample_bytes`` in all.
+    """Fit on a bounded sample: about ``per_class`` rows of each label, long ones by windows from everywhere in them if the texts have over ``sample_bytes`` in all.
 
     The share of label 1 comes from all rows of ``labels``. Null labels and texts and labels of no document
     teach nothing; with fewer than two labels the model knows their shares only. Whole texts are used, of any

@@ -29,17 +29,39 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int, counts
     return rows.where(place < chance).orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(2 * per_class * max(1, len(counts)))
 
 
+def level_of(sizes: list[int], most: int) -> int | None:
+    """The largest c for which the sizes, each cut to c, are ``most`` in all; None if they are no more as they are."""
+    if sum(sizes) <= most:
+        return None
+    left = most
+    for i, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if size > share:
+            return share
+        left -= size
+    return None
+
+
+def spread_windows(text: Column, most: int) -> Column:
+    """Texts of over ``most`` bytes as windows of up to 1,024 characters, evenly spread over the whole text, of that size in all; others as they are."""
+    width = max(1, min(1024, most // 4))
+    n = max(1, most // (4 * width))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    taken = lambda whole: F.filter(whole, lambda x, i: F.floor((i + 1) * F.lit(n).cast("long") / F.size(whole)) > F.floor(i * F.lit(n).cast("long") / F.size(whole)))
+    cut = F.transform(F.array(parts), lambda whole: F.array_join(F.when(F.size(whole) <= n, whole).otherwise(taken(whole)), ""))[0]
+    return F.when(F.octet_length(text) > most, cut).otherwise(text)
+
+
 def within_bytes(rows: DataFrame, text: str, most_rows: int, most_bytes: int) -> list:
-    """Rows of a bounded sample, in the order of a hash of all columns, as many as have ``most_bytes`` of text in all.
+    """All rows of a bounded sample, in the order of a hash of all columns, with about ``most_bytes`` of text in all.
 
-    Long texts count as others do; what goes is the end of the sample. Sizes are asked for first, so no more text than that is sent.
+    No row is left out for its size: if the texts are larger in all, the longest are each represented by windows from everywhere in them,
+    all of one size in all. Sizes are asked for first, so no more text than that is sent.
     """
     order = [F.xxhash64(*rows.columns), *rows.columns]
-    sizes = rows.orderBy(*order).limit(most_rows).select(F.coalesce(F.octet_length(text), F.lit(0))).collect()
-    total, n = 0, 0
-    for (size,) in sizes:
-        total += size
-        if total > most_bytes and n:
-            break
-        n += 1
-    return rows.orderBy(*order).limit(n).collect() if n else []
+    sizes = [r[0] for r in rows.orderBy(*order).limit(most_rows).select(F.coalesce(F.octet_length(text), F.lit(0))).collect()]
+    level = level_of(sizes, most_bytes)
+    taken = rows.orderBy(*order).limit(len(sizes)) if sizes else rows.limit(0)
+    if level is not None:
+        taken = taken.select(*[spread_windows(F.col(f"`{c}`"), level).alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns])
+    return taken.collect()

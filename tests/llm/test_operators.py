@@ -395,7 +395,15 @@ def test_samples_are_the_same_every_time(spark):
     take = lambda d, most: [tuple(r) for r in sampling.within_bytes(sampling.bounded_sample(d, "y", "doc_id", 10, counts), "text", 40, most)]
     some = take(df, 1 << 20)
     assert some == take(df.repartition(5), 1 << 20) and 0 < len(some) <= 40
-    assert take(df.repartition(2), 2000) == some[: len(take(df, 2000))]
+    less = take(df.repartition(2), 2000)
+    assert less == take(df, 2000) and len(less) == len(some) and sum(len(r[1]) for r in less) <= 2000
+    assert all(a == b for a, b in zip(less, some, strict=True) if len(b[1]) < 40)  # short texts stay whole wherever the long one is
+    assert sampling.level_of([5, 100, 7], 40) == 28 and sampling.level_of([5, 7], 12) is None and sampling.level_of([9, 9], 9) == 4
+    text = "".join(f"{i:06d}" for i in range(50_000))
+    cut = spark.createDataFrame([(text,), ("é" * 3000,), (None,)], "t string").select(sampling.spread_windows(F.col("t"), 9000).alias("t"))
+    long, exact, none = (r.t for r in cut.collect())
+    assert 1024 < len(long) <= 9000 and exact == "é" * 3000 and none is None
+    assert 0 < text.index(long[:1024]) < 200_000 and long[-500:] == text[-500:]  # from everywhere, no prefix
     assert sampling.within_bytes(df.limit(0), "text", 10, 10) == []
 
 
