@@ -10,20 +10,25 @@ are walked to sampled positions, and the word spans of each document merged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiresmith.llm.files import Input, Output
 from quiresmith.llm.textvec import LOWER, byte_class, packed, slices, word_hashes, word_spans
+from quiresmith.session import work_path
 
 WORD_BYTES = byte_class([(0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF)])
 WINDOW = 13
 SAMPLE_STEP = 16
 SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 8 << 20
+GROUP_BYTES = 32 << 20
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +42,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Windows:
     """The distinct windows of a bounded block of benchmark items."""
 
-    def __init__(self, item_ids: list[str], texts: list[str], width: int):
+    def __init__(self, item_ids: list[str | None], texts: list[str], width: int):
         hashes, firsts = _words(pa.array(texts, pa.string()))
         self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
         symbols = symbols + 1  # 0 separates runs
@@ -47,7 +52,7 @@ class Windows:
         for i, item in enumerate(item_ids):
             words = symbols[firsts[i] : firsts[i + 1]].tolist()
             for at in range(max(1, len(words) - width + 1) if words else 0):
-                by_pattern.setdefault(tuple(words[at : at + width]), set()).add(item)
+                by_pattern.setdefault(tuple(words[at : at + width]), set()).update([] if item is None else [item])
         self.patterns = [np.asarray(p, np.int64) for p in by_pattern]
         self.items = [sorted(x) for x in by_pattern.values()]
         self.lengths = np.asarray([len(p) for p in self.patterns], np.int64)
@@ -206,9 +211,16 @@ def _kept_runs(symbols: np.ndarray, firsts: np.ndarray, shortest: int) -> tuple[
     return out[0], out[1], out[2]
 
 
-def _scan_batch(windows: Windows, texts: pa.Array) -> tuple[list[list[tuple[int, int]]], list[set[str]], np.ndarray]:
+def _hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, first word of each text and the total) of slices of texts."""
+    base = 0
+    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0):
+        yield base, *_words(part.column(0))
+        base += part.num_rows
+
+
+def _scan_words(windows: Windows, parts: Iterable[tuple[int, np.ndarray, np.ndarray]], n_texts: int) -> tuple[list[list[tuple[int, int]]], list[set[str]], np.ndarray]:
     """Spans and items of each text, and its number of words."""
-    n_texts = len(texts)
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
     items: list[set[str]] = [set() for _ in range(n_texts)]
     counts = np.zeros(n_texts, np.int64)
@@ -228,19 +240,20 @@ def _scan_batch(windows: Windows, texts: pa.Array) -> tuple[list[list[tuple[int,
         for a, b, c in np.unique(np.stack([d, w, length], 1)[order], axis=0):
             spans[a].append((int(b), int(c)))
 
-    base = 0
-    for part in slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0):
-        hashes, firsts = _words(part.column(0))
-        counts[base : base + part.num_rows] = np.diff(firsts)
+    for base, hashes, firsts in parts:
+        counts[base : base + len(firsts) - 1] = np.diff(firsts)
         symbols, doc, word = _kept_runs(windows.symbols(hashes), firsts, windows.shortest)
         pending.append((symbols, doc + base, word))
-        base += part.num_rows
         if sum(len(p[0]) for p in pending) >= SHARD_WORDS:
             flush()
     flush()
     return spans, items, counts
 
 
+def _scan_batch(windows: Windows, texts: pa.Array) -> tuple[list[list[tuple[int, int]]], list[set[str]], np.ndarray]:
+    return _scan_words(windows, _hashed(texts), len(texts))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted (start, length) spans with overlapping and touching ones joined."""
     out: list[list[int]] = []
@@ -252,19 +265,20 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in out]
 
 
-def _item_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[tuple[list[str], list[str]]]:
-    """The items in blocks of at most ``most`` bytes of text (or one item), in order of id."""
-    ids, texts, total = [], [], 0
-    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("i", "t")
-    for i, t in rows.toLocalIterator():
-        size = len(t.encode())
-        if ids and total + size > most:
-            yield ids, texts
-            ids, texts, total = [], [], 0
-        ids.append(i)
-        texts.append(t)
-        total += size
-    yield ids, texts
+def _blocks(benchmark: DataFrame, item: str, text: str, width: int, most: int) -> list[tuple[str, int]]:
+    """Files with the windows of the benchmark in the shared folder, each of about ``most`` bytes of text (or one item); items are dealt out by hash."""
+    rows = benchmark.where(F.octet_length(text) > 0).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).distinct()
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    folder = work_path(benchmark.sparkSession, "windows")
+
+    def store(block: pa.Table) -> pa.Table:
+        out = Output(folder, ".windows")
+        out.write(pickle.dumps(Windows(block["i"].to_pylist(), block["t"].to_pylist(), width)))
+        out.close()
+        return pa.table({"uri": [out.uri], "size": [out.offset]}, schema=pa.schema([("uri", pa.string()), ("size", pa.int64())]))
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(-(-size // most) or 1)))
+    return [(r.uri, r.size) for r in dealt.groupBy("block").applyInArrow(store, "uri string, size long").collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: Sequence[str] = ()) -> DataFrame:
@@ -275,35 +289,72 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     fewer words, but some, is one window. Returns ``key, n_words, n_hit, spans,
     items``: the words inside any occurrence, the merged removal spans (first
     word, number of words) and the sorted ids of the items found. Null and empty
-    texts have no words and no hits; items that are null, empty or repeated add
-    nothing; an empty benchmark finds nothing; rows that repeat are judged each.
+    texts have no words and no hits; items with null or empty texts and repeated items add
+    nothing; one without an id hits, but there is no id to list; an empty benchmark finds nothing; rows that repeat are judged each.
     Columns named in ``keep`` are carried along, but for those named like a result; others are ignored.
 
-    The benchmark is sent to the tasks in blocks of at most ``block_bytes`` of
-    text, each a pass over the documents in the same stage. No shuffle.
+    The windows are files of about ``block_bytes`` of text in the shared folder. One pass over the documents reads them one after another for every
+    few documents, so a task holds one of them and a benchmark of any size; one that is alone stays in the worker. No shuffle of documents.
     """
     keep = [c for c in keep if c not in (key, "n_words", "n_hit", "spans", "items")]
     own = [f"c{i}" for i in range(len(keep))]
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), *(F.col(c).alias(o) for c, o in zip(keep, own, strict=True)), F.array().cast("array<struct<start:long,length:long>>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
-    sc = docs.sparkSession.sparkContext
-    for ids, texts in _item_blocks(benchmark, item, item_text, block_bytes):
-        found = found.mapInArrow(_scan(sc.broadcast((ids, texts)), width), schema)
+    found = found.mapInArrow(_scan(_blocks(benchmark, item, item_text, width, block_bytes)), schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["length"])
     return found.select(F.col("k").alias(key), *(F.col(o).alias(c) for c, o in zip(keep, own, strict=True)), "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
-def _scan(block, width: int):
+def _load(uri: str, size: int) -> Windows:
+    source = Input(uri)
+    try:
+        return pickle.loads(source.read(0, size))
+    finally:
+        source.close()
+
+
+@lru_cache(maxsize=1)
+def _kept(uri: str, size: int) -> Windows:
+    return _load(uri, size)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of about ``most`` bytes of text, at least one batch each."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.column(1).nbytes
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
+def _scan(blocks: list[tuple[str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(*block.value, width)
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        for batch in batches:
-            spans, items, counts = _scan_batch(windows, batch.column(1))
-            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-            spans = [merged(a + [(x["start"], x["length"]) for x in b]) for a, b in zip(spans, old_spans, strict=True)]
-            items = [sorted(a.union(b)) for a, b in zip(items, old_items, strict=True)]
-            spans_out = pa.array([[{"start": a, "length": b} for a, b in x] for x in spans], span_type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], spans_out, pa.array(items, pa.list_(pa.string())), pa.array(counts)], batch.schema.names)
+        for group in _groups(batches, GROUP_BYTES if len(blocks) > 1 else 0):
+            texts = [batch.column(1) for batch in group]
+            spans = [[[] for _ in range(len(t))] for t in texts]
+            items = [[set() for _ in range(len(t))] for t in texts]
+            counts = [None] * len(group)
+            hashed = [_hashed(t) if len(blocks) == 1 else list(_hashed(t)) for t in texts]
+            for block in blocks:
+                windows = _kept(*block) if len(blocks) == 1 else _load(*block)
+                for g, words in enumerate(hashed):
+                    more, ids, counts[g] = _scan_words(windows, words, len(texts[g]))
+                    for mine, new in zip(spans[g], more, strict=True):
+                        mine += new
+                    for known, new in zip(items[g], ids, strict=True):
+                        known |= new
+                del windows
+            for g, batch in enumerate(group):
+                if counts[g] is None:  # an empty benchmark
+                    counts[g] = np.concatenate([np.diff(firsts) for _, _, firsts in hashed[g]] or [np.zeros(0, np.int64)])
+                spans_out = pa.array([[{"start": a, "length": b} for a, b in merged(x)] for x in spans[g]], span_type)
+                ids_out = pa.array([sorted(x) for x in items[g]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-3], spans_out, ids_out, pa.array(counts[g])], batch.schema.names)
 
     return run
 

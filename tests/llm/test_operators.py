@@ -218,7 +218,8 @@ def test_contamination(spark):
         found = decontam.judged(decontam.find_contamination(docs, bench, block_bytes=block, keep=["k", "score"]))
         got = {r.doc_id: r for r in found.collect() if r.doc_id in (1, 10, 11, 12)}
         assert (got[10].n_hit, [tuple(s) for s in got[10].spans], got[10].items, got[10].contaminated) == (18, [(1, 16), (18, 2)], ["a", "b"], True)
-        assert (got[11].n_hit, got[12].n_hit, got[12].contaminated, got[1].n_words, got[1].contaminated, got[1].k) == (0, 2, False, 0, False, "x")
+        assert (got[11].n_hit, got[12].n_hit, got[12].contaminated, got[1].n_words, got[1].contaminated, got[1].k) == (1, 2, False, 0, False, "x")
+        assert (list(got[11].spans), got[11].items, got[11].contaminated) == ([(1, 1)], [], True)  # an item without an id hits and isn't listed
         assert found.count() == docs.count()
     assert decontam.find_contamination(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontam.find_contamination(docs.limit(0), bench).collect() == []
