@@ -176,7 +176,8 @@ def page_annotations(corpus: Corpus, page_table: DataFrame) -> DataFrame:
     items = corpus.edges.where("key IS NULL").select("doc_id", F.col("src").alias("Annots"), "ordinal", F.col("dst").alias("node"))
     facts = lists.select("doc_id", "page_index", "Annots").join(items, ["doc_id", "Annots"]).join(members(corpus, ["Subtype", "Rect", "F", "Contents", "A", "Dest"]), ["doc_id", "node"])
     facts = facts.join(names_of(corpus, "Subtype"), ["doc_id", "Subtype"], "left").join(values(corpus, "F"), ["doc_id", "F"], "left").join(values(corpus, "Contents"), ["doc_id", "Contents"], "left")
-    rects = arrays(corpus).select("doc_id", F.col("node").alias("Rect"), F.when(F.size("numbers") == 4, geometry.rect(*[F.get("numbers", F.lit(i)) for i in range(4)])).alias("bounds"))
+    wanted = corpus.edges.where("key = 'Rect'").select("doc_id", F.col("dst").alias("node"))
+    rects = _numbers(corpus, wanted).select("doc_id", F.col("node").alias("Rect"), F.when(F.size("numbers") == 4, geometry.rect(*[F.get("numbers", F.lit(i)) for i in range(4)])).alias("bounds"))
     return facts.join(rects, ["doc_id", "Rect"], "left").select("doc_id", "page_index", "ordinal", F.col("Subtype_name").alias("subtype"), F.col("bounds").alias("rect"), F.coalesce("F_number", F.lit(0.0)).cast("long").alias("flags"), decode_text(F.col("Contents_data")).alias("contents"), "A", "Dest")
 
 

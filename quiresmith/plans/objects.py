@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quiresmith.operators import graphics_state, pdf, pdf_checks, pdf_edit, pdf_text, traversal
+from quiresmith.operators import edits, graphics_state, name_trees, pdf, pdf_checks, pdf_edit, pdf_text, poster, traversal
 from quiresmith.plans.kernels import _query
 from quiresmith.session import table, written
 from quiresmith.sources.pdf import Corpus
@@ -324,3 +324,151 @@ def pdf_state_fold(spark, sf_dir):
     status, states = graphics_state.graphics_states(ops.unionByName(last).select(F.col("l_orderkey").cast("string").alias("doc_id"), F.lit(0).alias("page_index"), "ord", "op", "args"))
     fills = states.where("op = 'f'").select("doc_id", F.when(F.col("depth") > 0, F.floor(F.col("ord") / 5)).otherwise(0).cast("long").alias("place"), F.col("ctm.a").alias("scale"), "ctm.e", "ctm.f", F.col("depth").cast("long").alias("depth"), "clips")
     return status.join(fills, "doc_id", "left").select(F.col("doc_id").cast("long").alias("page"), F.col("state_status").alias("status"), "place", "scale", "e", "f", "depth", "clips")
+
+
+@_query(f"""WITH p AS (SELECT *, CAST(doc_id AS BIGINT) AS c, (x1 - x0) / 2 AS w, (y1 - y0) / 2 AS h, count(*) OVER (PARTITION BY doc_id) AS n FROM {_PAGES}),
+    f AS (SELECT *, 10 + c % 100 AS dx, CASE WHEN c % 7 = 0 THEN 500 ELSE 35 + c % 300 END AS dy FROM p WHERE page_index = 0),
+    cells AS (SELECT *, CAST(2 * r + k AS INTEGER) AS tile, CASE rotate WHEN 90 THEN r WHEN 180 THEN 1 - k ELSE k END AS xi, CASE rotate WHEN 90 THEN k WHEN 180 THEN r ELSE 1 - r END AS yi FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS t(r, k)),
+    boxes AS (SELECT doc_id, c, o_orderkey, page_index, tile, rotate, dx, dy, x0 AS ox, y0 AS oy, x1 AS px, y1 AS py, w, h, x0 + w * xi AS x0, y0 + h * yi AS y0, x0 + w * (xi + 1) AS x1, y0 + h * (yi + 1) AS y1 FROM cells),
+    marks AS (SELECT b.*, n, ax, bx, ax < b.x1 AND bx > b.x0 AND 30 < b.y1 AND 60 > b.y0 AS met, ax >= b.x0 AND bx <= b.x1 AND b.y0 <= 30 AND b.y1 >= 60 AS inside FROM boxes AS b JOIN {_ANNOTS} AS a ON a.o_orderkey = b.o_orderkey),
+    crossing AS (SELECT DISTINCT c FROM (SELECT c, n FROM marks WHERE n % 2 = 0 GROUP BY c, n HAVING count(*) FILTER (WHERE inside) <> 1)),
+    s AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 17 = 0 OR c_custkey NOT IN (SELECT c FROM f) THEN 'ARGUMENT' WHEN c_custkey % 4 = 3 THEN 'OK' WHEN c_custkey % 5 = 0 OR c_custkey IN (SELECT c FROM crossing) THEN 'UNSUPPORTED'
+        WHEN c_custkey % 11 = 0 THEN 'UNSUPPORTED' WHEN c_custkey % 13 = 0 THEN 'FORMAT' WHEN c_custkey % 7 = 0 THEN 'UNSUPPORTED' ELSE 'OK' END AS status FROM customer),
+    cut AS (SELECT c FROM s WHERE status = 'OK' AND c % 4 <> 3),
+    counts AS (SELECT c, tile, count(*) FILTER (WHERE met AND n % 2 = 1) AS n_links, count(*) FILTER (WHERE inside AND n % 2 = 0) AS n_notes, coalesce(sum((least(bx, x1) - greatest(ax, x0)) * (least(60, y1) - greatest(30, y0))) FILTER (WHERE met AND n % 2 = 1), 0) AS area FROM marks GROUP BY c, tile),
+    goal AS (SELECT c, CAST(2 * least(1, floor(CASE rotate WHEN 90 THEN dx - x0 WHEN 180 THEN dy - y0 ELSE y1 - dy END / CASE rotate WHEN 90 THEN w ELSE h END)) + least(1, floor(CASE rotate WHEN 90 THEN dy - y0 WHEN 180 THEN x1 - dx ELSE dx - x0 END / CASE rotate WHEN 90 THEN h ELSE w END)) AS INTEGER) AS tile FROM f),
+    plain AS (SELECT o_orderkey, count(*) FILTER (WHERE n % 2 = 1) AS n_links, count(*) FILTER (WHERE n % 2 = 0) AS n_notes, coalesce(sum((bx - ax) * 30) FILTER (WHERE n % 2 = 1), 0) AS area FROM {_ANNOTS} GROUP BY o_orderkey),
+    after AS (SELECT b.c, b.tile AS page_index, b.x0, b.y0, b.x1, b.y1, n_links, n_notes, area, CASE WHEN g.tile = b.tile THEN 1 ELSE 0 END AS n_dests FROM boxes AS b JOIN cut USING (c) LEFT JOIN counts AS k ON k.c = b.c AND k.tile = b.tile JOIN goal AS g ON g.c = b.c
+        UNION ALL SELECT p.c, page_index + CASE WHEN cut.c IS NULL THEN 0 ELSE 3 END, x0, y0, x1, y1, n_links, n_notes, area, CASE WHEN page_index = 0 THEN 1 ELSE 0 END FROM p LEFT JOIN cut ON cut.c = p.c LEFT JOIN plain AS q ON q.o_orderkey = p.o_orderkey WHERE cut.c IS NULL OR page_index > 0)
+    SELECT CAST(s.c AS VARCHAR) AS doc_id, status, CAST(1000 + s.c + CASE WHEN cut.c IS NULL THEN 0 ELSE 3 END AS BIGINT) AS tree_count, CAST(page_index AS INTEGER) AS page_index, x0, y0, x1, y1, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_notes, 0) AS BIGINT) AS n_notes, round(CAST(coalesce(area, 0) AS DOUBLE), 6) AS link_area, CAST(coalesce(n_dests, 0) AS BIGINT) AS n_dests
+    FROM s LEFT JOIN cut ON cut.c = s.c LEFT JOIN after ON after.c = s.c""")
+def pdf_poster_split(spark, sf_dir):
+    c = F.col("doc_id").cast("long")
+    # the outline has a destination on the first page, which is cut into two by two tiles. By remainder: 11 it fits the page, 13 it lacks a
+    # coordinate, 7 it is outside; 4 asks for one tile, 17 for none
+    dest = [_node(700, "array"), _node(701, "name", F.when(c % 11 == 0, "Fit").otherwise("XYZ")), _node(702, "integer", 10 + c % 100), _node(703, "integer", F.when(c % 7 == 0, 500).otherwise(35 + c % 300)), _node(704, "null"), _node(690, "integer", 1000 + c)]
+    edges = [(c >= 0, [_edge(2, "Count", 690), _edge(9, "Dest", 700), _edge(700, None, 701, 1), _edge(700, None, 702, 2)]), (c % 13 != 0, [_edge(700, None, 703, 3), _edge(700, None, 704, 4)])]
+    made = _with(corpus(spark, sf_dir), [(c >= 0, dest)], edges)
+    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o"))
+    first = first.select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(700).alias("src"), F.lit(0).alias("ordinal"), F.lit(None).cast("string").alias("key"), (1000 + 256 * F.col("o")).cast("int").alias("dst"))
+    made = Corpus(made.documents, written(made.nodes, "poster-nodes"), written(made.edges.unionByName(first.join(made.documents, "doc_id", "left_semi")), "poster-edges"))
+    splits = made.documents.select("doc_id", F.lit(0).alias("page_index"), F.when(c % 17 == 0, 0).when(c % 4 == 3, 1).otherwise(2).alias("cols"), F.when(c % 4 == 3, 1).otherwise(2).alias("rows"))
+    status, tables = poster.split_pages(made, splits)
+    after = Corpus(made.documents, *(written(t, "poster-tables") for t in tables))
+    shown = written(pdf.pages(after), "poster-pages")
+    annots = pdf.page_annotations(after, shown).withColumn("area", (F.col("rect.x1") - F.col("rect.x0")) * (F.col("rect.y1") - F.col("rect.y0")))
+    link = F.col("subtype") == "Link"
+    marks = annots.groupBy("doc_id", "page_index").agg(F.count(F.when(link, 1)).alias("n_links"), F.count(F.when(~link, 1)).alias("n_notes"), F.sum(F.when(link, F.col("area"))).alias("area"))
+    dests = after.edges.where("src = 700 AND ordinal = 0").groupBy("doc_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_dests"))
+    count = after.nodes.where("node = 690").select("doc_id", F.col("number").cast("long").alias("tree_count"))
+    rows = status.join(count, "doc_id").join(shown.select("doc_id", "page_index", "node", "crop.*"), "doc_id", "left").join(marks, ["doc_id", "page_index"], "left").join(dests, ["doc_id", "node"], "left")
+    zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
+    return rows.select("doc_id", "status", "tree_count", F.col("page_index").cast("int").alias("page_index"), "x0", "y0", "x1", "y1", zero("n_links"), zero("n_notes"), F.round(F.coalesce("area", F.lit(0.0)), 6).alias("link_area"), zero("n_dests"))
+
+
+def _spread(rows: DataFrame, parts: list[Column]) -> DataFrame:
+    """Nodes (of _node()) or edges (of _edge()) for every row that has a doc_id."""
+    return rows.select("doc_id", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
+
+
+def _line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, c, o, n``: customer, order and number of every line."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "customer").select("c_custkey"), F.col("c_custkey") == F.col("o_custkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_custkey").alias("c"), F.col("o_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+
+
+@_query(f"""WITH o AS (SELECT o_custkey AS c, o_orderkey, count(l_linenumber) AS t FROM orders LEFT JOIN {_LINES} AS l ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey),
+    f AS (SELECT c_custkey AS c, count(o_orderkey) AS n, count(CASE WHEN t > 0 THEN 1 END) AS m, coalesce(sum(t), 0) AS t, coalesce(max(t), 0) AS most FROM customer LEFT JOIN o ON c = c_custkey GROUP BY c_custkey),
+    s AS (SELECT *, CASE WHEN CASE c % 8 WHEN 1 THEN m > 1 WHEN 2 THEN m > 0 WHEN 3 THEN t > 0 WHEN 4 THEN true WHEN 5 THEN n > 0 WHEN 6 THEN t > 0 WHEN 7 THEN most > 1 ELSE false END THEN 'FORMAT' WHEN c % 16 = 8 AND 1 + n + t + 2 * m > 40 THEN 'UNSUPPORTED' ELSE 'OK' END AS status FROM f)
+    SELECT CAST(c AS VARCHAR) AS doc_id, status AS name_tree_status, CAST(CASE WHEN status = 'OK' THEN t END AS BIGINT) AS n_names FROM s""")
+def pdf_name_tree(spark, sf_dir):
+    # a name tree of scripts in every document: a leaf for each order with its limits, a name for each line. By remainder: 1 leaves in the wrong order, 2 a
+    # last name that isn't there, 3 values that are numbers, 4 a root with names of its own, 5 a leaf listed twice, 6 a name without a value, 7 equal names, 8 of 16 a small budget
+    base = corpus(spark, sf_dir)
+    rest = F.col("c") % 8
+    lines = written(_line_keys(spark, sf_dir), "lines")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o")).join(base.documents.select("doc_id"), "doc_id")
+    page, at = 1000 + 256 * F.col("o"), 1010 + 256 * F.col("o") + 16 * F.col("n")
+    name = lambda n: F.concat(F.lpad(F.col("o").cast("string"), 10, "0"), F.when(rest == 7, "").otherwise(F.concat(F.lit("-"), n.cast("string"))))
+    ends = lines.groupBy("doc_id", "c", "o").agg(F.min("n").alias("low"), F.max("n").alias("n"))
+    firsts = orders.groupBy("doc_id", "c").agg(F.min("o").alias("o"))
+    high = F.when(rest == 2, "zzz").otherwise(name(F.col("n")))
+    nodes = base.nodes.unionByName(_spread(orders, [_node(page + 210, "dictionary"), _node(page + 211, "array")]))
+    nodes = nodes.unionByName(_spread(ends, [_node(page + 212, "array"), _node(page + 213, "string", name(F.col("low"))), _node(page + 214, "string", high)]))
+    nodes = nodes.unionByName(_spread(lines, [_node(at + 14, "string", name(F.col("n"))), F.when(rest == 3, _node(at + 15, "integer", 1)).otherwise(_node(at + 15, "dictionary"))]))
+    edges = base.edges.unionByName(_spread(orders, [_edge(802, None, page + 210, F.when(rest == 1, -F.col("o")).otherwise(F.col("o"))), _edge(page + 210, "Names", page + 211)]))
+    edges = edges.unionByName(_spread(ends, [_edge(page + 210, "Limits", page + 212), _edge(page + 212, None, page + 213, 0), _edge(page + 212, None, page + 214, 1)]))
+    paired = lines.join(ends.select("doc_id", "o", "low"), ["doc_id", "o"])
+    edges = edges.unionByName(_spread(paired, [_edge(page + 211, None, at + 14, 2 * F.col("n")), F.when((rest != 6) | (F.col("n") != F.col("low")), _edge(page + 211, None, at + 15, 2 * F.col("n") + 1))]))
+    edges = edges.unionByName(_spread(firsts.where(rest == 5), [_edge(802, None, page + 210, 1 << 30)]))
+    c = F.col("doc_id").cast("long")
+    made = _with(Corpus(base.documents, nodes, edges), [(c >= 0, [_node(800, "dictionary"), _node(801, "dictionary"), _node(802, "array"), _node(803, "array")])], [(c >= 0, [_edge(1, "Names", 800), _edge(800, "JavaScript", 801), _edge(801, "Kids", 802)]), (c % 8 == 4, [_edge(801, "Names", 803)])])
+    made = Corpus(made.documents, written(made.nodes, "name-tree-nodes"), written(made.edges, "name-tree-edges"))
+    budget = traversal.budgets(made).withColumn("budget", F.when(c % 16 == 8, F.lit(40).cast("long")).otherwise(F.col("budget")))
+    found = name_trees.name_tree_status(made, name_trees.roots(made, "JavaScript"), ["dictionary"], budget)
+    return found.select("doc_id", "name_tree_status", F.when(F.col("name_tree_status") == "OK", F.col("n_names")).alias("n_names"))
+
+
+_SESSION = f"""m AS (SELECT *, CAST(doc_id AS BIGINT) AS c, 1000 * page_index + 10 * n AS at, CASE WHEN CAST(doc_id AS BIGINT) % 6 = 0 AND page_index = 1 THEN 0 ELSE page_index END AS list FROM {_ANNOTS})"""
+
+
+def _edited(spark, sf_dir):
+    """(lists, annotations, judged log): a change or several for every line, in the order of pages and lines.
+
+    In every sixth document the second page has the annotations of the first.
+    """
+    base = corpus(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("o"))
+    ranked = orders.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("o"))).where((F.col("rank") <= 2) & (F.col("doc_id").cast("long") % 6 == 0)).groupBy("doc_id").agg(F.min("o").alias("first"), F.max("o").alias("o")).where("o > first")
+    gone = ranked.select("doc_id", (1000 + 256 * F.col("o")).cast("int").alias("src"), F.lit("Annots").alias("key"))
+    shared = ranked.select("doc_id", (1000 + 256 * F.col("o")).cast("int").alias("src"), F.lit(0).alias("ordinal"), F.lit("Annots").alias("key"), (1009 + 256 * F.col("first")).cast("int").alias("dst")).join(base.documents.select("doc_id"), "doc_id", "left_semi")
+    edges = written(base.edges.join(gone, ["doc_id", "src", "key"], "left_anti").select(*shared.columns).unionByName(shared), "shared-annotations")
+    made = Corpus(base.documents, base.nodes, edges)
+    pages = written(pdf.pages(made), "session-pages")
+    lines = _line_keys(spark, sf_dir).withColumn("node", (1000 + 256 * F.col("o")).cast("int"))
+    parts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("part"))
+    lines = lines.join(pages.select("doc_id", "node", "page_index"), ["doc_id", "node"]).join(parts, ["o", "n"]).withColumn("at", 1000 * F.col("page_index") + 10 * F.col("n"))
+    n, at = F.col("n"), F.col("at").cast("long")
+    ref = (F.col("node") + 10 + 16 * n).cast("long")
+    box = lambda *v: F.struct(*[(F.lit(x) if not isinstance(x, Column) else x).cast("double").alias(c) for x, c in zip(v, ("x0", "y0", "x1", "y1"), strict=True)])
+
+    def change(k: int, op: str, of: Column, fields: int = 0, page=F.col("page_index"), kind=None, rect=None, flags=None, contents=None) -> Column:
+        null = lambda x, t: F.lit(None).cast(t) if x is None else x.cast(t)
+        return F.struct((at + k).alias("seq"), F.lit(op).alias("op"), page.cast("int").alias("page_index"), of.cast("long").alias("ref"), null(kind, "string").alias("subtype"), F.lit(fields).alias("fields"), (F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>") if rect is None else rect).alias("rect"), null(flags, "long").alias("flags"), null(contents, "string").alias("contents"))
+
+    made_here = change(5, "create", -(at + 5), kind=F.when(n == 7, "Ink").otherwise("Square"), page=F.when(n % 4 == 1, 9999).otherwise(F.col("page_index")), rect=box(1, 2, 3 + n, 9), flags=n, contents=F.lit("new"))
+    changes = [
+        change(1, "update", ref, edits.FLAGS, flags=100 * n), F.when(n % 3 == 0, change(2, "delete", ref)), change(3, "update", ref, edits.CONTENTS, contents=F.when(n % 5 != 0, F.concat(F.lit("x"), F.col("part")))),
+        change(4, "update", ref, edits.BOUNDS, rect=box(5, 6, 25, 36)), F.when((n % 2 == 0) | (n == 7) | (n % 4 == 1), made_here), F.when((n % 2 == 0) | (n % 4 == 3), change(6, "update", F.when(n % 2 == 0, -(at + 5)).otherwise(-1), edits.FLAGS, flags=F.lit(7))),
+    ]
+    log = lines.select("doc_id", F.explode(F.filter(F.array(*changes), lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
+    lists = written(edits.annotation_lists(made, pages), "annotation-lists")
+    annots = written(edits.listed_annotations(made, pages, lists), "listed-annotations")
+    return lists, annots, written(edits.judged_log(pages, lists, annots, log), "judged-log")
+
+
+@_query(f"""WITH {_SESSION}, e AS (SELECT doc_id, at + k AS seq, k, n, list = page_index AS own FROM m, (VALUES (1), (2), (3), (4), (5), (6)) AS t(k) WHERE k IN (1, 3, 4) OR (k = 2 AND n % 3 = 0) OR (k = 5 AND (n % 2 = 0 OR n = 7 OR n % 4 = 1)) OR (k = 6 AND (n % 2 = 0 OR n % 4 = 3)))
+    SELECT doc_id, CAST(seq AS BIGINT) AS seq, CASE WHEN k = 5 THEN CASE WHEN n % 4 = 1 THEN 'ARGUMENT' WHEN n = 7 THEN 'UNSUPPORTED' ELSE 'OK' END WHEN k = 6 THEN CASE WHEN n % 4 = 3 THEN 'ARGUMENT' ELSE 'OK' END
+        WHEN NOT own THEN 'ARGUMENT' WHEN k > 2 AND n % 3 = 0 THEN 'STATE' WHEN k = 4 AND n % 2 = 1 THEN 'UNSUPPORTED' ELSE 'OK' END AS status FROM e""")
+def pdf_edit_log(spark, sf_dir):
+    return _edited(spark, sf_dir)[2].select("doc_id", "seq", "status")
+
+
+_PLACED = "CASE rotate WHEN 90 THEN x0 + {1} / unit WHEN 180 THEN x1 - {0} / unit ELSE x0 + {0} / unit END, CASE rotate WHEN 90 THEN y0 + {0} / unit WHEN 180 THEN y0 + {1} / unit ELSE y1 - {1} / unit END"
+SESSION_VERSION = 1035
+
+
+@_query(f"""WITH {_SESSION}, v(version) AS (VALUES ({SESSION_VERSION}), (2000000000)),
+    r AS (SELECT *, [{_PLACED.format("5", "6")}, {_PLACED.format("25", "36")}] AS moved, [{_PLACED.format("1", "2")}, {_PLACED.format("(3 + n)", "9")}] AS made FROM m),
+    b AS (SELECT doc_id, version, list, 0 AS late, n AS place, CAST(1010 + 256 * o_orderkey + 16 * n AS BIGINT) AS ref, CASE WHEN n % 2 = 1 THEN 'Link' ELSE 'Text' END AS subtype, CASE WHEN n % 2 = 0 AND at + 4 <= version THEN moved ELSE [ax, 30, bx, 60] END AS box,
+        CASE WHEN at + 1 <= version THEN 100 * n WHEN n % 2 = 0 THEN 4 * n ELSE 0 END AS flags, CASE WHEN at + 3 <= version THEN CASE WHEN n % 5 <> 0 THEN 'x' || l_partkey END WHEN n % 2 = 0 THEN l_returnflag END AS contents FROM r, v WHERE list = page_index AND NOT (n % 3 = 0 AND at + 2 <= version)
+        UNION ALL SELECT doc_id, version, list, 1, at + 5, -(at + 5), 'Square', made, CASE WHEN at + 6 <= version THEN 7 ELSE n END, 'new' FROM r, v WHERE n % 2 = 0 AND at + 5 <= version),
+    p AS (SELECT doc_id, page_index, CASE WHEN CAST(doc_id AS BIGINT) % 6 = 0 AND page_index = 1 THEN 0 ELSE page_index END AS list FROM {_PAGES})
+    SELECT b.doc_id, CAST(version AS BIGINT) AS version, p.page_index, CAST(row_number() OVER (PARTITION BY b.doc_id, version, p.page_index ORDER BY late, place) - 1 AS INTEGER) AS place, CAST(ref AS BIGINT) AS ref, subtype,
+        round(least(box[1], box[3]), 6) AS x0, round(least(box[2], box[4]), 6) AS y0, round(greatest(box[1], box[3]), 6) AS x1, round(greatest(box[2], box[4]), 6) AS y1, CAST(flags AS BIGINT) AS flags, contents FROM b JOIN p ON p.doc_id = b.doc_id AND p.list = b.list""")
+def pdf_edit_snapshot(spark, sf_dir):
+    lists, annots, judged = _edited(spark, sf_dir)
+    out = [edits.snapshot(lists, annots, judged, v).withColumn("version", F.lit(v).cast("long")) for v in (SESSION_VERSION, 2_000_000_000)]
+    corner = lambda c: F.round(F.col(f"rect.{c}"), 6).alias(c)
+    return out[0].unionByName(out[1]).select("doc_id", "version", "page_index", F.col("place").cast("int").alias("place"), "ref", "subtype", corner("x0"), corner("y0"), corner("x1"), corner("y1"), "flags", "contents")
