@@ -410,7 +410,7 @@ def pdf_name_tree(spark, sf_dir):
     return found.select("doc_id", "name_tree_status", F.when(F.col("name_tree_status") == "OK", F.col("n_names")).alias("n_names"))
 
 
-_SESSION = f"""m AS (SELECT *, CAST(doc_id AS BIGINT) AS c, 1000 * page_index + 10 * n AS at, CASE WHEN CAST(doc_id AS BIGINT) % 6 = 0 AND page_index = 1 THEN 0 ELSE page_index END AS list FROM {_ANNOTS})"""
+_SESSION = f"""m AS (SELECT *, CAST(doc_id AS BIGINT) AS c, 1000 * page_index + 10 * n AS spot, CASE WHEN CAST(doc_id AS BIGINT) % 6 = 0 AND page_index = 1 THEN 0 ELSE page_index END AS list FROM {_ANNOTS})"""
 
 
 def _edited(spark, sf_dir):
@@ -448,7 +448,7 @@ def _edited(spark, sf_dir):
     return lists, annots, written(edits.judged_log(pages, lists, annots, log), "judged-log")
 
 
-@_query(f"""WITH {_SESSION}, e AS (SELECT doc_id, at + k AS seq, k, n, list = page_index AS own FROM m, (VALUES (1), (2), (3), (4), (5), (6)) AS t(k) WHERE k IN (1, 3, 4) OR (k = 2 AND n % 3 = 0) OR (k = 5 AND (n % 2 = 0 OR n = 7 OR n % 4 = 1)) OR (k = 6 AND (n % 2 = 0 OR n % 4 = 3)))
+@_query(f"""WITH {_SESSION}, e AS (SELECT doc_id, spot + k AS seq, k, n, list = page_index AS own FROM m, (VALUES (1), (2), (3), (4), (5), (6)) AS t(k) WHERE k IN (1, 3, 4) OR (k = 2 AND n % 3 = 0) OR (k = 5 AND (n % 2 = 0 OR n = 7 OR n % 4 = 1)) OR (k = 6 AND (n % 2 = 0 OR n % 4 = 3)))
     SELECT doc_id, CAST(seq AS BIGINT) AS seq, CASE WHEN k = 5 THEN CASE WHEN n % 4 = 1 THEN 'ARGUMENT' WHEN n = 7 THEN 'UNSUPPORTED' ELSE 'OK' END WHEN k = 6 THEN CASE WHEN n % 4 = 3 THEN 'ARGUMENT' ELSE 'OK' END
         WHEN NOT own THEN 'ARGUMENT' WHEN k > 2 AND n % 3 = 0 THEN 'STATE' WHEN k = 4 AND n % 2 = 1 THEN 'UNSUPPORTED' ELSE 'OK' END AS status FROM e""")
 def pdf_edit_log(spark, sf_dir):
@@ -461,9 +461,9 @@ SESSION_VERSION = 1035
 
 @_query(f"""WITH {_SESSION}, v(version) AS (VALUES ({SESSION_VERSION}), (2000000000)),
     r AS (SELECT *, [{_PLACED.format("5", "6")}, {_PLACED.format("25", "36")}] AS moved, [{_PLACED.format("1", "2")}, {_PLACED.format("(3 + n)", "9")}] AS made FROM m),
-    b AS (SELECT doc_id, version, list, 0 AS late, n AS place, CAST(1010 + 256 * o_orderkey + 16 * n AS BIGINT) AS ref, CASE WHEN n % 2 = 1 THEN 'Link' ELSE 'Text' END AS subtype, CASE WHEN n % 2 = 0 AND at + 4 <= version THEN moved ELSE [ax, 30, bx, 60] END AS box,
-        CASE WHEN at + 1 <= version THEN 100 * n WHEN n % 2 = 0 THEN 4 * n ELSE 0 END AS flags, CASE WHEN at + 3 <= version THEN CASE WHEN n % 5 <> 0 THEN 'x' || l_partkey END WHEN n % 2 = 0 THEN l_returnflag END AS contents FROM r, v WHERE list = page_index AND NOT (n % 3 = 0 AND at + 2 <= version)
-        UNION ALL SELECT doc_id, version, list, 1, at + 5, -(at + 5), 'Square', made, CASE WHEN at + 6 <= version THEN 7 ELSE n END, 'new' FROM r, v WHERE n % 2 = 0 AND at + 5 <= version),
+    b AS (SELECT doc_id, version, list, 0 AS late, n AS place, CAST(1010 + 256 * o_orderkey + 16 * n AS BIGINT) AS ref, CASE WHEN n % 2 = 1 THEN 'Link' ELSE 'Text' END AS subtype, CASE WHEN n % 2 = 0 AND spot + 4 <= version THEN moved ELSE [ax, 30, bx, 60] END AS box,
+        CASE WHEN spot + 1 <= version THEN 100 * n WHEN n % 2 = 0 THEN 4 * n ELSE 0 END AS flags, CASE WHEN spot + 3 <= version THEN CASE WHEN n % 5 <> 0 THEN 'x' || l_partkey END WHEN n % 2 = 0 THEN l_returnflag END AS contents FROM r, v WHERE list = page_index AND NOT (n % 3 = 0 AND spot + 2 <= version)
+        UNION ALL SELECT doc_id, version, list, 1, spot + 5, -(spot + 5), 'Square', made, CASE WHEN spot + 6 <= version THEN 7 ELSE n END, 'new' FROM r, v WHERE n % 2 = 0 AND spot + 5 <= version),
     p AS (SELECT doc_id, page_index, CASE WHEN CAST(doc_id AS BIGINT) % 6 = 0 AND page_index = 1 THEN 0 ELSE page_index END AS list FROM {_PAGES})
     SELECT b.doc_id, CAST(version AS BIGINT) AS version, p.page_index, CAST(row_number() OVER (PARTITION BY b.doc_id, version, p.page_index ORDER BY late, place) - 1 AS INTEGER) AS place, CAST(ref AS BIGINT) AS ref, subtype,
         round(least(box[1], box[3]), 6) AS x0, round(least(box[2], box[4]), 6) AS y0, round(greatest(box[1], box[3]), 6) AS x1, round(greatest(box[2], box[4]), 6) AS y1, CAST(flags AS BIGINT) AS flags, contents FROM b JOIN p ON p.doc_id = b.doc_id AND p.list = b.list""")
