@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quiresmith.operators import edits, graphics_state, name_trees, pdf, pdf_checks, pdf_edit, pdf_text, poster, traversal
+from quiresmith.operators import edits, graph_model, graphics_state, name_trees, pdf, pdf_checks, pdf_edit, pdf_text, poster, traversal
 from quiresmith.plans.kernels import _query
 from quiresmith.session import table, written
 from quiresmith.sources.pdf import Corpus
@@ -472,3 +472,39 @@ def pdf_edit_snapshot(spark, sf_dir):
     out = [edits.snapshot(lists, annots, judged, v).withColumn("version", F.lit(v).cast("long")) for v in (SESSION_VERSION, 2_000_000_000)]
     corner = lambda c: F.round(F.col(f"rect.{c}"), 6).alias(c)
     return out[0].unionByName(out[1]).select("doc_id", "version", "page_index", F.col("place").cast("int").alias("place"), "ref", "subtype", corner("x0"), corner("y0"), corner("x1"), corner("y1"), "flags", "contents")
+
+
+@_query(f"""WITH o AS (SELECT c_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS rank FROM customer JOIN orders ON o_custkey = c_custkey),
+    e AS (SELECT c, rank, l_linenumber AS n, CAST(row_number() OVER (PARTITION BY c ORDER BY rank, l_linenumber) + 1 AS BIGINT) AS i, row_number() OVER (PARTITION BY c, rank ORDER BY l_linenumber) AS j FROM o JOIN {_LINES} AS l ON l_orderkey = o),
+    f AS (SELECT c_custkey AS c, (SELECT count(*) FROM o WHERE o.c = c_custkey) AS n, (SELECT min(rank) FROM e WHERE e.c = c_custkey) AS lined, (SELECT min(i) FROM e WHERE e.c = c_custkey) AS edge, (SELECT max(i) FROM e WHERE e.c = c_custkey) AS last, (SELECT min(i) FROM e WHERE e.c = c_custkey AND j = 2) AS second FROM customer),
+    s AS (SELECT c, CASE c % 9 WHEN 1 THEN CASE WHEN n > 0 THEN 'STORAGE node' END WHEN 2 THEN CASE WHEN last IS NOT NULL THEN 'REFERENCE edge' END WHEN 3 THEN CASE WHEN second IS NOT NULL THEN 'VALUE edge' END WHEN 4 THEN CASE WHEN edge IS NOT NULL THEN 'VALUE edge' END
+        WHEN 5 THEN CASE WHEN n > 0 THEN 'STORAGE node' END WHEN 6 THEN CASE WHEN n > 0 THEN 'VALUE node' END WHEN 7 THEN 'STORAGE model' WHEN 8 THEN 'VALUE root' END AS fault, CASE c % 9 WHEN 2 THEN last WHEN 3 THEN second WHEN 4 THEN edge WHEN 7 THEN 0 WHEN 8 THEN 1 ELSE 3 END AS i FROM f)
+    SELECT CAST(c AS VARCHAR) AS doc_id, split_part(fault, ' ', 1) AS rule, CASE WHEN fault IS NOT NULL THEN split_part(fault, ' ', 2) END AS subject, CAST(CASE WHEN fault IS NOT NULL THEN i END AS BIGINT) AS "index" FROM s""")
+def graph_first_failure(spark, sf_dir):
+    # trailer 1, catalog 2, its type 3, then a dictionary for each order with a key for each line. By remainder: 1 the edges of the first order are named one too late, 2 the last
+    # line leads nowhere, 3 equal keys, 4 arrays with keys, 5 bytes of the first order one too late, 6 an unknown kind, 7 a byte too many, 8 another type
+    c = F.col("c")
+    rest = c % 9
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("doc_id"), F.col("c_custkey").alias("c"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o")).join(customers, "c")
+    orders = orders.withColumn("rank", F.row_number().over(Window.partitionBy("c").orderBy("o")).cast("long"))
+    lines = _line_keys(spark, sf_dir).join(orders.select("o", "rank"), "o")
+    in_doc = Window.partitionBy("c").orderBy("rank", "n")
+    key = F.when(rest == 3, "/L").otherwise(F.concat(F.lit("/L"), "n"))
+    lines = written(lines.withColumn("key", key).withColumn("index", (F.row_number().over(in_doc) + 1).cast("long")).withColumn("key_offset", F.sum(F.length("key")).over(in_doc) - F.length("key") + 18), "model-lines")
+    counts = lines.groupBy("c", "rank").agg(F.count(F.lit(1)).alias("edge_count"), F.sum(F.length("key")).alias("bytes"))
+    rows = orders.join(counts, ["c", "rank"], "left").fillna(0, ["edge_count", "bytes"])
+    in_doc = Window.partitionBy("c").orderBy("rank")
+    late = lambda r: F.when((rest == r) & (F.col("rank") == 1), 1).otherwise(0)
+    kind = F.when(rest == 4, "array").when((rest == 6) & (F.col("rank") == 1), "thing").otherwise("dictionary")
+    none = F.lit(None).cast("string").alias("data")
+    nodes = rows.select("doc_id", (F.col("rank") + 3).alias("id"), kind.alias("kind"), (F.sum("bytes").over(in_doc) - F.col("bytes") + 18 + late(5)).alias("data_offset"), none, (F.sum("edge_count").over(in_doc) - F.col("edge_count") + 2 + late(1)).alias("edge_offset"), "edge_count")
+    node = lambda i, kind, at, data, edge, n: customers.select("doc_id", F.lit(i).cast("long").alias("id"), F.lit(kind).alias("kind"), F.lit(at).cast("long").alias("data_offset"), data.alias("data"), F.lit(edge).cast("long").alias("edge_offset"), F.lit(n).cast("long").alias("edge_count"))
+    nodes = nodes.unionByName(node(1, "dictionary", 0, none, 0, 1)).unionByName(node(2, "dictionary", 5, none, 1, 1)).unionByName(node(3, "name", 10, F.when(rest == 8, "/Cataloh").otherwise("/Catalog"), 2, 0))
+    last = lines.groupBy("c").agg(F.max("index").alias("last"))
+    edges = lines.join(last, "c").select("doc_id", "index", F.when((rest == 2) & (F.col("index") == F.col("last")), 9999).otherwise(1).cast("long").alias("target"), "key_offset", "key")
+    edge = lambda i, to, at, key: customers.select("doc_id", F.lit(i).cast("long").alias("index"), F.lit(to).cast("long").alias("target"), F.lit(at).cast("long").alias("key_offset"), F.lit(key).alias("key"))
+    edges = edges.unionByName(edge(0, 2, 0, "/Root")).unionByName(edge(1, 3, 5, "/Type"))
+    sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("edge_count").alias("e"), F.sum("bytes").alias("b"))
+    models = customers.join(sizes, "c", "left").fillna(0, ["n", "e", "b"]).select("doc_id", (F.col("n") + 3).alias("n_nodes"), (F.col("e") + 2).alias("n_edges"), (F.col("b") + 18 + F.when(rest == 7, 1).otherwise(0)).alias("n_bytes"), F.lit(1).alias("trailer"), F.lit(2).alias("catalog"))
+    return graph_model.first_failure(models, nodes, edges)
