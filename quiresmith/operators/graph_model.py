@@ -68,7 +68,7 @@ def first_failure(models: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
         (F.when(F.col("kind") == "array", F.col("key_size") == 0).otherwise(slash & (key_first | (F.col("key_before").cast("binary") < F.col("key").cast("binary")))), "VALUE"),
     ])
     totals = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("edge_count").alias("edges_used")).join(spans.groupBy("doc_id").agg(F.max_by("end", "id").alias("bytes_used")), "doc_id")
-    whole = store.join(totals, "doc_id", "left")
+    whole = store.join(totals, "doc_id", "left").fillna(0, ["n", "edges_used", "bytes_used"])
     full = (F.col("n") == F.col("n_nodes")) & (F.col("edges_used") == F.col("n_edges")) & (F.col("bytes_used") == F.col("n_bytes"))
     of_model = failures(whole, 1, F.lit(0), F.lit(0), "model", F.lit(0), [(full, "STORAGE")])
     which = lambda c: store.join(nodes.select("doc_id", F.col("id").alias(c), F.col("kind").alias(f"{c}_kind")), ["doc_id", c], "left").select("doc_id", f"{c}_kind")
