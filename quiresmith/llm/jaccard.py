@@ -528,7 +528,7 @@ def _placed(docs: DataFrame, key: str, text: str, tuning: Tuning) -> tuple[DataF
         return written(best.select("node", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.hist").alias("hist"), "low", "high"), "nodes")
 
     nodes = numbered(made)
-    shared = tuple(r[0] for r in nodes.where("low <> high").select("node").toLocalIterator())  # pairs of 64-bit digests that meet: about none below 10^9 sets
+    shared = tuple(r[0] for r in nodes.where("low <> high").select("node").collect())  # pairs of 64-bit digests that meet: about none below 10^9 sets
     members = made
     if shared:
         identity = Identity(tuning.digest_bits, shared)

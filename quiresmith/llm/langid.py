@@ -156,20 +156,21 @@ def window_runs(texts: pa.Array, most: int, size: int = WINDOW_BYTES) -> Iterato
 
 
 def cut(texts: pa.Array, size: int = WINDOW_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows, masks and texts of windows."""
-    empty = (np.zeros((0, size), np.uint8), np.zeros((0, size), np.float32), np.zeros(0, np.int64))
-    return tuple(np.concatenate(x) for x in zip(empty, *window_runs(texts, CHUNK_WINDOWS, size), strict=True))
+    """All windows, whether each holds a letter byte, and texts of windows."""
+    empty = (np.zeros((0, size), np.uint8), np.zeros(0, bool), np.zeros(0, np.int32))
+    runs = ((windows, mask.any(1), of.astype(np.int32)) for windows, mask, of in window_runs(texts, CHUNK_WINDOWS, size))
+    return tuple(np.concatenate(x) for x in zip(empty, *runs, strict=True))
 
 
-def train(texts: list[str], labels: list[str], steps: int = 400, batch: int = 384, rate: float = 0.02, seed: int = 11) -> ByteTagger:
+def train(texts: pa.Array, labels: list[str], steps: int = 400, batch: int = 384, rate: float = 0.02, seed: int = 11) -> ByteTagger:
     """Adam on random windows, languages equally often."""
     languages = sorted(set(labels))
     model = ByteTagger(languages, seed=seed)
     if len(languages) < 2:
         return model
-    windows, mask, of = cut(pa.array(texts, pa.string()))
+    windows, lettered, of = cut(texts)
     y = np.asarray([languages.index(x) for x in labels])[of]
-    rows = [np.flatnonzero((y == k) & (mask.sum(1) > 0)) for k in range(len(languages))]
+    rows = [np.flatnonzero((y == k) & lettered) for k in range(len(languages))]
     rows = [r for r in rows if len(r)]
     rng = np.random.default_rng(seed)
     places = model.weights()
@@ -177,7 +178,8 @@ def train(texts: list[str], labels: list[str], steps: int = 400, batch: int = 38
     second = [np.zeros_like(x) for x in first]
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(r, batch // len(rows) + 1) for r in rows])
-        grads, _ = model.gradients(np.ascontiguousarray(windows[pick].T), y[pick], np.ascontiguousarray(mask[pick].T))
+        symbols = np.ascontiguousarray(windows[pick].T)
+        grads, _ = model.gradients(symbols, y[pick], LETTER_BYTES[symbols].astype(np.float32))
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         now = rate * (1 - step / (steps + 1))
         for i, ((o, n), g) in enumerate(zip(places, grads, strict=True)):
@@ -197,7 +199,9 @@ def fit_language(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     known = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(key, text, lang)
     counts = class_counts(known.select(lang), lang)
     rows = within_bytes(bounded_sample(known, lang, key, per_lang, counts), text, 2 * per_lang * max(1, len(counts)), sample_bytes)
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    texts, found = pa.array((r[1] for r in rows), pa.large_string()), [r[2] for r in rows]
+    del rows
+    return train(texts, found)
 
 
 def identify(docs: DataFrame, model: ByteTagger, text: str = "text") -> DataFrame:

@@ -122,15 +122,15 @@ class AttentionModel:
         return _sigmoid(z / total[:, None] @ self.c + self.d.astype(np.float64) + self.prior)
 
 
-def train(texts: list[str | None], labels: list[int], prior: float, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> AttentionModel:
-    """Adam over mini-batches of bags; ``prior`` is added to the log odds of a class-balanced sample."""
+def train(texts: pa.Array, labels: list[int], prior: float, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> AttentionModel:
+    """Adam over mini-batches of bags; ``prior`` is added to the log odds of a class-balanced sample.
+
+    Passages are counted anew for each batch: the counts of the whole sample would take several times the memory of its texts.
+    """
     model = AttentionModel(seed)
     model.prior = prior
     if len(set(labels)) < 2:
         return model
-    parts = [passages(pa.array(texts[i : i + batch], pa.string())) for i in range(0, len(texts), batch)]
-    counts = np.concatenate([c for c, _ in parts])
-    firsts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
     y = np.asarray(labels, np.float32)
     share = y.mean()
     model.prior += float(np.log((1 - share) / share))
@@ -144,11 +144,10 @@ def train(texts: list[str | None], labels: list[int], prior: float, epochs: int
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             docs = order[at : at + batch]
-            rows = np.concatenate([np.arange(firsts[i], firsts[i + 1]) for i in docs])
-            ends = np.concatenate([[0], np.cumsum(firsts[docs + 1] - firsts[docs])])
+            counts, firsts = passages(texts.take(pa.array(docs)))
             step += 1
             now = rate * (1 - step / (total + 1))
-            for i, (name, g) in enumerate(zip(model.NAMES, model.gradients(counts[rows], ends, y[docs]), strict=True)):
+            for i, (name, g) in enumerate(zip(model.NAMES, model.gradients(counts, firsts, y[docs]), strict=True)):
                 first[i] += 0.1 * (g - first[i])
                 second[i] += 0.001 * (g * g - second[i])
                 setattr(model, name, (getattr(model, name) - now * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
@@ -169,7 +168,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     sample = bounded_sample(known, "_label", key, per_class, counts)
     taken = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(sample), key).select(key, text, "_label")
     rows = within_bytes(taken, text, 4 * per_class, sample_bytes)
-    return train([r[1] for r in rows], [r[2] for r in rows], prior)
+    texts, found = pa.array((r[1] for r in rows), pa.large_string()), [r[2] for r in rows]
+    del rows
+    return train(texts, found, prior)
 
 
 def score_quality(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:

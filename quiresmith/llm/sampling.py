@@ -56,12 +56,17 @@ def within_bytes(rows: DataFrame, text: str, most_rows: int, most_bytes: int) ->
     """All rows of a bounded sample, in the order of a hash of all columns, with about ``most_bytes`` of text in all.
 
     No row is left out for its size: if the texts are larger in all, the longest are each represented by windows from everywhere in them,
-    all of one size in all. Sizes are asked for first, so no more text than that is sent.
+    all of one size in all. Sizes are asked for first, without the texts, so these are sent once and no more of them than that.
+    Rows are tuples.
     """
-    order = [F.xxhash64(*rows.columns), *rows.columns]
-    sizes = [r[0] for r in rows.orderBy(*order).limit(most_rows).select(F.coalesce(F.octet_length(text), F.lit(0))).collect()]
+    tie = [F.sha2(F.col(f"`{c}`"), 256) if c == text else F.col(f"`{c}`") for c in rows.columns]
+    light = rows.select(F.xxhash64(*rows.columns).alias("o"), *[x.alias(f"o{i}") for i, x in enumerate(tie)], F.coalesce(F.octet_length(text), F.lit(0)).alias("n"))
+    sizes = [r[0] for r in light.orderBy(*light.columns[:-1]).limit(most_rows).select("n").collect()]
+    if not sizes:
+        return []
     level = level_of(sizes, most_bytes)
-    taken = rows.orderBy(*order).limit(len(sizes)) if sizes else rows.limit(0)
+    taken = rows.orderBy(F.xxhash64(*rows.columns), *tie).limit(len(sizes))
     if level is not None:
         taken = taken.select(*[spread_windows(F.col(f"`{c}`"), level).alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns])
-    return taken.collect()
+    columns = taken.toArrow().columns  # one task puts them in order and Arrow sends them: no rows are merged or built in the driver's JVM
+    return list(zip(*(c.to_pylist() for c in columns), strict=True))

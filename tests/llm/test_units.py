@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -227,3 +228,17 @@ def test_warc_record():
     assert (got["page_id"], got["url"], got["payload"], got["payload_digest"]) == (7, "http://a/\r\n%", b"x\r\n\r\ny", sha)
     assert len(base64.b32decode(sha)) == 20
     assert list(warc.coalesced([(0, 10), (10, 5), (1000, 3)], gap=50, most=500)) == [(0, 15, [0, 1]), (1000, 3, [2])]
+
+
+def test_fits_hold_little_more_than_their_texts():
+    """The driver fits on bounded samples: features of the whole sample would take several times the memory of its texts."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(500)]
+    texts = pa.array([" ".join(rng.choices(words, k=1000)) for _ in range(3000)], pa.large_string())
+    peaks = []
+    for fit in (lambda: quality.train(texts, [i % 2 for i in range(len(texts))], 0.0, epochs=1), lambda: langid.cut(texts)):
+        tracemalloc.start()
+        fit()
+        peaks.append(tracemalloc.get_traced_memory()[1] / texts.nbytes)
+        tracemalloc.stop()
+    assert max(peaks) < 3
