@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiresmith.llm import bytebpe, chat, components, decontam, htmltree, jaccard, langid, quality, queries, sampling, tokenfile, topk, warc
+from quiresmith.session import ship
 
 SF = "/root/testdata/sf0.001"
 WORDS = [f"w{i}" for i in range(60)]
@@ -408,6 +409,16 @@ def test_samples_are_the_same_every_time(spark):
     assert sampling.within_bytes(df.limit(0), "text", 10, 10) == []
 
 
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    texts = ship(spark).range(0, 9000, 1, 1).selectExpr("id", "repeat('abcdefgh', 300) AS text")
+    got = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in got) == 9000 and max(r.size for r in got) < 9 << 20
+
+
 def test_sampling(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
     counts = sampling.class_counts(df, "y")
