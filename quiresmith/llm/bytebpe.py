@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 300_000
 LONG_PIECE = 256
 
 

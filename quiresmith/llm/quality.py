@@ -25,7 +25,7 @@ HIDDEN = 24
 SAMPLE_PER_CLASS = 2000
 SAMPLE_BYTES = 64 << 20
 LEAST_STEPS = 200
-RUN_PASSAGES = 8192
+RUN_PASSAGES = 2048
 _PAIR_BUCKET = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)).astype(np.int64)
 
 

@@ -242,3 +242,13 @@ def test_fits_hold_little_more_than_their_texts():
         peaks.append(tracemalloc.get_traced_memory()[1] / texts.nbytes)
         tracemalloc.stop()
     assert max(peaks) < 3
+
+
+def test_scoring_holds_runs_of_bounded_size():
+    """A slice of 2 MiB of text is scored in runs that take some tens of MB."""
+    texts = pa.array(["abcdefghij klmnop " * 116] * 1000, pa.large_string())
+    tracemalloc.start()
+    quality.AttentionModel().score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
