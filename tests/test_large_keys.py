@@ -7,7 +7,9 @@ from test_kernels import SF, rows_of
 from quiresmith.plans import kernels, objects  # noqa: F401  objects adds its queries to those of kernels
 
 SHIFT = 3 << 33
-OBJECTS = ["pdf_annotations"]
+OBJECTS = [
+    "pdf_annotations", "pdf_crop",
+]
 
 
 @pytest.fixture(scope="module")
