@@ -10,7 +10,7 @@ SHIFT = 3 << 33
 OBJECTS = [
     "pdf_annotations", "pdf_audit", "pdf_form_fields", "pdf_name_tree", "pdf_outline", "pdf_page_geometry", "pdf_page_tree", "pdf_edit_log", "pdf_crop",
     "pdf_edit_snapshot", "pdf_export", "pdf_guards", "pdf_links", "pdf_sanitize", "pdf_poster_split", "pdf_strict_geometry", "pdf_sanitize_prune",
-    "pdf_work_budget",
+    "pdf_work_budget", "pdf_metadata",
 ]
 
 
